@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op2_chat_formatting
 from .packing import op3_best_fit_packing
+from .pii import op4_personal_data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing,)
+    f.__name__: f for f in (op2_chat_formatting, op3_best_fit_packing, op4_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {}
