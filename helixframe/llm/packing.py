@@ -8,6 +8,7 @@ gets its rank among the pieces of its length and takes the slot of that rank.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked within one task.
 RANK_GROUP = 20_000
-#: Words that a Python worker keeps with their ids before it starts anew.
-CACHE_WORDS = 800_000
+#: Words that a Python worker keeps with their ids before it drops those met once.
+CACHE_WORDS = 300_000
+#: Words given to the tokenizer at once.
+ENCODE_WORDS = 8192
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,31 +42,57 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
+        # The same model without normaliser and splitting, for words that both leave as they are.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer[1]
         self.known: dict[str, int] = {}
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16)
         self.first = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int32)
+
+    def purge(self) -> None:
+        """Words met once go; if they were few, all go."""
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = keep[:0]
+        place = np.full(len(self.hits), -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        self.known = {w: int(place[i]) for w, i in self.known.items() if place[i] >= 0}
+        self.flat = _gather(self.flat, self.first[keep], self.size[keep].astype(np.int64))
+        self.size = self.size[keep]
+        self.first = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.hits = np.zeros(len(keep), np.int32)
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.reset()
-        new = [w for w in words if w not in self.known]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-            self.first = np.cumsum(self.size) - self.size
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        """Places of ``words`` in the cache, which holds them all until the next purge."""
+        get = self.known.get
+        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        new = [words[i] for i in missing]
+        plain = [w for w in new if w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+        other = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        for encoder, own in ((self.bare, plain), (self.tokenizer, other)):
+            for i in range(0, len(own), ENCODE_WORDS):
+                part = own[i : i + ENCODE_WORDS]
+                ids = [e.ids for e in encoder.encode_batch_fast(part, add_special_tokens=False)]
+                self.known.update(zip(part, range(len(self.size), len(self.size) + len(part)), strict=True))
+                self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int32, len(ids))])
+                self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint16)])
+        self.first = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.hits = np.concatenate([self.hits, np.zeros(len(self.size) - len(self.hits), np.int32)])
+        places[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.hits[places] += 1
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
+        if len(self.known) > CACHE_WORDS:
+            self.purge()
         texts = pc.fill_null(texts, "")
         special = np.asarray(pc.match_substring(texts, "<|"))
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
@@ -79,12 +108,9 @@ class WordIds:
         if cut.any():
             tail = pc.utf8_slice_codeunits(distinct.filter(pa.array(cut)), -1)
             last[cut] = self.lookup(tail.to_pylist())
-        known_before = len(self.known)
         code = self.lookup(stem.to_pylist())
-        if cut.any() and len(self.known) < known_before:  # the cache began anew in between
-            last[cut] = self.lookup(tail.to_pylist())
         both = np.stack([code[index], last[index]], axis=1).ravel()
-        per_word = np.where(both >= 0, self.size[both], 0)
+        per_word = np.where(both >= 0, self.size[both], 0).astype(np.int64)
         ids = _gather(self.flat, np.where(both >= 0, self.first[both], 0), per_word)
         ends = np.concatenate([[0], np.cumsum(per_word)])
         offsets = ends[bounds * 2]
@@ -127,7 +153,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             ids, offsets = encoder.encode(batch.column("text"))
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
+                own = np.append(ids[offsets[i] : offsets[i + 1]].astype(np.uint32), np.uint32(end_id)).astype("<u4")
                 for p, at in enumerate(range(0, len(own), capacity)):
                     x = own[at : at + capacity]
                     for k, v in zip(rows, (doc_id, p, at, len(x), zlib.crc32(x.tobytes()), x.astype(np.int32) if keep_ids else None), strict=True):
