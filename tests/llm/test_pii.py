@@ -67,8 +67,8 @@ def test_rows(spark):
 def test_query_digest(spark, tmp_path):
     from helixframe.llm.pii import base_digest, op4_personal_data
 
-    texts = ["mail a@b.cc or c [at] d [dot] ee, +1 222 333 444", None, "1.2.3.4 4111 1111 1111 1111"]
+    texts = ["mail a@b.cc or c [at] d [dot] ee, +1 222 333 444", None, "1.2.3.4; 4111 1111 1111 1111"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op4_personal_data(spark, str(tmp_path)).collect()}
     assert all(got[i].base_sha256 == base_digest(t or "") for i, t in enumerate(texts))
-    assert (got[0].n_email, got[0].n_phone, got[1].spans, got[2].spans) == (2, 1, "", "ip:0:7,card:8:27")
+    assert (got[0].n_email, got[0].n_phone, got[1].spans, got[2].spans) == (2, 1, "", "ip:0:7,card:9:28")
