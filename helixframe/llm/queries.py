@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat_formatting
+from .decontaminate import op1_decontamination
 from .exact import op6_fingerprints
 from .langid import op10_language_id
 from .lines import op8_line_dedup
@@ -17,7 +18,7 @@ from .substrings import op5_suffix_dedup
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op3_best_fit_packing, op4_personal_data, op5_suffix_dedup, op6_fingerprints, op7_warc, op8_line_dedup, op9_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_best_fit_packing, op4_personal_data, op5_suffix_dedup, op6_fingerprints, op7_warc, op8_line_dedup, op9_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
