@@ -8,6 +8,7 @@ gets its rank among the pieces of its length and takes the slot of that rank.
 from __future__ import annotations
 
 import bisect
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ END_ID = 1
 #: Pieces of one length that are ranked within one task.
 RANK_GROUP = 20_000
 #: Words that a Python worker keeps with their ids before it drops those met once.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Documents whose distinct words are looked up together.
+BATCH = 2048
 #: Words given to the tokenizer at once.
-ENCODE_WORDS = 8192
+ENCODE_WORDS = 4096
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,6 +45,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -161,6 +165,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             cols = {k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True) if keep_ids or k != "ids"}
             yield pa.RecordBatch.from_pydict(cols)
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -254,7 +259,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     pieces = materialise(tokenise(docs, tokenizer_path, capacity), "pieces")
     return pack(pieces, capacity)
 
