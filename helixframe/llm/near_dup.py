@@ -6,9 +6,10 @@ so short documents fill all registers too and the banding odds are the textbook
 documents that share one are candidates, the collision-corrected estimate thins them, full sets decide.
 
 Equal sets are one class and only its least document takes part. Within a band's group not all pairs are tested: a
-round tests a few pivots against the members of other components, and pivots double each round until no pair of
-different components is untested. So a large group of near copies costs about its size, and no link between
-components is lost.
+round tests a few pivots, those with the fewest shingles of their own first, against the members of other components,
+and pivots grow each round until no pair of different components is left. Shingles that only one candidate has bound
+the similarity of all its pairs; pairs whose bound is under the threshold are never made. So a large group of near
+copies costs about its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MANTISSA_BITS = 10
 #: Pairs whose estimate is under the threshold by this much are dropped: five standard deviations of the estimate.
 MARGIN = 5 * (0.85 * 0.15 / REGISTERS) ** 0.5
 #: Pivots of a group in the second round.
-PIVOTS = 16
+PIVOTS = 32
 #: Ids that may be broadcast.
 BROADCAST_IDS = 50_000
 CHUNK = 1 << 19
@@ -190,6 +191,20 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "rep long, set binary")
 
 
+def _single(sets: DataFrame) -> DataFrame:
+    """(rep, single): how many shingles of a set are in no other set of the table; those are in no intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("set")]
+            if own:
+                size = np.array([len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.asarray(batch.column("rep")), size))], names=["h", "rep"])
+
+    flat = sets.mapInArrow(run, "h long, rep long")
+    return flat.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("single"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
@@ -222,52 +237,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = _bands(heads)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialise(bands.join(shared, "key"), "members")
-    registers = materialise(heads.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "registers"), "registers")
-    release(heads)
-
-    links = labels = sets = tested = None
+    ids = members.select("rep").distinct()
+    registers = materialise(heads.join(ids, "rep", "left_semi").select("rep", "registers"), "registers")
+    sets = materialise(_sets(docs, materialise(ids, "ids")).dropDuplicates(["rep"]), "sets")
+    own = _single(sets)
+    bounded = materialise(members.join(own, "rep", "left").select("key", "rep", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared")), "members")
+    release(heads, members)
+    members = bounded
+
+    links = labels = tested = None
     pivots = 1
     while True:
         if labels is None:
             named = members.withColumn("label", F.col("rep"))
         else:
-            named = members.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "size", F.coalesce("label", "rep").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        named = named.join(open_keys, "key")
+            named = members.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "size", "shared", F.coalesce("label", "rep").alias("label"))
+            open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+            named = materialise(named.join(open_keys, "key"), "open")
         if labels is None:
             ranked = named.withColumn("common", F.lit(False))
         else:
             most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"))
             ranked = named.join(most, "key").withColumn("common", F.col("label") == F.col("most"))
-        chosen = ranked.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("common", "rep"))).filter(F.col("k") <= pivots)
-        chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("label").alias("pl"))
-        small, large = F.least("size", "ps"), F.greatest("size", "ps")
-        pairs = chosen.join(named, "key").filter((F.col("pl") != F.col("label")) & (100 * small >= THRESHOLD * large))
+        order = W.partitionBy("key").orderBy("common", F.desc("shared"), "rep")
+        chosen = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots)
+        chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("label").alias("pl"))
+        both = F.least("shared", "psh")  # no more than this is in both sets
+        able = 100 * both >= THRESHOLD * (F.col("size") + F.col("ps") - both)
+        pairs = chosen.join(named, "key").filter((F.col("pl") != F.col("label")) & able)
         pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pivots > 1 and not pairs.limit(1).count():
-            # more pivots may remain where all pairs of the first ones were tested
-            if not ranked.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("common", "rep"))).filter(F.col("k") > pivots).limit(1).count():
-                break
-            pivots *= 2
-            continue
-        likely = materialise(_likely(pairs, registers), "likely")
-        needed = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
-        if sets is not None:
-            needed = needed.join(sets, "rep", "left_anti")
-        needed = materialise(needed, "needed")
-        if sets is None or needed.limit(1).count():
-            more = materialise(_sets(docs, needed).dropDuplicates(["rep"]), "sets")
-            sets = more if sets is None else sets.union(more)
-        found = materialise(_verified(likely, sets), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        release(needed, likely)
-        if found.limit(1).count():
+        largest = named.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        found = None
+        if pairs.limit(1).count():
+            likely = materialise(_likely(pairs, registers), "likely")
+            found = materialise(_verified(likely, sets), "links")
+            tested = pairs if tested is None else tested.union(pairs)
+            links = found if links is None else links.union(found)
+            release(likely)
+        if labels is not None:
+            release(named)
+        if pivots >= largest:
+            if links is not None:
+                labels = components(links)
+            break
+        if links is not None and found is not None:
             labels = components(links)
-        pivots = PIVOTS if pivots == 1 else pivots * 2
+        pivots = PIVOTS if pivots == 1 else pivots * 8
 
     of = drawn.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if labels is not None:
