@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-Words of a document are summed in blocks; a window is three neighbouring blocks and its SimHash has a bit for each of
-56 counters of word-hash bits. Counters stand in the bytes of packed longs, so one addition adds seven. A benchmark
-item of n words takes the largest block b (3, 6, 12, ... words; 1 under 11 words) with 4b - 1 <= n: wherever the item
-lies in a document, a window of 3b words that starts at a multiple of b lies wholly in it. Of an item the windows at
-all word offsets are taken, so a copied window meets its equal whatever its place.
-
-Fingerprints are cut into four blocks of 14 bits. Two within Hamming distance RADIUS = 3 agree in one of them, so
+The features of a text are its pairs of neighbouring words. A window is 3b features; each of the 64 bits of its SimHash
+is set where more than half the feature hashes have it. All 64 counts are made at once by full adders over whole longs
+(bit-sliced counters), so a window takes about 5 bit operations a feature. Windows are sized by the item: b is the largest of 3, 6, 12, ... whose window and
+offset, 4b - 1 features, take half the item (all of it for the shortest; 1 under 11 features). Document windows start
+at multiples of b, so one lies wholly in every copy of an item and, where a copy has one changed word, in its longer
+side. Of an item the windows at all offsets are taken, so a copied window meets its equal whatever its place.
+
+Fingerprints are cut into four blocks of 16 bits. Two within Hamming distance RADIUS = 3 agree in one of them, so
 joining on (size, block, bits) finds them all. The aligned passage of each candidate is then compared with the item by
 its five-word shingles, weighted by their characters: the item is found if at least 0.8 of its weight is there.
 """
@@ -26,86 +27,95 @@ BROADCAST_WINDOWS = 200_000
 #: Words on each side of the aligned passage that are compared too, for inserted words.
 PAD = 4
 
-LANES = "0x0001010101010101"  # seven counters of a byte each
-_ONES = int(LANES, 16)
-_TOPS = _ONES << 7
-SHIFTS = range(8)
-BLOCKS, BLOCK_BITS = 4, 14
+BLOCKS, BLOCK_BITS = 4, 16
 
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; no words for null."""
-    plain = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
-    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), ""), F.array().cast("array<string>"))
+
+
+def features(ws: str) -> Column:
+    """A hash for each pair of neighbouring words."""
+    pairs = f"transform(sequence(0, size({ws}) - 2), i -> _w[i] ^ shiftleft(_w[i + 1], 3))"
+    return F.expr(f"CASE WHEN size({ws}) >= 2 THEN {pairs} ELSE cast(array() as array<long>) END")
 
 
-def block_sizes(most_words: int, least_words: int) -> dict[int, list[int]]:
-    """Base block -> blocks of the sizes that items of these lengths take."""
-    out: dict[int, list[int]] = {}
-    if least_words < 11:
-        out[1] = [1]
+def block_size(n: int) -> int:
+    """b for an item of ``n`` words."""
+    if n - 1 < 11:
+        return 1
     b = 3
-    while 4 * b - 1 <= most_words:
-        out.setdefault(3, []).append(b)
+    while 4 * (2 * b) - 1 <= (n - 1) // 2:
         b *= 2
-    return out
+    return b
 
 
-def block_of(n: Column, sizes: dict[int, list[int]]) -> Column:
-    out = F.lit(1)
-    for b in sizes.get(3, []):
-        out = F.when(n >= 4 * b - 1, b).otherwise(out)
-    return out
+def _hashed(df: DataFrame, ws: str) -> DataFrame:
+    return df.withColumn("_w", F.expr(f"transform({ws}, w -> xxhash64(w))")).withColumn("_h", features(ws)).drop("_w")
+
 
+def _majority(df: DataFrame, kept: list[str], bits: list[str]) -> DataFrame:
+    """``kept`` and fp, whose bits are set where more than half of the longs ``bits`` have them.
 
-def _bits(counts: list[Column], width: Column) -> Column:
-    """The fingerprint of packed counts over ``width`` words: a bit is set where more than half the words have it."""
-    bias = (F.lit(127) - F.floor(width / 2)).cast("long") * F.lit(_ONES)
+    Rows of adders, one projection each: three longs of a weight become their sum and, a weight higher, their carry.
+    """
+    columns: dict[int, list[str]] = {0: bits}
+    made = 0
+    while any(len(v) > 1 for v in columns.values()):
+        after: dict[int, list[str]] = {}
+        new = {}
+        for weight, own in sorted(columns.items()):
+            while len(own) > 1:
+                part, own = own[:3], own[3:]
+                total, carry = f"_s{made}", f"_c{made}"
+                made += 1
+                if len(part) == 3:
+                    a, b, c = part
+                    new[total], new[carry] = F.expr(f"{a} ^ {b} ^ {c}"), F.expr(f"({a} & {b}) | ({c} & ({a} ^ {b}))")
+                else:
+                    a, b = part
+                    new[total], new[carry] = F.expr(f"{a} ^ {b}"), F.expr(f"{a} & {b}")
+                after.setdefault(weight, []).append(total)
+                after.setdefault(weight + 1, []).append(carry)
+            after.setdefault(weight, []).extend(own)
+        columns = {w: v for w, v in after.items() if v}
+        live = [c for v in columns.values() for c in v]
+        df = df.select(*kept, *[new[c].alias(c) if c in new else F.col(c) for c in live])
+    least = len(bits) // 2 + 1
+    out = "-1L"
+    for weight in range(max(columns) + 1):
+        count = columns[weight][0] if weight in columns else "0L"
+        out = f"({count} {'&' if least >> weight & 1 else '|'} {out})"
+    return df.select(*kept, F.expr(out).alias("fp"))
+
+
+def _windows(df: DataFrame, kept: list[str], at: str, b: int) -> DataFrame:
+    """``kept`` and fp of the 3b features of _h from ``at`` on."""
+    bits = [f"_f{j}" for j in range(3 * b)]
+    return _majority(df.select(*kept, *[F.expr(f"_h[{at} + {j}]").alias(c) for j, c in enumerate(bits)]), kept, bits)
+
+
+def document_windows(docs: DataFrame, b: int) -> DataFrame:
+    """``docs`` (with ws, the words) exploded to windows: at (first word), block (b), fp."""
+    w = 3 * b
+    hashes = _hashed(docs.filter(F.size("ws") > w), "ws")
+    starts = hashes.select(*docs.columns, "_h", F.explode(F.expr(f"sequence(0, (size(_h) - {w}) div {b})")).alias("_x"))
+    starts = starts.select(*docs.columns, "_h", (F.col("_x") * b).alias("at"))
+    return _windows(starts, [*docs.columns, "at"], "at", b).withColumn("block", F.lit(b))
+
+
+def item_windows(items: DataFrame, blocks: dict[int, list[int]]) -> DataFrame:
+    """``items`` (item_id, iw) exploded to the windows at all offsets: item_id, n (words), off, block, fp.
+    ``blocks`` has the lengths of items for each b."""
     out = None
-    for k, c in zip(SHIFTS, counts, strict=True):
-        part = F.shiftleft(F.shiftright((c + bias).bitwiseAND(F.lit(_TOPS)), 7), k)
-        out = part if out is None else out.bitwiseOR(part)
+    for b, lengths in blocks.items():
+        own = _hashed(items.filter(F.size("iw").isin(lengths)), "iw").select("item_id", F.size("iw").alias("n"), "_h", F.explode(F.expr(f"sequence(0, size(_h) - {3 * b})")).alias("off"))
+        own = _windows(own, ["item_id", "n", "off"], "off", b).withColumn("block", F.lit(b))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
-def document_windows(docs: DataFrame, base: int, blocks: list[int]) -> DataFrame:
-    """``docs`` (with ws, the words) exploded to windows: block (words), at (first word), fp."""
-    hashes = docs.filter(F.size("ws") >= 3 * base).withColumn("_h", F.expr("transform(ws, w -> xxhash64(w))"))
-    own = {}
-    for k in SHIFTS:
-        terms = " + ".join(f"(shiftright(_h[{base} * i + {j}], {k}) & {_ONES}L)" for j in range(base))
-        own[f"_c0_{k}"] = F.expr(f"transform(sequence(0, size(ws) div {base} - 1), i -> {terms})")
-    hashes = hashes.withColumns(own)
-    level, count = 0, [f"size(ws) div {base}"]
-    for _ in blocks[1:]:
-        n = f"{count[-1]} div 2"
-        pair = lambda k: f"transform(sequence(0, {n} - 1), i -> _c{level}_{k}[2 * i] + _c{level}_{k}[2 * i + 1])"  # noqa: B023, E731
-        hashes = hashes.withColumns({f"_c{level + 1}_{k}": F.expr(f"CASE WHEN {n} > 0 THEN {pair(k)} ELSE cast(array() as array<long>) END") for k in SHIFTS})
-        level, count = level + 1, [*count, f"({n})"]
-    # counters of all sizes in one array per shift; a start is a place in it
-    joined = hashes.withColumns({f"_c{k}": F.concat(*[F.col(f"_c{v}_{k}") for v in range(level + 1)]) for k in SHIFTS})
-    first = ["0"]
-    for c in count[:-1]:
-        first.append(f"{first[-1]} + {c}")
-    starts = [f"CASE WHEN {c} >= 3 THEN sequence({f}, {f} + {c} - 3) ELSE cast(array() as array<int>) END" for f, c in zip(first, count, strict=True)]
-    at = joined.select(*docs.columns, *[f"_c{k}" for k in SHIFTS], F.explode(F.expr(f"concat({', '.join(starts)})")).alias("_x"))
-    block, place = F.lit(blocks[0]), F.col("_x") * blocks[0]
-    for f, b in list(zip(first, blocks, strict=True))[1:]:
-        beyond = F.col("_x") >= F.expr(f)
-        block, place = F.when(beyond, b).otherwise(block), F.when(beyond, (F.col("_x") - F.expr(f)) * b).otherwise(place)
-    counts = [F.expr(f"_c{k}[_x] + _c{k}[_x + 1] + _c{k}[_x + 2]") for k in SHIFTS]
-    out = at.select(*docs.columns, block.alias("block"), place.alias("at"), *[c.alias(f"_n{k}") for k, c in zip(SHIFTS, counts, strict=True)])
-    return out.select(*docs.columns, "block", "at", _bits([F.col(f"_n{k}") for k in SHIFTS], 3 * F.col("block")).alias("fp"))
-
-
-def item_windows(items: DataFrame, sizes: dict[int, list[int]]) -> DataFrame:
-    """``items`` (item_id, iw) exploded to the windows at all offsets: item_id, iw, block, off, fp."""
-    own = items.withColumn("block", block_of(F.size("iw"), sizes)).withColumn("_h", F.expr("transform(iw, w -> xxhash64(w))"))
-    own = own.select("item_id", "iw", "block", "_h", F.explode(F.expr("sequence(0, size(iw) - 3 * block)")).alias("off"))
-    counts = [F.expr(f"aggregate(slice(_h, off + 1, 3 * block), 0L, (a, h) -> a + (shiftright(h, {k}) & {_ONES}L))") for k in SHIFTS]
-    return own.select("item_id", "iw", "block", "off", _bits(counts, 3 * F.col("block")).alias("fp"))
-
-
 def _keys(df: DataFrame, fp: str) -> Column:
     """The four keys of a fingerprint: size, block number and bits in one long."""
     part = lambda b: (F.col("block").cast("long") * BLOCKS + b) * (1 << BLOCK_BITS) + F.shiftright(F.col(fp), BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
@@ -122,34 +132,34 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text, ``items`` item_id and text; others are ignored. Null texts hold nothing. Items of
     under five words mark no document. Repeated items or documents give one row a pair; a null doc_id is one document.
     """
+    # Constraints through the rows of adders would grow exponentially in the optimizer; none of them helps here.
+    docs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     own = items.select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") >= SHINGLE).distinct()
-    stats = own.agg(F.min(F.size("iw")), F.max(F.size("iw")), F.sum(F.size("iw"))).first()
-    least, most, total = (int(x or 0) for x in stats)
+    lengths = own.groupBy(F.size("iw").alias("n")).count().collect()  # a row a length
+    blocks: dict[int, list[int]] = {}
+    for r in lengths:
+        blocks.setdefault(block_size(r["n"]), []).append(r["n"])
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, word int, similarity double, passage string")
+    few = sum(r["n"] * r["count"] for r in lengths) <= BROADCAST_WINDOWS  # an item has fewer windows than words
     parsed = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    sizes = block_sizes(most, least)
-    few = total <= BROADCAST_WINDOWS  # an item has fewer windows than words
-    right = item_windows(own, sizes)
-    right = right.select("item_id", "iw", "block", "off", F.col("fp").alias("item_fp"), _keys(right, "fp").alias("key"))
+    right = item_windows(own, blocks)
+    right = right.select("item_id", "n", "off", F.col("fp").alias("item_fp"), _keys(right, "fp").alias("key"))
+    region = F.expr(f"slice(ws, greatest(word - {PAD}, 0) + 1, n + {2 * PAD} + least(word - {PAD}, 0))").alias("region")
     found = None
-    for base, blocks in sizes.items():
-        left = document_windows(parsed, base, blocks)
-        if few:
-            left = left.select("doc_id", "ws", "block", "at", "fp", _keys(left, "fp").alias("key"))
-            hits = left.join(F.broadcast(right.drop("block")), "key")
-        else:  # window rows move, so the words join again afterwards
-            left = left.select("doc_id", "block", "at", "fp", _keys(left, "fp").alias("key"))
-            hits = left.join(right.drop("block"), "key")
-        hits = hits.filter(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}"))
-        hits = hits.withColumn("word", F.col("at") - F.col("off"))
-        region = F.expr(f"slice(ws, greatest(word - {PAD}, 0) + 1, size(iw) + {2 * PAD} + least(word - {PAD}, 0))")
+    for b in blocks:
+        left = document_windows(parsed, b)
+        kept = ["doc_id", "ws"] if few else ["doc_id"]  # where window rows move, the words join again afterwards
+        left = left.select(*kept, "block", "at", "fp", _keys(left, "fp").alias("key"))
+        hits = left.join(F.broadcast(right) if few else right, "key").filter(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}"))
+        hits = hits.select(*kept, "item_id", "n", (F.col("at") - F.col("off")).alias("word"))
         if few:
-            hits = hits.select("doc_id", "item_id", "iw", "word", region.alias("region"))
+            hits = hits.select("doc_id", "item_id", "word", region)
         else:
-            hits = hits.select("doc_id", "item_id", "iw", "word").distinct().alias("h").join(parsed.alias("p"), F.expr("h.doc_id <=> p.doc_id")).select("h.doc_id", "item_id", "iw", "word", region.alias("region"))
+            hits = hits.distinct().alias("h").join(parsed.alias("p"), F.expr("h.doc_id <=> p.doc_id")).select("h.doc_id", "item_id", "word", region)
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, word int, similarity double, passage string")
-    places = found.groupBy("doc_id", "item_id", "iw", "word").agg(F.max("region").alias("region")).filter(F.size("region") >= SHINGLE)
+    places = found.groupBy("doc_id", "item_id", "word").agg(F.max("region").alias("region")).filter(F.size("region") >= SHINGLE)
+    places = places.join(F.broadcast(own) if few else own, "item_id")
     weighed = places.withColumn("want", F.expr(shingles("iw"))).withColumn("have", F.expr(shingles("region")))
     weight = lambda x: f"aggregate({x}, 0, (a, s) -> a + length(s))"
     scored = weighed.withColumn("similarity", F.expr(f"{weight('array_intersect(want, have)')} / {weight('want')}")).filter(F.col("similarity") >= SIMILARITY)
