@@ -34,6 +34,8 @@ MANTISSA_BITS = 10
 MARGIN = 5 * (0.85 * 0.15 / REGISTERS) ** 0.5
 #: Pivots of a group in the second round.
 PIVOTS = 32
+#: Members from which on a group's sets are compared with its most typical one.
+LARGE = 64
 #: Ids that may be broadcast.
 BROADCAST_IDS = 50_000
 CHUNK = 1 << 19
@@ -205,22 +207,41 @@ def _single(sets: DataFrame) -> DataFrame:
     return flat.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("single"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, either): sizes of the intersection and the union of the full sets."""
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, either = [], []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+                both.append(int((y[at] == x).sum()))
+                either.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long")
+
+
+def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, rep, size, shared, core, rest): what of a set other sets can share.
+
+    shared leaves out the shingles that no other set has. In groups of over LARGE members the sets are also compared
+    with the group's most typical one: core is what a set has in common with it, rest is what else can be shared. So
+    two sets of a group share at most the lesser core and the lesser rest.
+    """
+    own = members.join(_single(sets), "rep", "left").select("key", "rep", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared"))
+    own = materialise(own, "members")
+    typical = own.groupBy("key").agg(F.count("*").alias("n"), F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("c")).filter(F.col("n") > LARGE).select("key", "c")
+    large = materialise(own.join(typical, "key"), "large")
+    counts = materialise(_common(large.filter("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), sets), "cores")
+    named = large.select("key", "rep", "c").join(counts.select(F.col("a").alias("c"), F.col("b").alias("rep"), "both"), ["c", "rep"], "left").select("key", "rep", "c", "both")
+    out = own.join(named, ["key", "rep"], "left").withColumn("core", F.when(F.col("rep") == F.col("c"), F.col("shared")).otherwise(F.col("both")))
+    out = materialise(out.select("key", "rep", "size", "shared", "core", (F.col("shared") - F.col("core")).alias("rest")), "members")
+    release(own, large, counts)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,8 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = members.select("rep").distinct()
     registers = materialise(heads.join(ids, "rep", "left_semi").select("rep", "registers"), "registers")
     sets = materialise(_sets(docs, materialise(ids, "ids")).dropDuplicates(["rep"]), "sets")
-    own = _single(sets)
-    bounded = materialise(members.join(own, "rep", "left").select("key", "rep", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared")), "members")
+    bounded = _bounded(members, sets)
     release(heads, members)
     members = bounded
 
@@ -251,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if labels is None:
             named = members.withColumn("label", F.col("rep"))
         else:
-            named = members.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "size", "shared", F.coalesce("label", "rep").alias("label"))
+            named = members.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "size", "shared", "core", "rest", F.coalesce("label", "rep").alias("label"))
             open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
             named = materialise(named.join(open_keys, "key"), "open")
         if labels is None:
@@ -261,8 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ranked = named.join(most, "key").withColumn("common", F.col("label") == F.col("most"))
         order = W.partitionBy("key").orderBy("common", F.desc("shared"), "rep")
         chosen = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots)
-        chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("label").alias("pl"))
-        both = F.least("shared", "psh")  # no more than this is in both sets
+        chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("core").alias("pcore"), F.col("rest").alias("prest"), F.col("label").alias("pl"))
+        parts = F.when(F.col("core").isNotNull() & F.col("pcore").isNotNull(), F.least("core", "pcore") + F.least("rest", "prest"))
+        both = F.least("shared", "psh", parts)  # no more than this is in both sets (least skips nulls)
         able = 100 * both >= THRESHOLD * (F.col("size") + F.col("ps") - both)
         pairs = chosen.join(named, "key").filter((F.col("pl") != F.col("label")) & able)
         pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
@@ -273,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = None
         if pairs.limit(1).count():
             likely = materialise(_likely(pairs, registers), "likely")
-            found = materialise(_verified(likely, sets), "links")
+            found = materialise(_common(likely, sets).filter(100 * F.col("both") >= THRESHOLD * F.col("either")).select("a", "b"), "links")
             tested = pairs if tested is None else tested.union(pairs)
             links = found if links is None else links.union(found)
             release(likely)

@@ -52,7 +52,8 @@ def corpus():
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "a b É"), (n + 4, "a b É"), (n + 5, "É a")]
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", 4)
     rows = corpus()
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, rep string")
     got = near_dup.near_duplicates(df).collect()
