@@ -63,3 +63,32 @@ def stability_category(df: DataFrame, value: str) -> DataFrame:
     cut = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
     label = F.when(F.col(value) <= F.col("_q")[0], "High").when(F.col(value) <= F.col("_q")[1], "Medium").otherwise("Low")
     return df.join(F.broadcast(cut)).withColumn("stability_category", label).drop("_q")
+
+
+def motif_presence(seqs: DataFrame, column: str, motifs: dict[str, str], group: str, p_values: bool = True) -> DataFrame:
+    """Fixed patterns in group 1 against group 0: sequences that have them, shares, odds ratio, Fisher's exact test."""
+    counts = []
+    for g in (1, 0):
+        counts += [F.count_if((F.col(group) == g) & F.col(column).rlike(m)).alias(f"{name}|{g}") for name, m in motifs.items()]
+    wide = seqs.filter(F.length(column) > 0).agg(*counts, F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("motif"), F.col(f"`{m}|1`").alias("seq1"), F.col(f"`{m}|0`").alias("seq0")) for m in motifs])).alias("r")
+    out = wide.select("n1", "n0", rows).select("r.*", "n1", "n0")
+    odds = F.col("seq1") * (F.col("n0") - F.col("seq0")) / F.nullif(F.col("seq0") * (F.col("n1") - F.col("seq1")), F.lit(0))
+    out = out.withColumn("freq1", F.col("seq1") / F.nullif("n1", F.lit(0))).withColumn("freq0", F.col("seq0") / F.nullif("n0", F.lit(0))).withColumn("odds_ratio", odds)
+    if not p_values:
+        return out
+    tested = out.withColumn("p_value", fisher_p("seq1", F.col("n1") - F.col("seq1"), "seq0", F.col("n0") - F.col("seq0")))
+    return benjamini_hochberg(tested, "p_value", "p_adjusted")
+
+
+def motif_flag_totals(features: DataFrame) -> DataFrame:
+    """How many transcripts have each boolean feature."""
+    flags = [c for c, t in features.dtypes if t == "boolean"]
+    return features.agg(*[F.count_if(F.col(c)).alias(c) for c in flags]).unpivot([], flags, "feature", "n")
+
+
+def mean_codon_usage(usage: DataFrame, top: int | None = None) -> DataFrame:
+    """Mean share of each codon over all transcripts, those without it counting 0."""
+    total = usage.agg(F.countDistinct("id").alias("_n"))
+    out = usage.groupBy("codon").agg(F.sum("freq").alias("_s")).join(F.broadcast(total)).select("codon", (F.col("_s") / F.col("_n")).alias("mean_freq"))
+    return out.orderBy(F.desc(F.round("mean_freq", 9)), "codon").limit(top) if top else out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import benjamini_hochberg, f_p, r6
-from ..functions.sequences import GENETIC_CODE
+from ..functions.sequences import GENETIC_CODE, UTR3_MOTIFS, UTR5_MOTIFS
 from ..operators import association as A
 from ..operators import batch as B
 from ..operators import descriptive as D
@@ -433,6 +433,36 @@ def motif_enrichment(spark, sf):
     return rounded(Q.kmer_enrichment(T.sequences(spark, sf), "utr3", "quality", 6, 30))
 
 
+def _presence_sql(column: str, motifs: dict[str, str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{m}' AS motif, count(*) FILTER (quality = 1 AND regexp_matches({column}, '{p}')) AS seq1, count(*) FILTER (quality = 0 AND regexp_matches({column}, '{p}')) AS seq0, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0 FROM q WHERE length({column}) > 0" for m, p in motifs.items())
+    return T.SEQ_SQL + f", mp AS ({parts}) SELECT motif, seq1, seq0, n1, n0, {_r('seq1 / CAST(n1 AS DOUBLE) AS freq1', 'seq0 / CAST(n0 AS DOUBLE) AS freq0', 'seq1 * (n0 - seq0) / nullif(CAST(seq0 * (n1 - seq1) AS DOUBLE), 0) AS odds_ratio')} FROM mp"
+
+
+@query(_presence_sql("utr5", UTR5_MOTIFS))
+def motif_presence_utr5(spark, sf):
+    return rounded(Q.motif_presence(T.sequences(spark, sf), "utr5", UTR5_MOTIFS, "quality", p_values=False))
+
+
+@query(_presence_sql("utr3", UTR3_MOTIFS))
+def motif_presence_utr3(spark, sf):
+    return rounded(Q.motif_presence(T.sequences(spark, sf), "utr3", UTR3_MOTIFS, "quality", p_values=False))
+
+
+@query()
+def motif_presence_p(spark, sf):
+    return rounded(Q.motif_presence(T.sequences(spark, sf), "utr3", UTR3_MOTIFS, "quality"))
+
+
+@query(T.SEQ_SQL + f", ut AS ({UTR}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c}) AS n FROM ut" for c in ("kozak_sequence_present", "TOP_motif_present", "G_quadruplex_present", "polyA_signal_present", "ARE_motifs_present")))
+def motif_flag_totals(spark, sf):
+    return Q.motif_flag_totals(Q.utr_features(T.sequences(spark, sf)))
+
+
+@query(T.SEQ_SQL + f", {CODONS}, cf AS (SELECT id, codon, n / CAST(sum(n) OVER (PARTITION BY id) AS DOUBLE) AS freq FROM cd) SELECT codon, {_r('sum(freq) / (SELECT count(DISTINCT id) FROM cf) AS mean_freq')} FROM cf GROUP BY 1")
+def mean_codon_usage(spark, sf):
+    return rounded(Q.mean_codon_usage(Q.codon_usage(T.sequences(spark, sf))))
+
+
 @query(T.EXPR_SQL + f""", {GENE_STATS}, ct AS (SELECT quantile_cont(cv, 1/3.0) AS lo, quantile_cont(cv, 2/3.0) AS hi FROM gs)
 SELECT gene_id, {_r('cv')}, CASE WHEN cv <= lo THEN 'High' WHEN cv <= hi THEN 'Medium' ELSE 'Low' END AS stability_category FROM gs, ct""")
 def stability_category(spark, sf):
