@@ -280,12 +280,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"))
             ranked = named.join(most, "key").withColumn("common", F.col("label") == F.col("most"))
         order = W.partitionBy("key").orderBy("common", F.desc("shared"), "rep")
-        chosen = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots)
+        numbered = ranked.withColumn("k", F.row_number().over(order))
+        chosen = numbered.filter(F.col("k") <= pivots)
         chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("core").alias("pcore"), F.col("rest").alias("prest"), F.col("label").alias("pl"))
         parts = F.when(F.col("core").isNotNull() & F.col("pcore").isNotNull(), F.least("core", "pcore") + F.least("rest", "prest"))
         both = F.least("shared", "psh", parts)  # no more than this is in both sets (least skips nulls)
         able = 100 * both >= THRESHOLD * (F.col("size") + F.col("ps") - both)
-        pairs = chosen.join(named, "key").filter((F.col("pl") != F.col("label")) & able)
+        once = (F.col("k") > pivots) | (F.col("p") < F.col("rep"))  # two pivots meet once
+        pairs = chosen.join(numbered, "key").filter((F.col("pl") != F.col("label")) & once & able)
         pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -306,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         if links is not None and found is not None:
             labels = components(links)
-        pivots = PIVOTS if pivots == 1 else pivots * 8
+        pivots = PIVOTS if pivots == 1 else pivots * PIVOTS
 
     of = drawn.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if labels is not None:
