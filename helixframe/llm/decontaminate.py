@@ -2,14 +2,20 @@
 
 The features of a text are its pairs of neighbouring words. A window is 3b features; each of the 64 bits of its SimHash
 is set where more than half the feature hashes have it. All 64 counts are made at once by full adders over whole longs
-(bit-sliced counters), so a window takes about 5 bit operations a feature. Windows are sized by the item: b is the largest of 3, 6, 12, ... whose window and
-offset, 4b - 1 features, take half the item (all of it for the shortest; 1 under 11 features). Document windows start
-at multiples of b, so one lies wholly in every copy of an item and, where a copy has one changed word, in its longer
-side. Of an item the windows at all offsets are taken, so a copied window meets its equal whatever its place.
+(bit-sliced counters), so a window takes about 5 bit operations a feature. Document windows start at multiples of b, so
+one lies wholly in every run of 4b words that a copy has unchanged. Of an item the windows at all offsets are taken, so
+a copied window meets its equal whatever its place.
+
+b is the item's: the largest of 3, 2 and 1 for which every copy that keeps 0.8 of the weight has such a run, however
+its edits are spread. A changed, inserted, deleted or moved word breaks at least four shingles in a row (fewer at the
+ends only), so ``breaking`` finds the least weight that edits must break to leave no run of a length; if that is over
+0.2 of the whole, the run is there. b = 1 needs one unbroken shingle, which every such copy has; items that repeat a
+shingle get it too.
 
 Fingerprints are cut into four blocks of 16 bits. Two within Hamming distance RADIUS = 3 agree in one of them, so
-joining on (size, block, bits) finds them all. The aligned passage of each candidate is then compared with the item by
-its five-word shingles, weighted by their characters: the item is found if at least 0.8 of its weight is there.
+joining on (size, block, bits) finds them all. The aligned passage of each candidate, and a fifth of the item's length
+more on each side for inserted words, is then compared with the item by its five-word shingles, weighted by their
+characters: the item is found if at least 0.8 of its weight is there.
 """
 
 from __future__ import annotations
@@ -24,8 +30,10 @@ SIMILARITY = 0.8
 RADIUS = 3
 #: Windows of items that may be broadcast (a row has about 60 bytes); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
-#: Words on each side of the aligned passage that are compared too, for inserted words.
-PAD = 4
+#: Words on each side of the aligned passage that are compared too, for inserted words; and one more for so many of the item.
+PAD, PAD_SHARE = 4, 5
+#: b, and the shingles in a row whose words hold a window at a multiple of b. The last one every copy has.
+RUNS = {3: 8, 2: 4, 1: 1}
 
 BLOCKS, BLOCK_BITS = 4, 16
 
@@ -41,14 +49,34 @@ def features(ws: str) -> Column:
     return F.expr(f"CASE WHEN size({ws}) >= 2 THEN {pairs} ELSE cast(array() as array<long>) END")
 
 
-def block_size(n: int) -> int:
-    """b for an item of ``n`` words."""
-    if n - 1 < 11:
-        return 1
-    b = 3
-    while 4 * (2 * b) - 1 <= (n - 1) // 2:
-        b *= 2
-    return b
+def breaking(c: str, run: int) -> str:
+    """The least sum of ``c`` (array<long>, the shingles' weights in order) that edits break to leave no ``run`` in a row.
+
+    g has, for the last places, the least sum with a break just before the place: one shingle more than a break before
+    it, or four after at most ``run`` - 1 unbroken ones. p is the sum so far, best the least that a break up to the end
+    leaves over (less the whole sum).
+    """
+    g = (
+        f"least(element_at(s.g, -1) + get({c}, i - 1), array_min(slice(s.g, 1, greatest(size(s.g) - 3, 0)))"
+        f" + get({c}, i - 1) + get({c}, i - 2) + get({c}, i - 3) + get({c}, i - 4))"
+    )
+    kept = f"slice(concat(s.g, array({g})), greatest(size(s.g) - {run + 2}, 0) + 1, {run + 3})"
+    best = f"least(s.best, get(s.g, size(s.g) - {run - 1}) - s.p - get({c}, i - 1))"
+    last = f"array_min(slice(s.g, greatest(size(s.g) - {run}, 0) + 1, {run}))"
+    start = f"named_struct('g', array(0L), 'p', 0L, 'best', {1 << 60}L)"
+    return f"aggregate(sequence(1, size({c})), {start}, (s, i) -> named_struct('g', {kept}, 'p', s.p + get({c}, i - 1), 'best', {best}), s -> least(s.best + s.p, {last}))"
+
+
+def with_blocks(items: DataFrame) -> DataFrame:
+    """``items`` (iw, five words at least) with block: b."""
+    # A filter on block may run before the one on the size, so shorter ones must not fail.
+    every = f"transform(sequence(1, greatest(size(iw) - {SHINGLE - 1}, 1)), i -> array_join(slice(iw, i, {SHINGLE}), ' '))"
+    own = items.withColumn("_s", F.expr(every)).withColumn("_c", F.expr("transform(_s, x -> cast(length(x) as long))"))
+    total = "aggregate(_c, 0L, (a, x) -> a + x)"
+    block = F.when(F.expr("size(array_distinct(_s)) < size(_s)"), min(RUNS))
+    for b in sorted(RUNS, reverse=True)[:-1]:
+        block = block.when(F.expr(f"{breaking('_c', RUNS[b])} > {total} * {1 - SIMILARITY:.6f}D"), b)
+    return own.withColumn("block", block.otherwise(min(RUNS))).drop("_s", "_c")
 
 
 def _hashed(df: DataFrame, ws: str) -> DataFrame:
@@ -105,12 +133,11 @@ def document_windows(docs: DataFrame, b: int) -> DataFrame:
     return _windows(starts, [*docs.columns, "at"], "at", b).withColumn("block", F.lit(b))
 
 
-def item_windows(items: DataFrame, blocks: dict[int, list[int]]) -> DataFrame:
-    """``items`` (item_id, iw) exploded to the windows at all offsets: item_id, n (words), off, block, fp.
-    ``blocks`` has the lengths of items for each b."""
+def item_windows(items: DataFrame, blocks: list[int]) -> DataFrame:
+    """``items`` (item_id, iw, block) exploded to the windows at all offsets: item_id, n (words), off, block, fp."""
     out = None
-    for b, lengths in blocks.items():
-        own = _hashed(items.filter(F.size("iw").isin(lengths)), "iw").select("item_id", F.size("iw").alias("n"), "_h", F.explode(F.expr(f"sequence(0, size(_h) - {3 * b})")).alias("off"))
+    for b in blocks:
+        own = _hashed(items.filter(F.col("block") == b), "iw").select("item_id", F.size("iw").alias("n"), "_h", F.explode(F.expr(f"sequence(0, size(_h) - {3 * b})")).alias("off"))
         own = _windows(own, ["item_id", "n", "off"], "off", b).withColumn("block", F.lit(b))
         out = own if out is None else out.unionByName(own)
     return out
@@ -135,17 +162,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     # Constraints through the rows of adders would grow exponentially in the optimizer; none of them helps here.
     docs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     own = items.select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") >= SHINGLE).distinct()
-    lengths = own.groupBy(F.size("iw").alias("n")).count().collect()  # a row a length
-    blocks: dict[int, list[int]] = {}
-    for r in lengths:
-        blocks.setdefault(block_size(r["n"]), []).append(r["n"])
+    own = with_blocks(own)
+    sizes = own.groupBy("block").agg(F.sum(F.size("iw")).alias("words")).collect()  # a row a b
+    blocks = sorted(r["block"] for r in sizes)
     if not blocks:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, word int, similarity double, passage string")
-    few = sum(r["n"] * r["count"] for r in lengths) <= BROADCAST_WINDOWS  # an item has fewer windows than words
+    few = sum(r["words"] for r in sizes) <= BROADCAST_WINDOWS  # an item has fewer windows than words
     parsed = docs.select("doc_id", words(F.col("text")).alias("ws"))
     right = item_windows(own, blocks)
     right = right.select("item_id", "n", "off", F.col("fp").alias("item_fp"), _keys(right, "fp").alias("key"))
-    region = F.expr(f"slice(ws, greatest(word - {PAD}, 0) + 1, n + {2 * PAD} + least(word - {PAD}, 0))").alias("region")
+    pad = f"({PAD} + n div {PAD_SHARE})"
+    region = F.expr(f"slice(ws, cast(greatest(word - {pad}, 0) + 1 as int), cast(n + 2 * {pad} + least(word - {pad}, 0) as int))").alias("region")
     found = None
     for b in blocks:
         left = document_windows(parsed, b)
@@ -159,6 +186,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             hits = hits.distinct().alias("h").join(parsed.alias("p"), F.expr("h.doc_id <=> p.doc_id")).select("h.doc_id", "item_id", "word", region)
         found = hits if found is None else found.unionByName(hits)
     places = found.groupBy("doc_id", "item_id", "word").agg(F.max("region").alias("region")).filter(F.size("region") >= SHINGLE)
+    own = own.drop("block")
     places = places.join(F.broadcast(own) if few else own, "item_id")
     weighed = places.withColumn("want", F.expr(shingles("iw"))).withColumn("have", F.expr(shingles("region")))
     weight = lambda x: f"aggregate({x}, 0, (a, s) -> a + length(s))"

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -53,6 +54,45 @@ def test_planted_items_are_found_and_clean_documents_left(spark, monkeypatch, bo
     assert clean == set(texts) - {x for x, _ in got}
 
 
+def test_copies_with_spread_edits_are_found(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 11)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((12, 15, 19, 24, 30, 56, 100, 200))]
+    wanted, docs = dict(items), []
+    for i, text in items:
+        for k in range(150):
+            ws, edits = text.split(), r.randrange(1, 2 + len(text.split()) // 20)
+            places = r.sample(range(len(ws)), edits) if k % 2 else [(j + 1) * len(ws) // (edits + 1) for j in range(edits)]
+            for at in sorted(places, reverse=True):  # a changed, a deleted or up to four new words
+                ws[at : at + r.randrange(2)] = [word() + "x" for _ in range(r.randrange(5))]
+            text_ = " ".join([word() for _ in range(r.randrange(40))] + ws + [word() for _ in range(r.randrange(40))])
+            want = shingles(text)
+            if sum(map(len, want & shingles(text_))) >= 0.8 * sum(map(len, want)):
+                docs.append((len(docs), text_, i, edits))
+    assert {(5, 2), (6, 3), (7, 7)} <= {(i, n) for _, _, i, n in docs}
+    got = {(x.doc_id, x.item_id): x.similarity for x in dc.contaminated(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [(i, n) for d, _, i, n in docs if (d, i) not in got] == []
+    assert all(sum(map(len, shingles(wanted[i]) & shingles(docs[d][1]))) >= 0.8 * sum(map(len, shingles(wanted[i]))) for d, i in got)
+
+
+def test_weight_that_breaks_all_runs(spark):
+    r = random.Random(8)
+    rows = [([r.randrange(1, 9) for _ in range(r.randrange(1, 15))],) for _ in range(60)]
+
+    def brute(c, run):
+        best = sum(c)
+        for bits in range(1 << len(c)):
+            runs = [(v, len(list(g))) for v, g in itertools.groupby(bits >> k & 1 for k in range(len(c)))]
+            inner = runs[1:-1]
+            if all(v or n < run for v, n in runs) and all(n >= 4 for v, n in inner if v):
+                best = min(best, sum(x for k, x in enumerate(c) if bits >> k & 1))
+        return best
+
+    df = spark.createDataFrame(rows, "c array<long>")
+    for run in (8, 4):
+        assert [(x.c, x.b) for x in df.selectExpr("c", dc.breaking("c", run) + " b").collect()] == [(c, brute(c, run)) for c, in rows]
+
+
 def test_fingerprint_is_the_majority_of_bits(spark):
     from pyspark.sql import functions as F
 
