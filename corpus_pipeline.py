@@ -13,6 +13,8 @@ from helixframe.llm.common import materialise, release, small_batches, table
 
 #: Documents whose language is less certain than this are rejected, as are those without letters.
 LEAST_SCORE = 0.4
+#: Documents whose five-word shingles are this similar (per cent) are near copies; op9's 85 is that query's own.
+NEAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least doc_id."""
     small_batches(spark)
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = near_dup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.expr("doc_id <=> _kept"), "left_semi")
 
 

@@ -26,12 +26,12 @@ from .common import chunks, materialise, mix64, release, small_batches, table, t
 from .graph import components
 
 WORDS = 5
-THRESHOLD = 85  # per cent
+THRESHOLD = 85  # per cent, of op9; near_duplicates takes others too
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
-#: Pairs whose estimate is under the threshold by this much are dropped: five standard deviations of the estimate.
-MARGIN = 5 * (0.85 * 0.15 / REGISTERS) ** 0.5
+#: Pairs whose estimate is under the threshold by this many standard deviations of the estimate are dropped.
+DEVIATIONS = 5
 #: Pivots of a group in the second round.
 PIVOTS = 32
 #: Members from which on a group's sets are compared with its most typical one.
@@ -163,8 +163,14 @@ def _bands(heads: DataFrame) -> DataFrame:
     return heads.select("rep", "n_shingles", "registers").mapInArrow(run, "key long, rep long, size long")
 
 
-def _likely(pairs: DataFrame, registers: DataFrame) -> DataFrame:
+def margin(threshold: int) -> float:
+    """What the estimate may be under ``threshold`` per cent."""
+    return DEVIATIONS * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
+
+
+def _likely(pairs: DataFrame, registers: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose estimated similarity is not clearly under the threshold."""
+    least = threshold / 100 - margin(threshold)
     a = registers.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
     b = registers.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
 
@@ -172,7 +178,7 @@ def _likely(pairs: DataFrame, registers: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.stack([np.frombuffer(v.as_py(), np.uint16) for v in batch.column(c)]) for c in ("ra", "rb"))
-                keep = pa.array(estimate(x, y) >= THRESHOLD / 100 - MARGIN)
+                keep = pa.array(estimate(x, y) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
@@ -244,10 +250,10 @@ def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of ``docs`` (doc_id, text; others ignored).
 
-    Documents are linked if their shingle sets' similarity is at least THRESHOLD per cent. component_id is the least
+    Documents are linked if their shingle sets' similarity is at least ``threshold`` per cent. component_id is the least
     doc_id that is reachable; kept is doc_id = component_id. Texts without words (or null) are linked with nothing.
     doc_id is unique; rows that repeat one with the same text fall into the same component, and a null doc_id stands
     alone (component null, kept).
@@ -285,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("core").alias("pcore"), F.col("rest").alias("prest"), F.col("label").alias("pl"))
         parts = F.when(F.col("core").isNotNull() & F.col("pcore").isNotNull(), F.least("core", "pcore") + F.least("rest", "prest"))
         both = F.least("shared", "psh", parts)  # no more than this is in both sets (least skips nulls)
-        able = 100 * both >= THRESHOLD * (F.col("size") + F.col("ps") - both)
+        able = 100 * both >= threshold * (F.col("size") + F.col("ps") - both)
         once = (F.col("k") > pivots) | (F.col("p") < F.col("rep"))  # two pivots meet once
         pairs = chosen.join(numbered, "key").filter((F.col("pl") != F.col("label")) & once & able)
         pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
@@ -295,8 +301,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         largest = named.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         found = None
         if pairs.limit(1).count():
-            likely = materialise(_likely(pairs, registers), "likely")
-            found = materialise(_common(likely, sets).filter(100 * F.col("both") >= THRESHOLD * F.col("either")).select("a", "b"), "links")
+            likely = materialise(_likely(pairs, registers, threshold), "likely")
+            found = materialise(_common(likely, sets).filter(100 * F.col("both") >= threshold * F.col("either")).select("a", "b"), "links")
             tested = pairs if tested is None else tested.union(pairs)
             links = found if links is None else links.union(found)
             release(likely)

@@ -45,3 +45,16 @@ def test_stages_keep_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, df, "").columns == df.columns
+
+
+def test_near_dedup_takes_pairs_from_80_per_cent_on(spark):
+    from test_near_dup import near_dup
+
+    words = [f"w{i}" for i in range(300)]
+    changed = lambda n: " ".join("new" + w if i % (300 // n) == 20 else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, changed(6)), (3, changed(10))]
+    own = lambda n: (296 - 5 * n) / (296 + 5 * n)
+    assert 0.8 <= own(6) < 0.85 and own(10) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3}
+    assert {r.doc_id for r in near_dup.near_duplicates(df).filter("kept").collect()} == {1, 2, 3}
