@@ -1,14 +1,17 @@
 """Chat formatting with one training example per assistant turn.
 
-A conversation's formatted text is kept once, as the segments of its turns. An example is an assistant turn's row:
-its context is all segments before it (``context_chars`` characters) and only its reply is trainable. So the output
-grows with the turns, not with their square; ``examples`` joins contexts to strings for conversations of bounded length.
+An example is the formatted text of all turns up to an assistant turn; only that turn's reply is trainable. So the
+examples of a conversation grow with the square of its turns. ``training_examples`` streams them, none left out: the
+prefix is spooled (to disk where it is long) and an example goes out in chunks. ``format_conversations`` gives each
+conversation's formatted text once, as segments; ``examples`` joins those to strings for conversations of bounded length.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,8 @@ _ROLE_UNESCAPE = re.compile(r"\\(n|\\?)")
 _SEGMENT = re.compile(r"<\|turn\|>([^\n]*)\n(.*)<\|end\|>\n", re.S)
 #: Rows of output per Arrow batch.
 OUT_ROWS = 512
+#: Bytes read at once from a spooled prefix, bytes of it that stay in memory, and characters per batch of chunks.
+CHUNK_BYTES, SPOOL_BYTES, BATCH_CHARS = 1 << 18, 1 << 22, 1 << 21
 
 
 def escape(text: str) -> str:
@@ -130,9 +135,147 @@ def digest(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, DIGEST)
 
 
+EXAMPLES = "conv_id long, conv long, example long, first boolean, text string, target_start long, target_end long"
+_EXAMPLES = pa.schema([(x.split()[0], {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}[x.split()[1]]) for x in EXAMPLES.split(", ")])
+
+
+def training_examples(turns: DataFrame) -> DataFrame:
+    """Every example in chunks, in order within each partition; ``turns`` as for format_conversations.
+
+    conv counts a partition's conversations. first marks an example's first chunk, target_start/target_end is the
+    reply's span in the example. What follows a conversation's last example (all of it where there is none) comes at
+    its end with null example.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _EXAMPLES, strict=True)], schema=_EXAMPLES)
+            rows.clear()
+            size = 0
+            return made
+
+        def emit(example: int | None, since: int, start: int | None, end: int | None) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            spool.seek(since)
+            decode, first = codecs.getincrementaldecoder("utf-8")().decode, True
+            while data := spool.read(CHUNK_BYTES):
+                rows.append((now, conv_no, example, first, decode(data), start, end))
+                size, first = size + len(data), False
+                if size >= BATCH_CHARS or len(rows) >= OUT_ROWS:
+                    yield out()
+            spool.seek(0, 2)
+
+        now, conv_no, at, count, since = None, -1, 0, 0, 0
+        spool = None
+        for batch in batches:
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if spool is None or conv != now:
+                    if spool is not None:
+                        yield from emit(None, since, None, None)
+                        spool.close()
+                    spool = tempfile.SpooledTemporaryFile(SPOOL_BYTES)
+                    now, conv_no, at, count, since = conv, conv_no + 1, 0, 0, 0
+                segment, start, end = format_turn(role or "", text or "")
+                spool.write(segment.encode())
+                if role == "assistant":
+                    yield from emit(count, 0, at + start, at + end)
+                    count, since = count + 1, spool.tell()
+                at += len(segment)
+        if spool is not None:
+            yield from emit(None, since, None, None)
+            spool.close()
+        if rows:
+            yield out()
+
+    ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text").mapInArrow(run, EXAMPLES)
+
+
+def example_digest(parts: DataFrame) -> DataFrame:
+    """The digest of conversations, read back from training_examples' output (whose order within partitions it relies on).
+
+    Replies are what the examples' spans hold. Turns are read where an example goes beyond the one before it; its
+    context must be that one's text, or this raises.
+    """
+
+    class State:
+        def __init__(self, conv_id: int | None) -> None:
+            self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+            self.turns_hash, self.loss_hash, self.text_hash = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+            self.rest, self.reply, self.at, self.known, self.own = "", None, 0, 0, None
+
+        def begin(self) -> None:
+            self.end()
+            self.at, self.known, self.own, self.reply = 0, self.chars, hashlib.sha256(), []
+
+        def add(self, text: str, start: int, end: int) -> None:
+            lo, hi = max(start - self.at, 0), min(end - self.at, len(text))
+            if lo < hi:
+                self.reply.append(text[lo:hi])
+            old = max(min(self.known - self.at, len(text)), 0)
+            self.own.update(text[:old].encode())
+            self.at += len(text)
+            self.new(text[old:])
+
+        def new(self, text: str) -> None:
+            if not text:
+                return
+            if self.own is not None and self.own.digest() != self.text_hash.digest():
+                raise ValueError("an example's context is not its conversation's text")
+            self.text_hash.update(text.encode())
+            if self.own is not None:
+                self.own.update(text.encode())
+            self.chars += len(text)
+            *full, self.rest = (self.rest + text).split(CLOSE + "\n")
+            for segment in full:
+                role, said = parse_turn(segment + CLOSE + "\n")
+                self.turns += 1
+                self.turns_hash.update(f"{role}\n{said}\n".encode())
+
+        def end(self) -> None:
+            if self.reply is not None:
+                loss = unescape("".join(self.reply))
+                self.loss_chars += len(loss)
+                self.loss_hash.update(loss.encode())
+            self.reply = self.own = None
+
+        def row(self) -> tuple:
+            self.end()
+            if self.rest:
+                raise ValueError("not a formatted turn")
+            return self.conv_id, self.turns, self.turns_hash.hexdigest(), self.loss_chars, self.loss_hash.hexdigest(), self.chars
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = None, None
+        for batch in batches:
+            done = []
+            for conv_id, conv, example, first, text, start, end in zip(*(batch.column(c).to_pylist() for c in _EXAMPLES.names), strict=True):
+                if state is None or conv != now:
+                    if state is not None:
+                        done.append(state.row())
+                    state, now = State(conv_id), conv
+                if example is None:
+                    state.end()
+                    state.new(text)
+                else:
+                    if first:
+                        state.begin()
+                    state.add(text, start, end)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(state.row(), _DIGEST, strict=True)], schema=_DIGEST)
+
+    return parts.mapInArrow(run, DIGEST)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digest(format_conversations(turns.unionByName(extra)))
+    return example_digest(training_examples(turns.unionByName(extra)))

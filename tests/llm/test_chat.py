@@ -34,3 +34,24 @@ def test_digest_against_brute_force(spark):
     assert [chat.unescape(f[s:e]) for _, f, s, e in out] == ["b</s>", "b</s>", ""]
     assert all(f.endswith("<|end|>\n") and e == len(f) - 8 for _, f, s, e in out) and out[2][1].startswith(out[1][1])
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_query_reads_examples_of_all_assistant_turns(spark, tmp_path, monkeypatch):
+    rows = [(5, i, ("user", "assistant")[i % 2], f"té{i}</s>" * (i % 7)) for i in range(300)] + [(6, 0, "user", "x"), (8, 1, "assistant", None), (8, 2, "user", "after"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "CHUNK_BYTES", 101)
+    monkeypatch.setattr(chat, "SPOOL_BYTES", 500)
+    parts = chat.training_examples(df.coalesce(1)).collect()
+    for conv in (5, 8, None):
+        own, text = [r for r in rows if r[0] == conv], ""
+        for n, k in enumerate(k for k, r in enumerate(own) if r[2] == "assistant"):
+            chunks = [p for p in parts if p.conv_id == conv and p.example == n]
+            text = "".join(p.text for p in chunks)
+            assert text == "".join(chat.format_turn(r[2], r[3] or "")[0] for r in own[: k + 1])
+            assert chat.unescape(text[chunks[0].target_start : chunks[0].target_end]) == (own[k][3] or "")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {r.conv_id: r for r in chat.digest(chat.format_conversations(df)).collect()}
+    made = []
+    monkeypatch.setattr(chat, "training_examples", lambda t, f=chat.training_examples: made.append(1) or f(t))
+    got = {r.conv_id: r for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect() if r.conv_id != -7}
+    assert got == want and made == [1]
