@@ -107,7 +107,7 @@ def impact(ranked: DataFrame, order: str, key: str = "feature") -> DataFrame:
 
 
 def models(df: DataFrame, features: list[str], target: str, key: str = "id", folds: int = 5) -> DataFrame:
-    """R squared of ridge (alpha 1), boosted trees and their mean: by hashed folds and on a held-out fifth."""
+    """R squared of ridge (alpha 1), boosted trees and their mean: by hashed folds (no separate held-out fifth)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
