@@ -13,7 +13,7 @@ import hashlib
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +56,13 @@ _BRACKETED = re.compile(r"[ ]{0,2}(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\
 _BARE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+", re.I)
 _BARE = re.compile(r" (at|dot) ", re.I)
 
+_AT = r"(?: at |@|[ ]{0,2}[\[({<][ ]?at[ ]?[\])}>][ ]{0,2})"
+_DOT = r"(?: dot |\.|[ ]{0,2}[\[({<][ ]?dot[ ]?[\])}>][ ]{0,2})"
+_MIXED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
+_TOKEN = rf"(?:{_WORD}(?![^\W_])|[+(]{{0,2}}[0-9][0-9().]*+|dot(?![^\W_]))"
+_NUMBER_RUN = re.compile(rf"(?<![\w.()+]){_TOKEN}(?:[ ,.-]{{1,2}}{_TOKEN})++", re.I)
+_TOKENS = re.compile(_TOKEN, re.I)
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -128,10 +135,30 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _mixed_spans(text: str) -> Iterator[Span]:
+    """Mail with at or dot as words, and numbers with any of their digits or dots as words: complete identifiers only."""
+    low = text.lower()
+    if " at " in low or " dot " in low:
+        yield from (("email", *m.span()) for m in _MIXED_MAIL.finditer(text))
+    for m in _NUMBER_RUN.finditer(text):
+        chars: list[tuple[str, int, int]] = []
+        words, before, at = 0, None, m.start()
+        for t in _TOKENS.finditer(text, m.start(), m.end()):
+            word = t[0].lower()
+            kind = "dot" if word == "dot" else "digit" if word in DIGIT_OF else None
+            between = text[at : t.start()]
+            if "dot" not in (before, kind) and (between == "." or not before == kind == "digit"):
+                chars += [(c, at + i, at + i + 1) for i, c in enumerate(between)]
+            chars += [(c, t.start() + i, t.start() + i + 1) for i, c in enumerate(t[0])] if kind is None else [("." if kind == "dot" else DIGIT_OF[word], *t.span())]
+            words, before, at = words + (kind is not None), kind, t.end()
+        if words and sum(c[0].isdigit() for c in chars) >= 4:  # the shortest identifier, an IP, has four
+            yield from ((k, chars[s][1], chars[e - 1][2]) for k, s, e in plain_spans("".join(c[0] for c in chars)))
+
+
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     changes = rewrites(text)
     if not changes:
-        return []
+        return _without(_mixed_spans(text), plain)
     parts: list[str] = []
     anchors: list[tuple[int, int, int]] = []  # (place in the rewritten text, start, end in the source), for changes
     at = length = 0
@@ -159,13 +186,17 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         return end + shift, end + shift + 1
 
     out = []
-    for kind, s, e in plain_spans("".join(parts)):
-        span = (kind, source(s)[0], source(e - 1)[1])
-        if not any(k == kind and a < span[2] and span[1] < b for k, a, b in plain):
-            out.append(span)
+    mapped = "".join(parts)
+    for found in (plain_spans(mapped), _mixed_spans(mapped)):
+        out += _without(((kind, source(s)[0], source(e - 1)[1]) for kind, s, e in found), plain + out)
     return out
 
 
+def _without(spans: Iterable[Span], known: list[Span]) -> list[Span]:
+    """Those that overlap no known span of their kind."""
+    return [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in known)]
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(plain spans, plain and disguised spans), each by start and kind."""
     plain = plain_spans(text)

@@ -72,3 +72,13 @@ def test_query_digest(spark, tmp_path):
     got = {r.doc_id: r for r in op4_personal_data(spark, str(tmp_path)).collect()}
     assert all(got[i].base_sha256 == base_digest(t or "") for i, t in enumerate(texts))
     assert (got[0].n_email, got[0].n_phone, got[1].spans, got[2].spans) == (2, 1, "", "ip:0:7,card:9:28")
+
+
+def test_partly_disguised_identifiers():
+    assert of("write john@example dot com now") == [("email", "john@example dot com")]
+    assert of("write john at example.com now") == [("email", "john at example.com")]
+    assert of("host 192 dot 168 dot 0 dot 1!") == [("ip", "192 dot 168 dot 0 dot 1")]
+    assert of("host one nine two dot one six eight dot one dot one ok") == [("ip", "one nine two dot one six eight dot one dot one")]
+    assert of("call +49 five five five 0199 123 ok") == [("phone", "+49 five five five 0199 123")]
+    assert of("１９２ dot 168 dot 0 dot 1") == [("ip", "１９２ dot 168 dot 0 dot 1")]
+    assert of("999 dot 168 dot 0 dot 1, one two of the 3 at home. I dot it") == []
