@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are dealt to shards by ranges of page_id whose bounds come from exact counts (so they do not depend on
-partitioning), sorted within a shard and rolled into files by compressed size. A task writes each file under a
-temporary name of its own and renames it; the driver then writes the manifest, also by rename. A file's bytes follow
-from its records alone, so a task that runs twice leaves the same file. Readers take only files of the manifest.
+Records are dealt to shards by ranges of page_id. The bounds are exact: ids and sizes are sorted by range, each range's
+bytes are counted, and a shard ends where the running sum passes a multiple of its size, so they do not depend on
+partitioning. Records are sorted within a shard and rolled into files by compressed size. A task writes each file under
+a temporary name of its own and renames it; the manifest, a table of the files, is written by Spark and renamed last. A
+file's bytes follow from its records alone, so a task that runs twice leaves the same file. Readers take only files of
+the manifest.
 """
 
 from __future__ import annotations
@@ -11,26 +13,29 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, table
+from .common import materialise, new_path, release, small_batches, table
 
 #: Payloads under this size are never deduplicated.
 LEAST_REVISIT = 1000
 #: A file is closed at the first record that takes it to this many compressed bytes.
 ROLL_BYTES = 8 << 20
 #: Payload bytes of a shard, about.
-SHARD_BYTES = 24 << 20
-#: Ranges that page_ids are counted in, at a time.
-SLICES = 2048
+SHARD_BYTES = 16 << 20
+#: Tasks that write; where there are more shards, a task writes several in turn.
+WRITERS = 20_000
+#: Bytes read at once, and bytes of payloads in a batch of records.
+READ_BYTES, OUT_BYTES = 1 << 20, 4 << 20
 #: Pages carry no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -83,73 +88,79 @@ def page_member(page_id: int, url: str, payload: bytes, refers_to: int | None) -
     return _member(headers, block)
 
 
-def _bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Lower bounds of the shards after the first, from the bytes in ranges of page_id.
-
-    A range with over half a shard's bytes is counted again in finer ones, until its ids cannot be split.
-    """
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 200
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return []
-    done: dict[int, int] = {}
-    todo = [(lo, hi + 1)]
-    while todo:
-        rows = []
-        for a, b in todo:
-            width = -(-(b - a) // SLICES)
-            inside = pages.filter(F.col("page_id").between(a, b - 1))
-            at = F.expr(f"{a} + ((page_id - {a}) div {width}) * {width}")
-            rows += [(r["at"], min(r["at"] + width, b), r["n"]) for r in inside.groupBy(at.alias("at")).agg(F.sum(size).alias("n")).collect()]  # <= SLICES rows
-        todo = []
-        for a, b, n in rows:
-            if n > shard_bytes // 2 and b - a > 1:
-                todo.append((a, b))
-            else:
-                done[a] = n
-    bounds, total = [], 0
-    for a in sorted(done):
-        if total and total + done[a] > shard_bytes:
-            bounds.append(a)
-            total = 0
-        total += done[a]
-    return bounds
+def _bounds(pages: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Least page_id of each shard (8 bytes a shard). Three jobs, whatever the ids; rows of one page_id stay together."""
+    size = (F.octet_length("html") + 200).cast("long")
+    dealt = pages.select("page_id", size.alias("n")).repartitionByRange("page_id").withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "sizes")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    starts = dealt.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = W.partitionBy("part").orderBy("page_id", "n").rowsBetween(W.unboundedPreceding, -1)
+    at = dealt.withColumn("at", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, "part")
+    shards = at.select("page_id", F.expr(f"(start + at) div {shard_bytes}").alias("shard")).groupBy("shard").agg(F.min("page_id").alias("least"))
+    out = np.unique(shards.select("least").toArrow().column("least").to_numpy())
+    release(dealt)
+    return out
 
 
 MANIFEST = "file string, shard int, number int, records long, bytes long, sha256 string"
 
 
-def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> dict:
-    """Write ``pages`` (page_id, url, html; others ignored) under ``path``; returns the manifest.
+def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write ``pages`` (page_id, url, html; others ignored) under ``path``; returns the manifest, a row per file.
 
     Null html is an empty payload, null url an empty one; rows with a null page_id have no place and raise.
-    Of equal payloads of at least ``least_revisit`` bytes the one with the largest page_id is the response and the
-    others revisit it. Repeated page_ids stay: of repeats of a response, all are responses.
+    Of equal payloads (by 512 bits of SHA-2) of at least ``least_revisit`` bytes the one with the largest page_id is the
+    response and the others revisit it. Repeated page_ids stay: of repeats of a response, all are responses. An empty
+    table leaves an empty manifest. A record is held in memory whole, its file and the rest of its shard are not.
     """
     spark = pages.sparkSession
     pages = pages.select(F.expr("coalesce(page_id, raise_error('page_id is null'))").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     bounds = _bounds(pages, shard_bytes)
     keyed = pages.filter(F.octet_length("html") >= least_revisit).select("page_id", F.sha2("html", 512).alias("key"))
     last = keyed.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    # The references travel with the pages through one range shuffle: a page's reference sorts just before it.
+    # The references travel with the pages through one shuffle: a page's reference sorts just before it.
     refers = keyed.join(last, "key").filter("page_id != last").select("page_id", F.lit("").alias("url"), F.col("key").alias("html"), "last")
     both = refers.unionByName(pages.withColumn("last", F.lit(None).cast("long")))
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    shard = F.size(F.filter(edges, lambda b: b <= F.col("page_id"))) if len(bounds) < 64 else F.expr(f"size(array({','.join(map(str, bounds))})) - size(filter(array({','.join(map(str, bounds))}), b -> b > page_id))")
-    dealt = both.withColumn("shard", shard).repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", F.col("last").isNull(), "url", "html")
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array) -> pa.Array:
+        return pa.array(np.maximum(np.searchsorted(shared.value, page_id.to_numpy(zero_copy_only=False), side="right") - 1, 0), pa.int32())
+
+    tasks = max(1, min(WRITERS, len(bounds)))
+    task = F.expr(f"cast(shard * {tasks}L div {max(1, len(bounds))} as int)")
+    dealt = both.withColumn("shard", shard_of("page_id")).repartitionById(tasks, task)
+    dealt = dealt.sortWithinPartitions("shard", "page_id", F.col("last").isNull(), "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
         fs, root = _fs(path)
-        shard, number, parts, size, count, members = None, 0, [], 0, 0, []
+        shard, number, count, size, digest, sink, temporary = None, 0, 0, 0, None, None, ""
+
+        def add(member: bytes):
+            nonlocal size
+            sink.write(member)
+            digest.update(member)
+            size += len(member)
+
+        def begin():
+            nonlocal digest, sink, temporary, size, count
+            temporary, digest, size, count = f"{root}/_temporary/{uuid.uuid4().hex}", hashlib.sha256(), 0, 0
+            sink = fs.open_output_stream(temporary)
+            add(info_member(shard, number))
 
         def close():
+            nonlocal sink
+            sink.close()
+            sink = None
             name = f"shard-{shard:06d}-{number:05d}.warc.gz"
-            body = b"".join(parts)
-            temporary = f"{root}/_temporary/{uuid.uuid4().hex}"
-            with fs.open_output_stream(temporary) as f:
-                f.write(body)
-            fs.move(temporary, f"{root}/{name}")
-            return name, shard, number, count, len(body), hashlib.sha256(body).hexdigest()
+            if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+                fs.move(temporary, f"{root}/{name}")
+            else:  # an attempt before this one left it, with the same bytes
+                fs.delete_file(temporary)
+            return name, shard, number, count, size, digest.hexdigest()
 
         files = []
         own: dict[str, int] = {}
@@ -162,19 +173,18 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT,
                     own[html] = ref
                     continue
                 if s != shard:
-                    if parts:
+                    if sink:
                         files.append(close())
-                    shard, number, parts, size, count = s, 0, [], 0, 0
-                if not parts:
-                    parts, count = [info_member(shard, number)], 0
-                    size = len(parts[0])
+                    shard, number = s, 0
+                if not sink:
+                    begin()
                 payload = html.encode()
-                parts.append(page_member(page, url, payload, own.get(hashlib.sha512(payload).hexdigest()) if own else None))
-                size, count = size + len(parts[-1]), count + 1
+                add(page_member(page, url, payload, own.get(hashlib.sha512(payload).hexdigest()) if own else None))
+                count += 1
                 if size >= roll_bytes:
                     files.append(close())
-                    number, parts = number + 1, []
-        if parts:
+                    number += 1
+        if sink:
             files.append(close())
         if files:
             types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
@@ -183,13 +193,10 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT,
 
     fs, root = _fs(path)
     fs.create_dir(f"{root}/_temporary", recursive=True)
-    files = [r.asDict() for r in dealt.select("shard", "page_id", "url", "html", "last").mapInArrow(run, MANIFEST).collect()]  # one row per file
-    manifest = {"files": sorted(files, key=lambda r: r["file"]), "records": sum(r["records"] for r in files)}
-    with fs.open_output_stream(f"{root}/_temporary/manifest") as f:
-        f.write(json.dumps(manifest, indent=1).encode())
-    fs.move(f"{root}/_temporary/manifest", f"{root}/manifest.json")
+    dealt.select("shard", "page_id", "url", "html", "last").mapInArrow(run, MANIFEST).write.json(f"{path}/_temporary/manifest")
+    fs.move(f"{root}/_temporary/manifest", f"{root}/manifest")
     fs.delete_dir(f"{root}/_temporary")
-    return manifest
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
 
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -218,47 +225,56 @@ def _parse(raw: bytes) -> tuple | None:
     return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], payload if response else None, size, digest, refers
 
 
+def _members(source) -> Iterator[bytes]:
+    """The unpacked gzip members of a file, one at a time."""
+    rest = b""
+    while True:
+        rest = rest or source.read(READ_BYTES)
+        if not rest:
+            return
+        d, pieces = zlib.decompressobj(31), []
+        while not d.eof:
+            rest = rest or source.read(READ_BYTES)
+            if not rest:
+                raise ValueError("an archive ends within a record")
+            pieces.append(d.decompress(rest))
+            rest = d.unused_data
+        yield b"".join(pieces)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives that the manifest names; digests are verified while reading.
 
-    A file is read by one task, which unpacks member by member. An archive of no pages gives no rows.
+    A file is read by one task as a stream, record by record. An archive of no pages gives no rows.
     """
-    fs, root = _fs(path)
-    with fs.open_input_stream(f"{root}/manifest.json") as f:
-        files = [x["file"] for x in json.loads(f.read())["files"]]
-    if not files:
-        return spark.createDataFrame([], RECORD)
+    files = spark.read.schema(MANIFEST).json(f"{path}/manifest").select("file")
+    files = files.repartition(max(1, min(WRITERS, files.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _fs(path)
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
+
         for batch in batches:
-            for body in batch.column("content"):
-                view, at, rows, size = body.as_buffer(), 0, [], 0
-                data = memoryview(view)
-                while at < len(data):
-                    d = zlib.decompressobj(31)
-                    pieces, taken = [], 0
-                    while not d.eof:
-                        step = data[at + taken : at + taken + (1 << 16)]
-                        pieces.append(d.decompress(step))
-                        taken += len(step)
-                    at += taken - len(d.unused_data)
-                    if row := _parse(b"".join(pieces)):
-                        rows.append(row)
-                        size += len(row[3] or b"")
-                    if size > 4 << 20 or len(rows) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
-                        rows, size = [], 0
+            for name in batch.column("file").to_pylist():
+                rows, size = [], 0
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
+                    for member in _members(source):
+                        if row := _parse(member):
+                            rows.append(row)
+                            size += len(row[3] or b"")
+                        if size > OUT_BYTES or len(rows) >= 1000:
+                            yield out(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
+                    yield out(rows)
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    named = F.element_at(F.split("path", "/"), -1)
-    listed = spark.createDataFrame([(x,) for x in files], "file string")
-    chosen = archives.select("content", named.alias("file")).join(F.broadcast(listed), "file", "left_semi")
-    return chosen.select("content").mapInArrow(run, RECORD)
+    return files.mapInArrow(run, RECORD)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives and reads their records back."""
     small_batches(spark, 64)
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
