@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch handed to Python. Texts can be long, so batches stay short.
 BATCH_ROWS = 1024
+#: Bytes after which a batch is closed, so that long texts come few at a time.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a new local one in local mode only."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("helixframe.scratch", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("helixframe.scratch", base)
     return base.rstrip("/")
@@ -51,7 +55,9 @@ def release(*frames: DataFrame | None) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of at most ``rows`` rows and BATCH_BYTES from now on (they hold until the query runs, so they stay)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

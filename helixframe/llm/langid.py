@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_bytes
+from .common import chunks, small_batches, table, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -35,8 +36,6 @@ AT_ONCE = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 13]] = 32
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 @dataclass(frozen=True)
@@ -142,19 +141,26 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def sampling_rate(share: float, count: int) -> float:
+    return min(1.0, share / count)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from text and non-null lang of documents that are not held out; None if there are none.
 
     The sample is a hash sample, with equal shares of ``sample_docs`` for all languages, and of each document SNIPPETS
     snippets of WINDOW characters from places given by a hash; so it is the same however the table is partitioned.
+    Training uses the first WINDOW bytes of a snippet, which is under WINDOW characters where those take several bytes.
+    Repeated rows count each time; an empty table or one without languages gives None.
     """
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
     share = sample_docs / len(counts)
-    rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1, share / n) * 1_000_000))])
-    chosen = known.filter(F.expr("pmod(xxhash64(doc_id, 'sample'), 1000000)") < rate[F.col("lang")])
+    rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, sampling_rate(share, n))])
+    # a hash of 62 bits as a number below 1, so any rate that counts of documents give is met
+    chosen = known.filter(F.expr(f"pmod(xxhash64(doc_id, 'sample'), {1 << 62}L) / {1 << 62}D") < rate[F.col("lang")])
     at = lambda k: F.substring("text", F.expr(f"cast(1 + pmod(xxhash64(doc_id, {k}), greatest(length(text) - {WINDOW} + 1, 1)) as int)"), F.lit(WINDOW))
     rows = chosen.select("doc_id", "lang", *[at(k).alias(f"s{k}") for k in range(SNIPPETS)]).collect()  # about sample_docs rows
     rows.sort(key=lambda r: (r["doc_id"], r["s0"]))
@@ -162,14 +168,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     return fit([t for t, _ in pairs], [v for _, v in pairs])
 
 
-_made: dict[bytes, tuple] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1) at its end, from the text column alone.
 
     Null texts, texts without a letter, and all texts where there is no model get "und" and 0. Other columns stay as
-    they are; columns named lang_pred or score are replaced.
+    they are; columns named lang_pred or score are replaced. Repeated rows stay, each with the same prediction (ties go
+    to the first language by name); an empty table gives no rows.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -177,24 +181,18 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        if net is not None:
-            key = net.out.tobytes() + net.embed.tobytes()
-            if key not in _made:
-                _made.clear()
-                _made[key] = net.tables()
-            made = _made[key]
+        made = net.tables() if net is not None else None  # 20 MB, freed with the task
         for batch in batches:
             column = batch.column(text_col)
             n = len(column)
             pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
             if net is not None:
                 data, offsets = text_bytes(column)
-                letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
-                lettered = letters[offsets[1:]] > letters[offsets[:-1]]
+                lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, "[A-Za-z]"), False)).copy()
                 for i in np.flatnonzero(~lettered & (np.diff(offsets) > 0)):
                     lettered[i] = any(map(str.isalpha, column[int(i)].as_py()))
                 sums, weights = np.zeros((n, len(net.languages))), np.zeros(n)
-                for lo, hi in _ranges(offsets):
+                for lo, hi in chunks(offsets, 1 << 20):
                     for part in _long(data, offsets[lo : hi + 1]):
                         x, owner, weight = windows(*part)
                         q = probabilities(net, x, made)
@@ -206,17 +204,12 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 pred[lettered] = names[best[lettered]]
                 score[lettered] = np.clip(sums[np.arange(n), best][lettered] / weights[lettered], 0, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest) + ", lang_pred string, score double"
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def _ranges(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
-    from .common import chunks
-
-    return chunks(offsets, most)
-
-
 def _long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The texts as they are or, if it is one long text, in parts of whole windows."""
     a, b = int(offsets[0]), int(offsets[-1])
@@ -228,6 +221,7 @@ def _long(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 22) -> Iterato
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model learnt from those that are not held out."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs)

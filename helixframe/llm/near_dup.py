@@ -1,15 +1,17 @@
 """Near-duplicate documents by HyperMinHash sketches, banding, and verification on full shingle sets.
 
-A register keeps, of the least hash that a set has under the register's own hash function, the count of leading zeros
-and a few mantissa bits. (Each register has a hash function of its own rather than a share of one function's values,
-so short documents fill all registers too and the banding odds are the textbook ones.) Bands of registers are keys;
-documents that share one are candidates, the collision-corrected estimate thins them, full sets decide.
-
-Equal sets are one class and only its least document takes part. Within a band's group not all pairs are tested: a
-round tests a few pivots, those with the fewest shingles of their own first, against the members of other components,
-and pivots grow each round until no pair of different components is left. Shingles that only one candidate has bound
-the similarity of all its pairs; pairs whose bound is under the threshold are never made. So a large group of near
-copies costs about its size, and no link between components is lost.
+One hash deals a set's shingles to REGISTERS buckets; of the least value in a bucket its register keeps the count of
+leading zeros and a few mantissa bits. Bands of registers are keys (an empty register takes another's value there, so short
+documents have all bands too); documents that share one are candidates, the collision-corrected estimate over the
+full registers thins them, full sets decide.
+
+Equal sets are one class and only its least document takes part. Within a group not all pairs are tested: first one
+pivot of each band's group meets the others. Groups that are then still of several components go on, large ones
+together with those that hold the same main component, so that a pair meets once and not once a band. A round tests
+pivots outside the group's main component, the likeliest first, and there are more of them each round until they are
+all that is outside it. Shingles that no other set has bound the similarity of all pairs of a set, and so does what it
+has in common with the group's typical set; pairs whose bound is under the threshold are never made. So a large group
+of near copies costs about its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,13 +34,17 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate is under the threshold by this many standard deviations of the estimate are dropped.
 DEVIATIONS = 5
-#: Pivots of a group in the second round.
+#: Pivots of a group in the second round, and how many times more in each further one.
 PIVOTS = 32
 #: Members from which on a group's sets are compared with its most typical one.
 LARGE = 64
+#: A class of equal sets with this share of all rows is joined by broadcast; there are at most as many as it says.
+HOT_CLASSES = 10_000
 #: Ids that may be broadcast.
 BROADCAST_IDS = 50_000
 CHUNK = 1 << 19
+#: Shingles that a task counts at a time.
+COUNTED = 2_000_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -48,7 +54,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = _U(0xD6E8FEB86659FD93)
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
-_HASHES = mix64(np.arange(1000, 1000 + REGISTERS, dtype=np.uint64)) | _U(1)
+_SALT = _U(0x2545F4914F6CDD1D)
+EMPTY = np.uint16(0xFFFF)
+#: Step by step (rows) where each register's walk (columns) is; a walk visits all registers, from its own on.
+_WALKS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + _U(1)).reshape(REGISTERS, REGISTERS), axis=1)
+_WALKS = np.concatenate([np.arange(REGISTERS)[:, None], _WALKS], axis=1).T
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,34 +105,55 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers (uint16) of sets that are not empty."""
+    """Registers (uint16, EMPTY where no shingle fell) of sets."""
     flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
-    begin = np.cumsum(size) - size
-    out = np.empty((len(sets), REGISTERS), np.uint16)
-    for r, a in enumerate(_HASHES):
-        v = np.minimum.reduceat(flat * a, begin)
-        zeros = np.minimum(64 - np.frexp(v.astype(np.float64))[1], 63).astype(np.uint64)
-        rest = (v << zeros) >> _U(63 - MANTISSA_BITS)
-        out[:, r] = (zeros << _U(MANTISSA_BITS)) | (rest & _U((1 << MANTISSA_BITS) - 1))
+    at = np.repeat(np.arange(len(sets)) * REGISTERS, size) + (((flat >> _U(32)) * _U(REGISTERS)) >> _U(32)).astype(np.int64)
+    value = mix64(flat ^ _SALT)
+    v = np.full(len(sets) * REGISTERS, 2**64 - 1, np.uint64)
+    np.minimum.at(v, at, value)
+    zeros = np.clip(64 - np.frexp(v.astype(np.float64))[1], 0, 62).astype(np.uint64)
+    rest = (v << zeros) >> _U(63 - MANTISSA_BITS)
+    out = ((zeros << _U(MANTISSA_BITS)) | (rest & _U((1 << MANTISSA_BITS) - 1))).astype(np.uint16)
+    full = np.zeros(len(out), bool)
+    full[at] = True
+    return np.where(full, out, EMPTY).reshape(len(sets), REGISTERS)
+
+
+def filled(registers: np.ndarray) -> np.ndarray:
+    """Empty registers take the value of the first full one on a walk of their own, the same for all sets (so two sets'
+    registers agree there as often as they do elsewhere); a set has one full register at least."""
+    out = registers.copy()
+    left, empty = np.arange(len(out)), registers == EMPTY
+    for step in _WALKS[1:]:
+        keep = empty[left].any(axis=1)
+        if not keep.any():
+            break
+        left = left[keep]
+        value = np.where(empty[left], registers[left][:, step], out[left])
+        empty[left] = empty[left] & (value == EMPTY)
+        out[left] = value
     return out
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A key per band (int64)."""
-    x = registers.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    x = filled(registers).reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE + np.zeros((len(x), 1), np.uint64)
     for k in range(ROWS):
         key = mix64(key ^ (x[:, :, k] + _U(1)) * _PLACE[k])
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from registers, corrected for registers of different minima that are equal by chance.
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard similarity from registers, registers that count): those full in either, corrected for different minima
+    that are equal by chance.
 
     Two minima agree by chance in their zeros with odds 1/3 and then in the mantissa with odds 2^-MANTISSA_BITS.
     """
     chance = 1 / 3 / (1 << MANTISSA_BITS)
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+    count = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=1), 1)
+    same = ((a == b) & (a != EMPTY)).sum(axis=1) / count
+    return (same - chance) / (1 - chance), count
 
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, registers binary"
@@ -163,54 +194,78 @@ def _bands(heads: DataFrame) -> DataFrame:
     return heads.select("rep", "n_shingles", "registers").mapInArrow(run, "key long, rep long, size long")
 
 
-def margin(threshold: int) -> float:
-    """What the estimate may be under ``threshold`` per cent."""
-    return DEVIATIONS * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
+def margin(threshold: int, count: np.ndarray) -> np.ndarray:
+    """What an estimate from ``count`` registers may be under ``threshold`` per cent."""
+    return DEVIATIONS * (threshold / 100 * (1 - threshold / 100) / count) ** 0.5
 
 
 def _likely(pairs: DataFrame, registers: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose estimated similarity is not clearly under the threshold."""
-    least = threshold / 100 - margin(threshold)
     a = registers.select(F.col("rep").alias("a"), F.col("registers").alias("ra"))
     b = registers.select(F.col("rep").alias("b"), F.col("registers").alias("rb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.stack([np.frombuffer(v.as_py(), np.uint16) for v in batch.column(c)]) for c in ("ra", "rb"))
-                keep = pa.array(estimate(x, y) >= least)
+                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column(c)]) for c in ("ra", "rb"))
+                guess, count = estimate(x, y)
+                keep = pa.array(guess >= threshold / 100 - margin(threshold, count))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, set) of the documents ``ids``; of rows with one doc_id the first text by order."""
+    """(rep, set) of the documents ``ids`` (rep, set_key), by the text that has that set."""
+    import xxhash  # noqa: F401
+
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+    wanted = F.broadcast(ids) if few else ids
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "set_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
+            keys = batch.column("set_key")
             for lo, hi in chunks(offsets, CHUNK):
-                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
+                made = [s.tobytes() for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+                same = pa.array([xxhash.xxh3_128_digest(s) == k.as_py() for s, k in zip(made, keys.slice(lo, hi - lo), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo).filter(same), pa.array(made, pa.binary()).filter(same)], names=["rep", "set"])
 
     return own.mapInArrow(run, "rep long, set binary")
 
 
 def _single(sets: DataFrame) -> DataFrame:
-    """(rep, single): how many shingles of a set are in no other set of the table; those are in no intersection."""
+    """(rep, single): how many shingles of a set are in no other set of the table; those are in no intersection.
+
+    Tasks count their own shingles first (COUNTED at a time), so what many sets share moves once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
+        reps: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            every, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            rep = np.concatenate(reps)[first]
+            hashes.clear()
+            reps.clear()
+            return pa.RecordBatch.from_arrays([pa.array(every), pa.array(n.astype(np.int64)), pa.array(rep)], names=["h", "n", "rep"])
+
         for batch in batches:
             own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("set")]
             if own:
-                size = np.array([len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.asarray(batch.column("rep")), size))], names=["h", "rep"])
+                hashes.append(np.concatenate(own))
+                reps.append(np.repeat(np.asarray(batch.column("rep")), [len(x) for x in own]))
+                if sum(map(len, hashes)) >= COUNTED:
+                    yield out()
+        if hashes:
+            yield out()
 
-    flat = sets.mapInArrow(run, "h long, rep long")
-    return flat.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("single"))
+    flat = sets.mapInArrow(run, "h long, n long, rep long")
+    return flat.groupBy("h").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("single"))
 
 
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,22 +286,48 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, rep, size, shared, core, rest): what of a set other sets can share.
+def _labelled(members: DataFrame, labels: DataFrame | None, group: list[str]) -> DataFrame:
+    """``members`` of groups that are of several components, with label and main (has the group's most common label)."""
+    if labels is None:
+        named = members.withColumn("label", F.col("rep"))
+    else:
+        named = members.join(labels, F.col("rep") == F.col("v"), "left").select(*members.columns, F.coalesce("label", "rep").alias("label"))
+    counts = named.groupBy(*group, "label").count()
+    most = counts.groupBy(*group).agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"), F.count("*").alias("parts"), F.sum("count").alias("n"))
+    return named.join(most.filter("parts > 1"), group).withColumn("main", F.col("label") == F.col("most"))
+
+
+def _able(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of ``pairs`` (p's columns and those of a member) that can reach ``threshold``, as a and b."""
+    parts = F.when(F.col("core").isNotNull() & F.col("pcore").isNotNull(), F.least("core", "pcore") + F.least("rest", "prest"))
+    both = F.least("shared", "pshared", parts)  # no more than this is in both sets (least skips nulls)
+    able = 100 * both >= threshold * (F.col("size") + F.col("psize") - both)
+    return pairs.filter(able).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
 
-    shared leaves out the shingles that no other set has. In groups of over LARGE members the sets are also compared
-    with the group's most typical one: core is what a set has in common with it, rest is what else can be shared. So
-    two sets of a group share at most the lesser core and the lesser rest.
+
+def _pivots(chosen: DataFrame, group: list[str]) -> DataFrame:
+    return chosen.select(*group, F.col("rep").alias("p"), *[F.col(c).alias(f"p{c}") for c in ("size", "shared", "core", "rest", "label")])
+
+
+def _groups(open_members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(big, gid, rep, size, shared, core, rest) of the members of groups that go on.
+
+    Large groups go by their main component, small ones by their key. Large ones' sets are compared with the group's
+    most typical one: core is what a set has in common with it, rest is what else other sets can share. So two sets of
+    a group share at most the lesser core and the lesser rest.
     """
-    own = members.join(_single(sets), "rep", "left").select("key", "rep", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared"))
-    own = materialise(own, "members")
-    typical = own.groupBy("key").agg(F.count("*").alias("n"), F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("c")).filter(F.col("n") > LARGE).select("key", "c")
-    large = materialise(own.join(typical, "key"), "large")
-    counts = materialise(_common(large.filter("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), sets), "cores")
-    named = large.select("key", "rep", "c").join(counts.select(F.col("a").alias("c"), F.col("b").alias("rep"), "both"), ["c", "rep"], "left").select("key", "rep", "c", "both")
-    out = own.join(named, ["key", "rep"], "left").withColumn("core", F.when(F.col("rep") == F.col("c"), F.col("shared")).otherwise(F.col("both")))
-    out = materialise(out.select("key", "rep", "size", "shared", "core", (F.col("shared") - F.col("core")).alias("rest")), "members")
-    release(own, large, counts)
+    big = F.col("n") > LARGE
+    own = open_members.select(big.alias("big"), F.when(big, F.col("most")).otherwise(F.col("key")).alias("gid"), "rep", "size", "shared").distinct()
+    own = materialise(own, "groups")
+    typical = own.filter("big").groupBy("gid").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("c"))
+    large = own.filter("big").join(typical, "gid")
+    counts = _common(large.filter("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), sets)
+    named = large.join(counts.select(F.col("a").alias("c"), F.col("b").alias("rep"), "both"), ["c", "rep"], "left")
+    core = F.when(F.col("rep") == F.col("c"), F.col("shared")).otherwise(F.col("both"))
+    named = named.select("big", "gid", "rep", "size", "shared", core.alias("core")).withColumn("rest", F.col("shared") - F.col("core"))
+    rest = own.filter("not big").withColumn("core", F.lit(None).cast("long")).withColumn("rest", F.lit(None).cast("long"))
+    out = materialise(named.unionByName(rest), "groups")
+    release(own)
     return out
 
 
@@ -255,75 +336,92 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Documents are linked if their shingle sets' similarity is at least ``threshold`` per cent. component_id is the least
     doc_id that is reachable; kept is doc_id = component_id. Texts without words (or null) are linked with nothing.
-    doc_id is unique; rows that repeat one with the same text fall into the same component, and a null doc_id stands
-    alone (component null, kept).
+    doc_id is unique; rows that repeat one with the same text fall into the same component, of others the set with the
+    least hash links for that doc_id, and a null doc_id stands alone (component null, kept). An empty table gives no rows.
     """
+    written: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        written.append(materialise(df, name))
+        return written[-1]
+
     drawn = materialise(sketches(docs), "sketches")
-    classes = drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    heads = materialise(drawn.join(classes, "set_key").filter("doc_id = rep").select("rep", "n_shingles", "registers").dropDuplicates(["rep"]), "heads")
+    classes = put(drawn.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    least = classes.groupBy("rep").agg(F.min("set_key").alias("set_key"))
+    heads = drawn.join(least, (drawn.doc_id == least.rep) & (drawn.set_key == least.set_key)).select("rep", least.set_key, "n_shingles", "registers")
+    heads = put(heads.dropDuplicates(["rep"]) if drawn.groupBy("doc_id").count().filter("count > 1").limit(1).count() else heads, "heads")
     bands = _bands(heads)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialise(bands.join(shared, "key"), "members")
-    ids = members.select("rep").distinct()
-    registers = materialise(heads.join(ids, "rep", "left_semi").select("rep", "registers"), "registers")
-    sets = materialise(_sets(docs, materialise(ids, "ids")).dropDuplicates(["rep"]), "sets")
-    bounded = _bounded(members, sets)
-    release(heads, members)
-    members = bounded
-
-    links = labels = tested = None
-    pivots = 1
-    while True:
-        if labels is None:
-            named = members.withColumn("label", F.col("rep"))
-        else:
-            named = members.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "size", "shared", "core", "rest", F.coalesce("label", "rep").alias("label"))
-            open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-            named = materialise(named.join(open_keys, "key"), "open")
-        if labels is None:
-            ranked = named.withColumn("common", F.lit(False))
-        else:
-            most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("most"))
-            ranked = named.join(most, "key").withColumn("common", F.col("label") == F.col("most"))
-        order = W.partitionBy("key").orderBy("common", F.desc("shared"), "rep")
-        numbered = ranked.withColumn("k", F.row_number().over(order))
-        chosen = numbered.filter(F.col("k") <= pivots)
-        chosen = chosen.select("key", F.col("rep").alias("p"), F.col("size").alias("ps"), F.col("shared").alias("psh"), F.col("core").alias("pcore"), F.col("rest").alias("prest"), F.col("label").alias("pl"))
-        parts = F.when(F.col("core").isNotNull() & F.col("pcore").isNotNull(), F.least("core", "pcore") + F.least("rest", "prest"))
-        both = F.least("shared", "psh", parts)  # no more than this is in both sets (least skips nulls)
-        able = 100 * both >= threshold * (F.col("size") + F.col("ps") - both)
-        once = (F.col("k") > pivots) | (F.col("p") < F.col("rep"))  # two pivots meet once
-        pairs = chosen.join(numbered, "key").filter((F.col("pl") != F.col("label")) & once & able)
-        pairs = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = put(bands.join(shared, "key"), "bands")
+    ids = put(heads.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key", "registers"), "candidates")
+    registers = ids.select("rep", "registers")
+    sets = put(_sets(docs, ids.select("rep", "set_key")), "sets")
+    large = members.filter(F.col("n") > LARGE).select("rep").distinct()
+    single = _single(sets.join(large, "rep", "left_semi"))
+    members = put(members.join(single, "rep", "left").select("key", "rep", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("shared")), "members")
+
+    links: DataFrame | None = None
+    tested: DataFrame | None = None
+
+    def verified(pairs: DataFrame) -> bool:
+        """Tests pairs that are new; whether there were links among them."""
+        nonlocal links, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        largest = named.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        found = None
-        if pairs.limit(1).count():
-            likely = materialise(_likely(pairs, registers, threshold), "likely")
-            found = materialise(_common(likely, sets).filter(100 * F.col("both") >= threshold * F.col("either")).select("a", "b"), "links")
-            tested = pairs if tested is None else tested.union(pairs)
-            links = found if links is None else links.union(found)
-            release(likely)
-        if labels is not None:
-            release(named)
-        if pivots >= largest:
-            if links is not None:
-                labels = components(links)
+        pairs = put(pairs, "pairs")
+        if not pairs.limit(1).count():
+            return False
+        likely = put(_likely(pairs, registers, threshold), "likely")
+        found = put(_common(likely, sets).filter(100 * F.col("both") >= threshold * F.col("either")).select("a", "b"), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        return found.limit(1).count() > 0
+
+    # one pivot of each key, the one that can share most, meets the others
+    none = F.lit(None).cast("long")
+    bare = members.withColumns({"core": none, "rest": none, "label": F.col("rep")})
+    best = members.groupBy("key").agg(F.max_by(F.struct("rep", "size", "shared"), F.struct("shared", -F.col("rep"))).alias("m")).select("key", "m.*")
+    first = _pivots(best.withColumns({"core": none, "rest": none, "label": F.col("rep")}), ["key"]).join(bare, "key").filter("p <> rep")
+    labels = components(links) if verified(_able(first, threshold)) else None
+    groups = put(_groups(_labelled(members, labels, ["key"]), sets), "groups")
+    group, pivots = ["big", "gid"], PIVOTS
+    while True:
+        named = put(_labelled(groups, labels, group), "open")
+        outside = named.filter("not main")
+        most = outside.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        if not most:
             break
-        if links is not None and found is not None:
+        order = W.partitionBy(*group).orderBy(F.desc("shared"), "rep")
+        chosen = outside.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= pivots) if pivots < most else outside
+        once = "plabel <> label" + (" and (main or p < rep)" if pivots >= most else "")  # where all are pivots two meet once
+        if verified(_able(_pivots(chosen, group).join(named, group).filter(once), threshold)):
             labels = components(links)
-        pivots = PIVOTS if pivots == 1 else pivots * PIVOTS
+        if pivots >= most:
+            break
+        pivots *= PIVOTS
 
-    of = drawn.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    of = _classes(drawn, classes)
     if labels is not None:
         of = of.join(labels, F.col("rep") == F.col("v"), "left").withColumn("component_id", F.coalesce("label", "rep"))
     else:
         of = of.withColumn("component_id", F.col("rep"))
+    release(*[x for x in written if x is not classes])
     return of.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _classes(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and rep, the least document with the same set. Very common sets are joined by broadcast."""
+    total = drawn.count()
+    hot = classes.filter(F.col("copies") > max(1000, total // HOT_CLASSES)).select(F.col("set_key").alias("hot_key"), F.col("rep").alias("hot"))
+    several = classes.filter(F.col("copies").between(2, max(1000, total // HOT_CLASSES))).select("set_key", "rep")
+    of = drawn.select("doc_id", "n_shingles", "set_key").join(F.broadcast(hot), F.col("set_key") == F.col("hot_key"), "left")
+    # rows that need no join keep away from its key
+    key = F.when(F.col("hot").isNull(), F.col("set_key"))
+    spread = of.withColumn("set_key", F.coalesce(key, F.unhex(F.hex(F.xxhash64("doc_id")))))
+    return spread.join(several, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("hot", "rep", "doc_id").alias("rep"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, at 85 per cent."""
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
