@@ -10,18 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_rank, benjamini_hochberg, corr_p, normal_p, safe_corr
+from ..functions import special
+from ..functions.columns import avg_rank, benjamini_hochberg, corr_p, safe_corr
 
 METHODS = ("pearson", "spearman", "kendall", "regression")
+#: Samples up to which Kendall's p is exact where there are no ties.
+EXACT_KENDALL = 33
 
 
 def pearson(x: DataFrame) -> DataFrame:
     return x.groupBy("gene_id").agg(safe_corr("value", "y").alias("r"), F.count("*").alias("n"))
 
 
-def spearman(x: DataFrame, *by: str) -> DataFrame:
-    """Pearson r of mean ranks; with ``by`` within those groups too."""
-    ranked = x.withColumn("rx", avg_rank("value", "gene_id", *by)).withColumn("ry", avg_rank("y", "gene_id", *by))
+def spearman(x: DataFrame, *by: str, dense: bool = False) -> DataFrame:
+    """Pearson r of mean ranks; with ``by`` within those groups too. Ranks are over the samples a gene has; where
+    ``dense`` says that all genes have all samples, y is ranked once, over its row a sample."""
+    ranked = x.withColumn("rx", avg_rank("value", "gene_id", *by))
+    if dense:
+        ys = x.select("sample_id", "y", *by).distinct().withColumn("ry", avg_rank("y", *by)).select("sample_id", "ry")
+        ranked = ranked.join(F.broadcast(ys), "sample_id")
+    else:
+        ranked = ranked.withColumn("ry", avg_rank("y", "gene_id", *by))
     return ranked.groupBy("gene_id", *by).agg(safe_corr("rx", "ry").alias("r"), F.count("*").alias("n"))
 
 
@@ -32,7 +41,8 @@ def regression(x: DataFrame) -> DataFrame:
 
 
 def kendall(x: DataFrame) -> DataFrame:
-    """tau-b and its normal-approximation p with tie-corrected variance, by an n x n sign matrix per gene."""
+    """tau-b and its p, by an n x n sign matrix per gene: exact without ties up to EXACT_KENDALL samples, otherwise by the
+    normal approximation with tie-corrected variance."""
     vectors = x.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,10 +61,12 @@ def kendall(x: DataFrame) -> DataFrame:
                 v1 = (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * n * (n - 1)) if n > 1 else 0.0
                 v2 = (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
                 var = (v0 - vt - vu) / 18 + v1 + v2
-                rows.append((gene, float(tau), n, float(s / np.sqrt(var)) if var > 0 else 0.0))
-            yield pd.DataFrame(rows, columns=["gene_id", "r", "n", "z"])
+                z = float(s / np.sqrt(var)) if var > 0 else 0.0
+                exact = n <= EXACT_KENDALL and len(tx) == n and len(ty) == n
+                rows.append((gene, float(tau), n, z, special.kendall_exact(s, n) if exact else float(special.normal_two_sided(z))))
+            yield pd.DataFrame(rows, columns=["gene_id", "r", "n", "z", "p_value"])
 
-    return vectors.mapInPandas(run, "gene_id string, r double, n long, z double")
+    return vectors.mapInPandas(run, "gene_id string, r double, n long, z double, p_value double")
 
 
 def correlations(x: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
@@ -62,7 +74,7 @@ def correlations(x: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
     parts = {
         "pearson": lambda: pearson(x).select("gene_id", "r", corr_p("r", "n").alias("p_value")),
         "spearman": lambda: spearman(x).select("gene_id", "r", corr_p("r", "n").alias("p_value")),
-        "kendall": lambda: kendall(x).select("gene_id", "r", normal_p("z").alias("p_value")),
+        "kendall": lambda: kendall(x).select("gene_id", "r", "p_value"),
         "regression": lambda: regression(x).withColumn("p_value", corr_p("r", "n")).select("gene_id", F.col("slope").alias("r"), "p_value"),
         "decision_tree": lambda: trees(x, 1),
         "random_forest": lambda: trees(x, 20),
@@ -129,12 +141,31 @@ def trees(x: DataFrame, count: int, top: int = 1000, depth: int = 3, seed: int =
     return vectors.mapInPandas(run, "gene_id string, r double, p_value double")
 
 
-def bootstrap(x: DataFrame, iterations: int = 200, top: int = 20, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Per gene: mean Spearman-free Pearson r over seeded resamples, its percentile interval, and the per cent of
-    resamples that rank the gene among the ``top`` by |r|.
-
-    A task works its genes with matrix algebra and gives, per resample, only its own top genes; the global top is among
-    those, so little is ranked again.
+def _resampled(method: str, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The coefficient of one gene in every resample, from how often each sample is drawn (``w``, resamples x samples)."""
+    n = len(y)
+    if method == "kendall":
+        sv, sy = np.sign(v[:, None] - v), np.sign(y[:, None] - y)
+        pairs = lambda m: ((w @ m) * w).sum(1)
+        top, bottom = pairs(sv * sy), np.sqrt(pairs(sv * sv) * pairs(sy * sy))
+    else:
+        if method == "spearman":
+            a, b = (w @ ((u < u[:, None]) + 0.5 * (u == u[:, None])).T for u in (v, y))  # mean ranks less a half
+        else:
+            a, b = np.broadcast_to(v, w.shape), np.broadcast_to(y, w.shape)
+        a, b = a - (w * a).sum(1, keepdims=True) / n, b - (w * b).sum(1, keepdims=True) / n
+        top, aa = (w * a * b).sum(1), (w * a * a).sum(1)
+        bottom = aa if method == "regression" else np.sqrt(aa * (w * b * b).sum(1))
+    return np.divide(top, bottom, out=np.zeros(len(w)), where=bottom > 1e-9)
+
+
+def bootstrap(x: DataFrame, iterations: int = 1000, top: int = 20, level: float = 0.95, seed: int = 42, methods: tuple[str, ...] = ("pearson",)) -> DataFrame:
+    """gene_id, method, mean_boot, ci_lower, ci_upper, rank_stability_perc over seeded resamples of the samples.
+
+    rank_stability_perc is the per cent of resamples in which the gene is among the ``top`` by |coefficient| in any of
+    ``methods``. Trees take Pearson's r here. A gene that is constant in nine of ten resamples has null statistics.
+    All tasks draw the same resamples; of each resample and method a task gives only its own top genes, and the global
+    top is among those, so little is ranked again.
     """
     vectors = x.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
 
@@ -142,24 +173,45 @@ def bootstrap(x: DataFrame, iterations: int = 200, top: int = 20, level: float =
         for f in frames:
             if not len(f):
                 continue
-            v, y = np.stack([np.asarray(a, float) for a in f["values"]]), np.asarray(f["ys"].iloc[0], float)
-            rng = np.random.default_rng(seed)  # the same resamples in all tasks
-            r = np.zeros((len(v), iterations))
-            for b in range(iterations):
-                i = rng.integers(0, len(y), len(y))
-                a, c = v[:, i] - v[:, i].mean(1, keepdims=True), y[i] - y[i].mean()
-                norm = np.sqrt((a * a).sum(1) * (c * c).sum())
-                r[:, b] = np.divide(a @ c, norm, out=np.zeros(len(v)), where=norm > 1e-9)
-            tail = (1 - level) / 2
-            lo, hi = np.quantile(r, [tail, 1 - tail], axis=1)
-            rank = np.argsort(-np.abs(r), axis=0, kind="stable")[:top]
-            hits = [[] for _ in range(len(v))]
-            for b in range(iterations):
-                for g in rank[:, b]:
-                    hits[g].append((b, abs(r[g, b])))
-            yield pd.DataFrame({"gene_id": f["gene_id"], "mean_boot": r.mean(1), "ci_lower": lo, "ci_upper": hi, "hits": [[{"b": b, "s": s} for b, s in h] for h in hits]})
-
-    out = vectors.mapInPandas(run, "gene_id string, mean_boot double, ci_lower double, ci_upper double, hits array<struct<b:int,s:double>>")
-    ranked = out.select("gene_id", F.explode("hits").alias("h")).select("gene_id", "h.*").withColumn("k", F.row_number().over(W.partitionBy("b").orderBy(F.desc("s"), "gene_id")))
-    kept = ranked.filter(F.col("k") <= top).groupBy("gene_id").agg((F.count("*") * 100.0 / iterations).alias("rank_stability_perc"))
-    return out.drop("hits").join(kept, "gene_id", "left").fillna(0.0, ["rank_stability_perc"])
+            y = np.asarray(f["ys"].iloc[0], float)
+            w = np.random.default_rng(seed).multinomial(len(y), np.full(len(y), 1 / len(y)), iterations).astype(float)
+            for m in methods:
+                kind = m if m in METHODS else "pearson"
+                r = np.stack([_resampled(kind, np.asarray(v, float), y, w) for v in f["values"]])
+                tail = (1 - level) / 2
+                lo, hi = np.quantile(r, [tail, 1 - tail], axis=1)
+                rank = np.argsort(-np.abs(r), axis=0, kind="stable")[:top]
+                hits = [[] for _ in range(len(r))]
+                for b in range(iterations):
+                    for g in rank[:, b]:
+                        hits[g].append({"b": b, "s": abs(r[g, b])})
+                steady = (r != 0).mean(1) > 0.1
+                yield pd.DataFrame({"gene_id": f["gene_id"], "method": m, "mean_boot": np.where(steady, r.mean(1), np.nan), "ci_lower": np.where(steady, lo, np.nan), "ci_upper": np.where(steady, hi, np.nan), "hits": hits})
+
+    out = vectors.mapInPandas(run, "gene_id string, method string, mean_boot double, ci_lower double, ci_upper double, hits array<struct<b:int,s:double>>")
+    number = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("mean_boot", "ci_lower", "ci_upper")]
+    ranked = out.select("gene_id", "method", F.explode("hits").alias("h")).select("gene_id", "method", "h.*").withColumn("k", F.row_number().over(W.partitionBy("method", "b").orderBy(F.desc("s"), "gene_id")))
+    kept = ranked.filter(F.col("k") <= top).groupBy("gene_id").agg((F.countDistinct("b") * 100.0 / iterations).alias("rank_stability_perc"))
+    return out.select("gene_id", "method", *number).join(kept, "gene_id", "left").fillna(0.0, ["rank_stability_perc"])
+
+
+def with_bootstrap(rows: DataFrame, boot: DataFrame | None) -> DataFrame:
+    """Association rows with their bootstrap columns by (gene_id, method); nulls and stability 0 where there is none."""
+    if boot is None:
+        none = F.lit(None).cast("double")
+        return rows.withColumns({"mean_boot": none, "ci_lower": none, "ci_upper": none, "rank_stability_perc": F.lit(0.0)})
+    return rows.join(boot, ["gene_id", "method"], "left").fillna(0.0, ["rank_stability_perc"])
+
+
+def gene_regression(x: DataFrame, genes: DataFrame, most: int = 200) -> DataFrame:
+    """gene_id and coefficient of the least-squares model of y on all of ``genes`` (at most ``most``), largest |coefficient|
+    first. Coefficients come from the pseudo-inverse, so more genes than samples give the shortest solution."""
+    own = x.join(F.broadcast(genes.select("gene_id").distinct().orderBy("gene_id").limit(most)), "gene_id")
+    vectors = own.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select(F.lit(1).alias("one"), "gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:  # at most ``most`` rows
+        f = f.sort_values("gene_id")
+        a, y = np.stack([np.asarray(v, float) for v in f["values"]]).T, np.asarray(f["ys"].iloc[0], float)
+        return pd.DataFrame({"gene_id": f["gene_id"], "coefficient": np.linalg.pinv(a - a.mean(0)) @ (y - y.mean())})
+
+    return vectors.groupBy("one").applyInPandas(solve, "gene_id string, coefficient double").orderBy(F.desc(F.abs("coefficient")), "gene_id")

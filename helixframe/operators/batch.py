@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_rank, benjamini_hochberg, chi2_p, cohens_d, f_p
+from ..functions.columns import avg_rank, benjamini_hochberg, chi2_p, cohens_d, f_p, ks_two_sample_p
 
 
 def anova(expr: DataFrame) -> DataFrame:
@@ -100,38 +100,30 @@ def ks_pairs(expr: DataFrame) -> DataFrame:
     return gap.groupBy("gene_id", "p1", "p2").agg(F.max("g").alias("d"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
 
 
-def ks_p(d: float, n1: int, n2: int) -> float:
-    """Exact two-sided p: the share of lattice paths that reach the distance."""
-    limit = d * n1 * n2 - 1e-7 * n1 * n2
-    row = np.zeros(n2 + 1)
-    for i in range(n1 + 1):
-        for j in range(n2 + 1):
-            if abs(i * n2 - j * n1) >= limit:
-                row[j] = 1.0
-            elif i == 0 or j == 0:
-                row[j] = 0.0 if i + j == 0 else (row[j] if j == 0 else row[j - 1])
-            else:
-                row[j] = (row[j] * i + row[j - 1] * j) / (i + j)
-    return float(row[n2])
-
-
-def combat(expr: DataFrame) -> DataFrame:
+def combat(expr: DataFrame, covariate: str | None = None) -> DataFrame:
     """Parametric empirical-Bayes correction of platform location and scale (Johnson et al. 2007), as column value.
 
-    Pass 1 standardises genes by pooled moments; pass 2 takes each platform's hyper-parameters over all genes (a row a
-    platform); then every gene's platform effects are shrunk by the fixed-point rule, in a vectorised function.
+    With ``covariate`` (a numeric column of the sample) what goes with it is kept: its slope within platforms is fitted
+    with the platforms' means. Pass 1 standardises genes by pooled moments; pass 2 takes each platform's hyper-parameters
+    over all genes (a row a platform); then every gene's platform effects are shrunk by the fixed-point rule.
     """
-    own = expr.groupBy("gene_id", "platform").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    c = F.col(covariate).cast("double") if covariate else F.lit(0.0)
+    expr = expr.withColumn("_c", c)
+    own = expr.groupBy("gene_id", "platform").agg(
+        F.count("*").alias("n"), F.avg("value").alias("my"), F.var_pop("value").alias("vy"), F.avg("_c").alias("mc"), F.var_pop("_c").alias("vc"), F.covar_pop("value", "_c").alias("vyc"))
+    slope = own.groupBy("gene_id").agg(F.coalesce(F.sum(F.col("n") * F.col("vyc")) / F.nullif(F.sum(F.col("n") * F.col("vc")), F.lit(0.0)), F.lit(0.0)).alias("slope"))
+    # moments of what is left without the covariate's part
+    own = own.join(slope, "gene_id").withColumn("m", F.col("my") - F.col("slope") * F.col("mc"))
+    own = own.withColumn("v", F.greatest(F.col("vy") - 2 * F.col("slope") * F.col("vyc") + F.col("slope") * F.col("slope") * F.col("vc"), F.lit(0.0)))
     pooled = own.groupBy("gene_id").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sqrt(F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("gs"))
     z = own.join(pooled, "gene_id").filter("gs > 1e-9")
     z = z.withColumn("g", (F.col("m") - F.col("gm")) / F.col("gs")).withColumn("d", F.greatest(F.col("v") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)) / (F.col("gs") * F.col("gs")), F.lit(1e-9)))
     hyper = z.groupBy("platform").agg(F.avg("g").alias("gbar"), F.var_samp("g").alias("t2"), F.avg("d").alias("dm"), F.var_samp("d").alias("dv"))
-    z = z.join(F.broadcast(hyper), "platform")
-    shrink = z.select("gene_id", "platform", "gm", "gs", "n", "g", "d", "gbar", "t2", "dm", "dv")
+    shrink = z.join(F.broadcast(hyper), "platform").select("gene_id", "platform", "gm", "gs", "slope", "n", "g", "d", "gbar", "t2", "dm", "dv")
 
     def solve(frames):
         for f in frames:
-            n, g, d, gbar, t2 = (f[c].to_numpy(float) for c in ("n", "g", "d", "gbar", "t2"))
+            n, g, d, gbar, t2 = (f[x].to_numpy(float) for x in ("n", "g", "d", "gbar", "t2"))
             dv = np.maximum(f.dv.to_numpy(float), 1e-12)
             dm = f.dm.to_numpy(float)
             a, b = (2 * dv + dm**2) / dv, (dm * dv + dm**3) / dv
@@ -142,8 +134,30 @@ def combat(expr: DataFrame) -> DataFrame:
                 if np.all(np.abs(g2 - gs) < 1e-9) and np.all(np.abs(d2 - ds) < 1e-9):
                     break
                 gs, ds = g2, d2
-            yield pd.DataFrame({"gene_id": f.gene_id, "platform": f.platform, "gm": f.gm, "gs": f.gs, "gstar": gs, "dstar": ds})
+            yield f[["gene_id", "platform", "gm", "gs", "slope"]].assign(gstar=gs, dstar=ds)
 
-    stars = shrink.mapInPandas(solve, "gene_id string, platform string, gm double, gs double, gstar double, dstar double")
-    fixed = ((F.col("value") - F.col("gm")) / F.col("gs") - F.col("gstar")) / F.sqrt("dstar") * F.col("gs") + F.col("gm")
+    stars = shrink.mapInPandas(solve, "gene_id string, platform string, gm double, gs double, slope double, gstar double, dstar double")
+    part = F.col("slope") * F.col("_c")
+    fixed = ((F.col("value") - part - F.col("gm")) / F.col("gs") - F.col("gstar")) / F.sqrt("dstar") * F.col("gs") + F.col("gm") + part
     return expr.join(stars, ["gene_id", "platform"], "left").select("gene_id", "sample_id", "platform", F.coalesce(fixed, F.col("value")).alias("value"))
+
+
+def ks_tests(expr: DataFrame) -> DataFrame:
+    """ks_pairs with p; a gene that is constant over both platforms, or a platform with one sample, has no test."""
+    return ks_pairs(expr).filter("n1 > 1 and n2 > 1 and d > 0").withColumn("p_value", ks_two_sample_p(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double")))
+
+
+def hierarchical(expr: DataFrame, target_gene: str, alpha: float = 0.01, most: float = 0.05) -> DataFrame:
+    """Location-scale correction of the platform that differs most, where over the share ``most`` of genes still have
+    platform effects (adjusted Kruskal-Wallis p under ``alpha``) and the target is there; the target keeps its values."""
+    if expr.filter(F.col("gene_id") == target_gene).limit(1).count() == 0:
+        return expr
+    left = residual_effects(expr.filter(F.col("gene_id") != target_gene)).agg((F.count_if(F.col("kruskal_pvalue_adj") < alpha) / F.nullif(F.count("*"), F.lit(0))).alias("s")).first()["s"]
+    if (left or 0) <= most:
+        return expr
+    return location_scale(expr, problem_platform(platform_bias(expr)).first()["platform"], target_gene)
+
+
+def repaired(effects: DataFrame) -> DataFrame:
+    """Residual effects as later steps want them: gene_id as text, missing adjusted p as 1."""
+    return effects.withColumn("gene_id", F.col("gene_id").cast("string")).withColumns({c: F.coalesce(c, F.lit(1.0)) for c in effects.columns if c.endswith("_adj")})

@@ -5,15 +5,20 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank
-from ..functions.special import digamma
+from ..functions.information import ksg
 from .association import spearman
 
 
+#: Candidates of a panel: their vectors and pairwise informations come to the driver.
+MOST_CANDIDATES = 200
+
+
 def top_n(df: DataFrame, group: str, score: str, n: int, key: str = "gene_id") -> DataFrame:
     """The ``n`` best rows of each group, ties by key; Spark limits each group before its shuffle."""
     k = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), key))
@@ -101,18 +106,6 @@ def optimal_thresholds(x: DataFrame, markers: DataFrame, steps: int = 20) -> Dat
     return scored.withColumn("k", k).filter("k = 1").select("gene_id", F.col("thr").alias("optimal_threshold"), "balanced_accuracy", "sensitivity", "specificity", "tp", "fp", "tn", "fn", "direction")
 
 
-def ksg(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) -> float:
-    """Mutual information of two continuous variables (Kraskov et al. 2004), at least 0; tiny seeded noise breaks ties."""
-    rng = np.random.default_rng(seed)
-    a, b = ((v - v.mean()) / (v.std() or 1) + 1e-10 * rng.standard_normal(len(v)) for v in (np.asarray(x, float), np.asarray(y, float)))
-    dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
-    d = np.maximum(dx, dy)
-    np.fill_diagonal(d, np.inf)
-    eps = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    nx, ny = ((v < eps).sum(1) - 1 for v in (dx, dy))
-    return float(max(0.0, digamma(np.array([float(k)]))[0] + digamma(np.array([float(len(a))]))[0] - (digamma(nx + 1.0) + digamma(ny + 1.0)).mean()))
-
-
 def loocv(columns: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Leave-one-out R squared and RMSE of the linear model, from the hat matrix."""
     a = np.column_stack([np.ones(len(y)), columns])
@@ -121,34 +114,122 @@ def loocv(columns: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(1 - (e @ e) / ((y - y.mean()) ** 2).sum()), float(np.sqrt((e @ e) / len(y)))
 
 
-def panels(vectors: DataFrame, scores: dict[str, float], y: list[float], sizes: tuple[int, ...] = (3, 5, 10), kinds: tuple[str, ...] = ("minimal_redundancy", "max_score")) -> DataFrame:
-    """Greedy marker panels over the candidates in ``scores`` (at most about a hundred): their mutual informations come
-    from Spark, a row per pair; the selection itself is a few hundred steps on the driver."""
-    spark = vectors.sparkSession
-    own = vectors.filter(F.col("gene_id").isin(list(scores)))
+KINDS = ("minimal_redundancy", "max_correlation", "max_score")
+
+
+def pair_information(vectors: DataFrame, genes: DataFrame) -> DataFrame:
+    """a, b, mi for all pairs of ``genes`` (about a hundred: a row per pair, 1 by definition for a gene with itself)."""
+    own = vectors.join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi")
     a, b = own.select(F.col("gene_id").alias("a"), F.col("values").alias("va")), own.select(F.col("gene_id").alias("b"), F.col("values").alias("vb"))
 
     def mi(frames):
         for f in frames:
             yield f.assign(mi=[ksg(p, q) for p, q in zip(f["va"], f["vb"], strict=True)])[["a", "b", "mi"]]
 
-    pairs = a.join(b, F.col("a") < F.col("b")).repartition("a").mapInPandas(mi, "a string, b string, mi double")
-    info = {frozenset((r["a"], r["b"])): r["mi"] for r in pairs.collect()}
-    values = {r["gene_id"]: np.array(r["values"], float) for r in own.collect()}
-    rows, order = [], sorted(scores, key=lambda g: (-scores[g], g))
+    pairs = a.join(b, F.col("a") < F.col("b")).repartition(F.xxhash64("a", "b"))
+    return pairs.mapInPandas(mi, "a string, b string, mi double")
+
+
+def panels(vectors: DataFrame, candidates: DataFrame, y: list[float], sizes: tuple[int, ...] = (3, 5, 10), kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Greedy marker panels over ``candidates`` (gene_id, score, correlation; at most MOST_CANDIDATES, or this raises).
+
+    max_score takes the best scores, max_correlation the largest |correlation|, minimal_redundancy (and any other name)
+    the score less the mean information with those chosen; the first in order of score, then id, wins ties. Candidates
+    without values are left out, and samples without all of a panel's values. Informations come from Spark, a row per
+    pair; the selection itself is a few hundred steps on the driver.
+    """
+    spark = vectors.sparkSession
+    rows = candidates.select("gene_id", "score", "correlation").limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    names = spark.createDataFrame([(r["gene_id"],) for r in rows], "gene_id string")
+    values = {r["gene_id"]: np.array(r["values"], float) for r in vectors.join(F.broadcast(names), "gene_id", "left_semi").collect()}
+    info = {frozenset((r["a"], r["b"])): r["mi"] for r in pair_information(vectors, names).collect()}
+    score = {r["gene_id"]: r["score"] for r in rows if r["gene_id"] in values}
+    level = {r["gene_id"]: abs(r["correlation"] or 0.0) for r in rows}
+    order = sorted(score, key=lambda g: (-score[g], g))
+    target, out = np.array(y, float), []
     for kind in kinds:
         chosen: list[str] = []
         while len(chosen) < min(max(sizes), len(order)):
-            best = None
-            for g in (g for g in order if g not in chosen):
-                cost = np.mean([info[frozenset((g, c))] for c in chosen]) if chosen and kind == "minimal_redundancy" else 0.0
-                if best is None or scores[g] - cost > best[0]:
-                    best = (scores[g] - cost, g)
-            chosen.append(best[1])
+            left = [g for g in order if g not in chosen]
+            if kind == "max_score":
+                worth = [score[g] for g in left]
+            elif kind == "max_correlation":
+                worth = [level[g] for g in left]
+            else:
+                worth = [score[g] - (np.mean([info[frozenset((g, c))] for c in chosen]) if chosen else 0.0) for g in left]
+            chosen.append(left[int(np.argmax(worth))])
             if len(chosen) in sizes:
-                r2, rmse = loocv(np.column_stack([values[g] for g in chosen]), np.array(y, float))
-                rows.append((kind, len(chosen), r2, rmse, list(chosen)))
-    return spark.createDataFrame(rows, "panel_type string, size int, r2_loocv double, rmse_loocv double, genes array<string>")
+                a = np.column_stack([values[g] for g in chosen])
+                whole = ~np.isnan(a).any(axis=1) & ~np.isnan(target)
+                r2, rmse = loocv(a[whole], target[whole])
+                shared = [info[frozenset(p)] for p in combinations(chosen, 2)]
+                out.append((kind, len(chosen), r2, rmse, float(np.mean(shared)) if shared else 0.0, list(chosen)))
+    return spark.createDataFrame(out, "panel_type string, size int, r2_loocv double, rmse_loocv double, mean_information double, genes array<string>")
+
+
+def panel_gains(paneled: DataFrame) -> DataFrame:
+    """Each panel's R squared and what its size adds to the next smaller one of its kind (a row a panel)."""
+    before = F.lag("r2_loocv").over(W.partitionBy("panel_type").orderBy("size"))
+    return paneled.select("panel_type", "size", "r2_loocv", "rmse_loocv", (F.col("r2_loocv") - F.coalesce(before, F.lit(0.0))).alias("gain"))
+
+
+def binary_markers(x: DataFrame, top: int = 5000, least_auc: float = 0.7, best: int = 50, folds: int = 3) -> DataFrame:
+    """The ``best`` genes whose cross-validated AUC is at least ``least_auc``, by .7 cv_auc + .3 auc.
+
+    A logistic model of one gene is monotone in it, with the sign of the difference of the training rows' class means
+    (classes weighted alike). So a fold's AUC is the rank AUC of its rows, or one less that, by that sign. Folds are
+    stratified: samples of a class in order of sample_id, dealt in turn.
+    """
+    strong = binary_auc(x, top)
+    cut = x.select("sample_id", "y").distinct().agg(F.percentile("y", 0.5).alias("_cut"))
+    classes = x.select("sample_id", "y").distinct().join(F.broadcast(cut)).withColumn("pos", F.col("y") > F.col("_cut"))
+    classes = classes.withColumn("fold", (F.row_number().over(W.partitionBy("pos").orderBy("sample_id")) - 1) % folds).select("sample_id", "pos", "fold")  # a row a sample
+    own = x.join(F.broadcast(classes), "sample_id").join(strong.select("gene_id"), "gene_id", "left_semi").withColumn("rk", avg_rank("value", "gene_id", "fold"))
+    pos, neg = F.col("pos"), ~F.col("pos")
+    by = own.groupBy("gene_id", "fold").agg(F.sum(F.when(pos, F.col("rk"))).alias("s"), F.count_if(pos).alias("np"), F.count_if(neg).alias("nn"), F.sum(F.when(pos, F.col("value"))).alias("vp"), F.sum(F.when(neg, F.col("value"))).alias("vn"))
+    rest = lambda c: F.sum(c).over(W.partitionBy("gene_id")) - F.col(c)
+    by = by.withColumn("up", rest("vp") / F.nullif(rest("np"), F.lit(0)) >= rest("vn") / F.nullif(rest("nn"), F.lit(0)))
+    auc = (F.col("s") - F.col("np") * (F.col("np") + 1) / 2.0) / F.nullif(F.col("np") * F.col("nn"), F.lit(0))
+    cv = by.withColumn("a", F.when(F.col("up"), auc).otherwise(1 - auc)).groupBy("gene_id").agg(F.when(F.count("a") == F.count("*"), F.avg("a")).otherwise(0.0).alias("cv_auc"))
+    out = strong.join(cv, "gene_id").filter(F.col("cv_auc") >= least_auc).withColumn("marker_score", 0.7 * F.col("cv_auc") + 0.3 * F.col("auc"))
+    return out.select("gene_id", "auc", "cv_auc", "direction", "mean_expr", "marker_score").orderBy(F.desc(F.round("marker_score", 9)), "gene_id").limit(best)
+
+
+def compare_methods(rows: DataFrame, x: DataFrame, top: int = 20, folds: int = 5) -> DataFrame:
+    """method, mean_correlation, mean_significance (-log10 p), predictive_power (R squared over contiguous folds of the
+    linear model on its ``top`` genes, at least 0) and overall_score, the mean of the three scaled to 0..1 over methods
+    (.5 where all are alike); rounded to three places."""
+    best = rows.withColumn("_k", F.row_number().over(W.partitionBy("method").orderBy(F.desc("rank_score"), "gene_id"))).filter(F.col("_k") <= top)
+    stats = best.groupBy("method").agg(F.avg(F.abs("coefficient")).alias("mean_correlation"), F.avg(-F.log10(F.coalesce("p_value", F.lit(1.0)) + 1e-300)).alias("mean_significance"))
+    own = x.join(F.broadcast(best.select("gene_id", "method")), "gene_id")
+    vectors = own.groupBy("method", "gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("method", "gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+
+    def power(f: pd.DataFrame) -> pd.DataFrame:  # at most ``top`` rows
+        f = f.sort_values("gene_id")
+        a, y = np.stack([np.asarray(v, float) for v in f["values"]]).T, np.asarray(f["ys"].iloc[0], float)
+        scores = []
+        for part in np.array_split(np.arange(len(y)), folds):
+            rest = np.setdiff1d(np.arange(len(y)), part)
+            m, ym = a[rest].mean(0), y[rest].mean()
+            guess = ym + (a[part] - m) @ (np.linalg.pinv(a[rest] - m) @ (y[rest] - ym))
+            total = ((y[part] - y[part].mean()) ** 2).sum()
+            scores.append(1 - ((y[part] - guess) ** 2).sum() / total if total > 0 else 0.0)
+        return pd.DataFrame({"method": [f["method"].iloc[0]], "predictive_power": [max(0.0, float(np.mean(scores)))]})
+
+    out = stats.join(vectors.groupBy("method").applyInPandas(power, "method string, predictive_power double"), "method")
+    over = W.partitionBy()  # a row a method
+    cols = ("mean_correlation", "mean_significance", "predictive_power")
+    scaled = [F.when(F.max(c).over(over) > F.min(c).over(over), (F.col(c) - F.min(c).over(over)) / F.nullif(F.max(c).over(over) - F.min(c).over(over), F.lit(0.0))).otherwise(0.5) for c in cols]
+    out = out.withColumn("overall_score", sum(scaled[1:], scaled[0]) / 3)
+    return out.select("method", *[F.round(c, 3).alias(c) for c in (*cols, "overall_score")]).orderBy(F.desc("overall_score"), "method")
+
+
+def with_symbols(rows: DataFrame, genes: DataFrame) -> DataFrame:
+    """``rows`` with sym from ``genes`` (gene_id, sym); the id where there is none."""
+    names = genes.groupBy("gene_id").agg(F.min("sym").alias("sym"))
+    return rows.join(names, "gene_id", "left").withColumn("sym", F.coalesce("sym", "gene_id"))
 
 
 def co_edges(scores: DataFrame, top: int = 20, least: float = 0.1) -> DataFrame:
@@ -156,7 +237,3 @@ def co_edges(scores: DataFrame, top: int = 20, least: float = 0.1) -> DataFrame:
     best = scores.orderBy(F.desc(F.round(F.abs("coefficient"), 9)), "gene_id").limit(top)
     a, b = best.select(F.col("gene_id").alias("a"), F.col("coefficient").alias("ra")), best.select(F.col("gene_id").alias("b"), F.col("coefficient").alias("rb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("ra") * F.col("rb")).alias("weight")).filter(F.abs("weight") >= least)
-
-
-def pairs_of(names: list[str]) -> list[tuple[str, str]]:
-    return list(combinations(names, 2))

@@ -10,12 +10,14 @@ from ..functions import sequences as S
 from ..functions.columns import benjamini_hochberg, fisher_p
 
 
-def utr_features(seqs: DataFrame) -> DataFrame:
+def utr_features(seqs: DataFrame, patterns: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """UTR features of (id, utr5, utr3), with the columns ``keep``; ``patterns`` replaces those of S.PATTERNS by name."""
+    p = S.PATTERNS | (patterns or {})
     return seqs.select(
-        "id", F.length("utr5").alias("UTR5_length"), S.gc_percent("utr5").alias("UTR5_GC"), F.regexp_count("utr5", F.lit("ATG")).alias("UTR5_AUG_count"),
-        F.col("utr5").rlike(S.KOZAK).alias("kozak_sequence_present"), F.col("utr5").rlike(S.TOP).alias("TOP_motif_present"), F.col("utr5").rlike(S.G_QUAD).alias("G_quadruplex_present"),
-        F.length("utr3").alias("UTR3_length"), S.gc_percent("utr3").alias("UTR3_GC"), F.col("utr3").rlike(S.POLY_A).alias("polyA_signal_present"), F.col("utr3").rlike(S.ARE).alias("ARE_motifs_present"),
-        F.regexp_count("utr3", F.lit(S.MIRNA_SEED)).alias("miRNA_seed_matches"),
+        "id", *keep, F.length("utr5").alias("UTR5_length"), S.gc_percent("utr5").alias("UTR5_GC"), F.regexp_count("utr5", F.lit("ATG")).alias("UTR5_AUG_count"),
+        F.col("utr5").rlike(p["kozak"]).alias("kozak_sequence_present"), F.col("utr5").rlike(p["top"]).alias("TOP_motif_present"), F.col("utr5").rlike(p["g_quadruplex"]).alias("G_quadruplex_present"),
+        F.length("utr3").alias("UTR3_length"), S.gc_percent("utr3").alias("UTR3_GC"), F.col("utr3").rlike(p["poly_a"]).alias("polyA_signal_present"), F.col("utr3").rlike(p["are"]).alias("ARE_motifs_present"),
+        F.regexp_count("utr3", F.lit(p["mirna_seed"])).alias("miRNA_seed_matches"),
     )
 
 
@@ -25,20 +27,37 @@ def codon_usage(seqs: DataFrame) -> DataFrame:
     return own.withColumn("freq", F.col("n") / F.sum("n").over(W.partitionBy("id")))
 
 
-def gc3_cai(seqs: DataFrame) -> DataFrame:
+def gc3_cai(seqs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Third-base GC per cent and the self-relative CAI: geometric mean of each codon's count over that of its most
-    common synonym, over amino acids with several codons; stops aside."""
-    own = codon_usage(seqs).withColumn("aa", S.amino_acid("codon"))
-    family = {a: S.AMINO.count(a) for a in set(S.AMINO)}
-    several = F.col("aa").isin([a for a, n in family.items() if n > 1 and a != "*"])
-    own = own.withColumn("w", F.when(several, F.col("n") / F.max("n").over(W.partitionBy("id", "aa"))))
-    gc3 = F.sum(F.when(F.substring("codon", 3, 1).isin("G", "C"), F.col("n")).otherwise(0)) * 100.0 / F.sum("n")
-    cai = F.exp(F.sum(F.col("n") * F.ln("w")) / F.nullif(F.sum(F.when(F.col("w").isNotNull(), F.col("n"))), F.lit(0)))
-    return own.groupBy("id").agg(gc3.alias("GC3_content"), F.coalesce(cai, F.lit(0.0)).alias("CAI"))
-
-
-def kmer_counts(seqs: DataFrame, column: str, k: int, top: int | None = None) -> DataFrame:
-    out = seqs.select(F.explode(S.kmers(column, k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    common synonym, over amino acids with several codons; stops aside. Sequences without codons have nulls.
+
+    Counts are made in the row, for its distinct codons (64 at most), so no sequence is exploded or shuffled.
+    """
+    amino = {c: a for c, a in S.GENETIC_CODE.items() if a != "*" and S.AMINO.count(a) > 1}
+    # explode of one array each: a step that the optimizer does not merge, so the codons are made once a row
+    own = seqs.select("id", *keep, F.explode(F.array(S.codons("cds"))).alias("_cs")).withColumn("_ds", F.array_distinct("_cs"))
+    family = F.create_map(*[F.lit(x) for pair in amino.items() for x in pair])
+    counted = own.withColumn("_e", F.transform("_ds", lambda c: F.struct(family[c].alias("aa"), F.size(F.filter("_cs", lambda x: x == c)).cast("double").alias("n"))))
+    counted = counted.withColumn("_e", F.filter("_e", lambda e: e["aa"].isNotNull()))
+    counted = counted.select("id", *keep, "_cs", F.explode(F.array("_e")).alias("_e"))
+    tops = F.transform("_e", lambda e: F.struct(e["n"].alias("n"), F.array_max(F.transform(F.filter("_e", lambda x: x["aa"] == e["aa"]), lambda x: x["n"])).alias("top")))
+    counted = counted.withColumn("_t", tops)
+    plus = lambda f: F.aggregate("_t", F.lit(0.0), lambda acc, e: acc + f(e))
+    cai = F.coalesce(F.exp(plus(lambda e: e["n"] * F.ln(e["n"] / e["top"])) / F.nullif(plus(lambda e: e["n"]), F.lit(0.0))), F.lit(0.0))
+    gc3 = F.size(F.filter("_cs", lambda c: F.substring(c, 3, 1).isin("G", "C"))) * 100.0 / F.nullif(F.size("_cs"), F.lit(0))
+    return counted.select("id", *keep, gc3.alias("GC3_content"), F.when(F.size("_cs") > 0, cai).alias("CAI"))
+
+
+def transcript_features(seqs: DataFrame, keep: tuple[str, ...] = (), patterns: dict[str, str] | None = None) -> DataFrame:
+    """UTR and coding features of every row of ``seqs`` in one pass."""
+    utr = utr_features(seqs, patterns, (*keep, "cds"))
+    return gc3_cai(utr, tuple(c for c in utr.columns if c not in ("id", "cds")))
+
+
+def kmer_counts(seqs: DataFrame, column: str, k: int, top: int | None = None, skip_n: bool = False) -> DataFrame:
+    """kmer and n, overlapping ones counted; with ``skip_n`` those with an N do not count. Ties in ``top`` go by name."""
+    out = seqs.select(F.explode(S.kmers(column, k)).alias("kmer"))
+    out = (out.filter(~F.col("kmer").contains("N")) if skip_n else out).groupBy("kmer").agg(F.count("*").alias("n"))
     return out.orderBy(F.desc("n"), "kmer").limit(top) if top else out
 
 
@@ -46,7 +65,11 @@ def kmer_enrichment(seqs: DataFrame, column: str, group: str, k: int = 6, top: i
     """k-mers of group 1 against group 0: occurrences, frequency per sequence (0.5 for none in group 0), fold; Fisher's
     exact test on presence, adjusted over all k-mers, then the ``top`` by fold."""
     sizes = seqs.groupBy().agg(F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"))
-    per = seqs.select("id", group, F.explode(S.kmers(column, k)).alias("motif")).groupBy("motif", group, "id").agg(F.count("*").alias("c"))
+    # a row's k-mers are counted in the row, so one shuffle with map-side sums is left
+    grams = seqs.select(group, F.explode(F.array(F.sort_array(S.kmers(column, k)))).alias("g")).filter(F.size("g") > 0)
+    ends = F.filter(F.sequence(F.lit(1), F.size("g")), lambda i: (i == F.size("g")) | (F.element_at("g", i) != F.get(F.col("g"), i)))
+    runs = grams.select(group, "g", F.explode(F.array(ends)).alias("e")).select(group, F.explode(F.transform("e", lambda e, j: F.struct(F.element_at("g", e).alias("motif"), (e - F.when(j > 0, F.get(F.col("e"), j - 1)).otherwise(0)).alias("c")))).alias("r"))
+    per = runs.select(group, "r.motif", "r.c")
     c1, c0 = F.col(group) == 1, F.col(group) == 0
     by = per.groupBy("motif").agg(F.sum(F.when(c1, F.col("c")).otherwise(0)).alias("count1"), F.sum(F.when(c0, F.col("c")).otherwise(0)).alias("count0"), F.count_if(c1).alias("seq1"), F.count_if(c0).alias("seq0"))
     own = by.filter("count1 > 0").join(F.broadcast(sizes))
@@ -81,6 +104,35 @@ def motif_presence(seqs: DataFrame, column: str, motifs: dict[str, str], group:
     return benjamini_hochberg(tested, "p_value", "p_adjusted")
 
 
+def de_novo(seqs: DataFrame, column: str, group: str, sizes: tuple[int, ...] = (4, 5, 6), ratio: float = 2.0, best: int = 5, least: int = 10) -> dict[str, str]:
+    """Name and pattern of the ``best`` k-mers of each size that are over ``ratio`` times as frequent in group 1 (per
+    sequence) as in group 0; none if group 1 has under ``least`` sequences. A few rows come to the driver."""
+    own = seqs.filter(F.length(column) > 0)
+    if own.filter(F.col(group) == 1).limit(least).count() < least:
+        return {}
+    out = {}
+    for k in sizes:
+        rows = kmer_enrichment(own, column, group, k, None).filter(~F.col("motif").contains("N"))
+        f1, f0 = F.col("count1") / F.col("n1"), F.col("count0") / F.greatest("n0", F.lit(1))
+        top = rows.filter(f1 > ratio * f0).orderBy(F.desc(f1 / F.greatest(f0, F.lit(0.001))), "motif").limit(best)
+        out |= {f"de_novo_{k}mer_{r['motif']}": r["motif"] for r in top.select("motif").collect()}
+    return out
+
+
+def region_motifs(seqs: DataFrame, column: str, motifs: dict[str, str], group: str) -> DataFrame:
+    """motif_presence of the fixed and the de-novo motifs, fold over shares of at least .001, by adjusted p, then fold."""
+    out = motif_presence(seqs, column, motifs | de_novo(seqs, column, group), group)
+    fold = F.col("freq1") / F.greatest("freq0", F.lit(0.001))
+    return out.withColumn("fold_enrichment", fold).withColumn("significant", F.col("p_adjusted") < 0.05).orderBy("p_adjusted", F.desc("fold_enrichment"), "motif")
+
+
+def rna_structures(seqs: DataFrame, column: str, most: int = 100, least_length: int = 10) -> DataFrame:
+    """id, structure, length, hairpins, loops, gc_content of the first ``most`` sequences by id of ``least_length`` on."""
+    own = seqs.filter(F.length(column) >= least_length).orderBy("id").limit(most).select("id", F.col(column).alias("seq"))
+    folded = own.withColumn("structure", S.folded("seq"))
+    return folded.select("id", "structure", *S.rna_metrics("structure", "seq"))
+
+
 def motif_flag_totals(features: DataFrame) -> DataFrame:
     """How many transcripts have each boolean feature."""
     flags = [c for c, t in features.dtypes if t == "boolean"]

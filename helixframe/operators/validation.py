@@ -1,4 +1,9 @@
-"""Sample-space validation: PCA by Gram matrix, silhouette, neighbour mixing."""
+"""Sample-space validation: PCA by Gram matrix, silhouette, neighbour mixing, and what a correction does to them.
+
+Samples are the small side of an expression matrix: n x n numbers (n samples, at most MOST_SAMPLES) come to the driver.
+Genes are not: tasks sum products of theirs. All pairs of points is what silhouette and neighbours are; they meet block by
+block, and a block pair gives one row a point, not one a pair.
+"""
 
 from __future__ import annotations
 
@@ -8,59 +13,190 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import f_p
+from ..sources.matrix import to_vectors
+from . import batch
+
+MOST_SAMPLES = 5000
+#: Points of a block.
+BLOCK = 2000
+
 
-def sample_pca(vectors: DataFrame, components: int = 2) -> np.ndarray:
-    """Principal components of samples from (gene_id, values): tasks sum n x n products of their genes (n samples),
-    the sum is taken apart on the driver. n is the number of samples, so the driver holds n x n numbers."""
+def _summed(vectors: DataFrame, products, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over genes of ``products`` (genes x samples -> matrix of ``shape``), made in tasks."""
 
-    def gram(frames):
+    def run(frames):
         total = None
         for f in frames:
             if len(f):
-                v = np.stack([np.asarray(a, float) for a in f["values"]])
-                v = v - v.mean(axis=1, keepdims=True)
-                total = v.T @ v if total is None else total + v.T @ v
+                own = products(f)
+                total = own if total is None else total + own
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
 
-    parts = vectors.mapInPandas(gram, "i int, row array<double>")
-    rows = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    n = max(r["i"] for r in rows) + 1
-    g = np.zeros((n, n))
+    rows = vectors.mapInPandas(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(shape)
     for r in rows:
-        g[r["i"], r["j"]] = r["v"]
-    w, u = np.linalg.eigh(g)
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(a, float) for a in column])
+
+
+def _scaled(v: np.ndarray, scale: bool) -> np.ndarray:
+    v = v - v.mean(axis=1, keepdims=True)
+    if scale:
+        sd = v.std(axis=1, keepdims=True)
+        v = v / np.where(sd < 1e-12, 1.0, sd)
+    return v
+
+
+def _eigen(vectors: DataFrame, samples: int, components: int, scale: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """(eigenvectors, eigenvalues, their whole sum) of the samples' Gram matrix of centred (and scaled) genes."""
+    if samples > MOST_SAMPLES:
+        raise ValueError(f"{samples} samples; sample-space analysis holds n x n numbers for at most {MOST_SAMPLES}")
+
+    def gram(f: pd.DataFrame) -> np.ndarray:
+        v = _scaled(_stack(f["values"]), scale)
+        return v.T @ v
+
+    w, u = np.linalg.eigh(_summed(vectors, gram, (samples, samples)))
     order = np.argsort(-w)[:components]
-    return u[:, order] * np.sqrt(np.maximum(w[order], 0))
+    u = u[:, order]
+    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])  # the largest entry of each is positive
+    return u, np.maximum(w[order], 0), float(np.maximum(w, 0).sum())
+
+
+def sample_pca(vectors: DataFrame, samples: int, components: int = 2, scale: bool = False) -> np.ndarray:
+    """Principal components of samples from (gene_id, values)."""
+    u, w, _ = _eigen(vectors, samples, components, scale)
+    return u * np.sqrt(w)
+
+
+def samples_of(expr: DataFrame) -> list[tuple[str, str]]:
+    """(sample_id, platform) in order: a row a sample."""
+    return [(r["sample_id"], r["platform"]) for r in expr.groupBy("sample_id").agg(F.min("platform").alias("platform")).orderBy("sample_id").collect()]
+
+
+def _points(expr: DataFrame, names: list[tuple[str, str]], coordinates: np.ndarray) -> DataFrame:
+    """vec_id, embedding, label (the platform's number), platform."""
+    labels = {p: i for i, p in enumerate(sorted({p for _, p in names}))}
+    rows = [(i, [float(x) for x in v], labels[p], p) for i, ((_, p), v) in enumerate(zip(names, coordinates, strict=True))]
+    return expr.sparkSession.createDataFrame(rows, "vec_id long, embedding array<double>, label int, platform string")
+
 
+def detect_batch_effect(expr: DataFrame) -> DataFrame:
+    """n_platforms, pct_affected (genes with raw ANOVA p under .05, of all) and the silhouette of platforms on two
+    principal components of the samples with a known platform."""
+    known = expr.filter("platform <> 'Unknown'")
+    names = samples_of(known)
+    pcs = sample_pca(to_vectors(known), len(names), 2)
+    shape = silhouette(_points(known, names, pcs)).withColumn("n_platforms", F.lit(len({p for _, p in names})))
+    return shape.join(F.broadcast(batch.affected_share(known))).select("n_platforms", "pct_affected", "silhouette")
 
-def distances(points: DataFrame, blocks: int = 8) -> DataFrame:
-    """(i, label, j, other, d): euclidean distances of all rows of (vec_id, embedding, label), themselves left out.
 
-    All pairs are what a silhouette is; points meet block by block, and a block pair is one numpy product.
-    """
-    keyed = points.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    left = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def needs_correction(detected: DataFrame, pct: float = 20.0, silhouette: float = 0.1) -> bool:
+    """Whether to correct: several platforms, and more than ``pct`` per cent affected or |silhouette| over its limit."""
+    row = detected.first()
+    return row["n_platforms"] > 1 and (row["pct_affected"] > pct or abs(row["silhouette"] or 0.0) > silhouette)
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "label": [], "j": [], "other": [], "d": []})
-        b = b.rename(columns={"vec_id_": "vec_id", "embedding_": "embedding", "label_": "label"})
-        x, y = (np.stack([np.asarray(v, float) for v in f["embedding"]]) for f in (a, b))
-        d = np.sqrt(np.maximum(0, ((x[:, None, :] - y[None, :, :]) ** 2).sum(2)))
-        i, j = np.indices(d.shape).reshape(2, -1)
-        out = pd.DataFrame({"i": a["vec_id"].to_numpy()[i], "label": a["label"].to_numpy()[i], "j": b["vec_id"].to_numpy()[j], "other": b["label"].to_numpy()[j], "d": d.ravel()})
-        return out[out.i != out.j]
 
-    right = keyed.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    g1, g2 = left.select("block", "other", "vec_id", "embedding", "label"), right.select(F.col("mine").alias("block"), F.col("block").alias("other"), *[F.col(c).alias(f"{c}_") for c in ("vec_id", "embedding", "label")])
-    cast = lambda d: d.withColumn("block", F.col("block").cast("int")).withColumn("other", F.col("other").cast("int"))
-    return cast(g1).groupBy("block", "other").cogroup(cast(g2).groupBy("block", "other")).applyInPandas(run, "i long, label int, j long, other int, d double")
+def remove_unwanted(expr: DataFrame, components: int = 10, alpha: float = 0.05) -> DataFrame:
+    """Values rebuilt from the first ``components`` principal components of the samples without those that differ
+    between platforms (ANOVA p under ``alpha``); a gene's mean stays."""
+    names = samples_of(expr)
+    vectors = to_vectors(expr)
+    u, w, _ = _eigen(vectors, len(names), min(components, len(names)), False)
+    spark = expr.sparkSession
+    scores = spark.createDataFrame([(f"pc{k}", s, p, float(u[i, k])) for k in range(u.shape[1]) for i, (s, p) in enumerate(names)], "gene_id string, sample_id string, platform string, value double")
+    tested = batch.anova(scores).withColumn("p", f_p("f", F.col("df1").cast("double"), F.col("df2").cast("double")))
+    gone = {int(r["gene_id"][2:]) for r in tested.filter(F.col("p") < alpha).collect()}  # a row a component
+    kept = u[:, [k for k in range(u.shape[1]) if k not in gone]]
+
+    def rebuild(frames):
+        for f in frames:
+            if len(f):
+                v = _stack(f["values"])
+                m = v.mean(axis=1, keepdims=True)
+                yield pd.DataFrame({"gene_id": f["gene_id"], "values": list(m + (v - m) @ kept @ kept.T)})
+
+    places = spark.createDataFrame([(i, s, p) for i, (s, p) in enumerate(names)], "pos int, sample_id string, platform string")
+    made = vectors.mapInPandas(rebuild, "gene_id string, values array<double>").select("gene_id", F.posexplode("values").alias("pos", "value"))
+    return made.join(F.broadcast(places), "pos").select("gene_id", "sample_id", "platform", "value")
+
+
+def stage_pca(stages: dict[str, DataFrame], components: int = 2) -> DataFrame:
+    """stage, sample_id, platform, pc1, pc2, ... and the share of variance of each, for matrices before and after steps."""
+    rows = []
+    for stage, expr in stages.items():
+        names = samples_of(expr)
+        u, w, total = _eigen(to_vectors(expr), len(names), components, False)
+        rows += [(stage, s, p, *map(float, u[i] * np.sqrt(w)), *[float(x / (total or 1)) for x in w]) for i, (s, p) in enumerate(names)]
+    cols = [f"pc{k + 1} double" for k in range(components)] + [f"explained{k + 1} double" for k in range(components)]
+    return next(iter(stages.values())).sparkSession.createDataFrame(rows, "stage string, sample_id string, platform string, " + ", ".join(cols))
+
+
+def validate_correction(before: DataFrame, after: DataFrame, components: int = 10, k: int = 15, alpha: float = 0.05) -> DataFrame:
+    """stage (before, after), silhouette, same_label_share and ks_share: samples on the principal components of the
+    matrix before (genes scaled by its moments, for both), and the share of genes and platform pairs whose distributions
+    differ (Kolmogorov-Smirnov p under ``alpha``)."""
+    names = samples_of(before)
+    n = len(names)
+    both = to_vectors(before).withColumnRenamed("values", "old").join(to_vectors(after).withColumnRenamed("values", "new"), "gene_id")
+    u, w, _ = _eigen(both.select("gene_id", F.col("old").alias("values")), n, min(components, n), True)
+    inverse = u / np.sqrt(np.maximum(w, 1e-12))
+
+    def project(f: pd.DataFrame) -> np.ndarray:
+        old, new = _stack(f["old"]), _stack(f["new"])
+        sd = old.std(axis=1, keepdims=True)
+        sd = np.where(sd < 1e-12, 1.0, sd)
+        m = old.mean(axis=1, keepdims=True)
+        return ((new - m) / sd).T @ ((old - m) / sd @ inverse)
+
+    scores = {"before": u * np.sqrt(w), "after": _summed(both, project, (n, u.shape[1]))}
+    out = None
+    for stage, expr in (("before", before), ("after", after)):
+        points = _points(before, names, scores[stage])
+        ks = batch.ks_tests(expr).agg((F.count_if(F.col("p_value") < alpha) / F.nullif(F.count("*"), F.lit(0))).alias("ks_share"))
+        own = silhouette(points).join(F.broadcast(knn_mixing(points, k))).join(F.broadcast(ks)).withColumn("stage", F.lit(stage))
+        out = own if out is None else out.unionByName(own)
+    return out.select("stage", "silhouette", "same_label_share", "ks_share")
+
+
+def _block_pairs(points: DataFrame, reduce, schema: str) -> DataFrame:
+    """``reduce`` (distances, ids and labels of both sides) over all pairs of blocks of about BLOCK points."""
+    count = points.count()
+    blocks = max(1, -(-count // BLOCK))
+    keyed = points.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
+    all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = keyed.withColumn("a", F.col("own")).withColumn("b", all_)
+    right = keyed.withColumn("b", F.col("own")).withColumn("a", all_)
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        p, q = _stack(x["embedding"]), _stack(y["embedding"])
+        d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
+        d[x["vec_id"].to_numpy()[:, None] == y["vec_id"].to_numpy()] = np.nan  # a point is not its own neighbour
+        return reduce(d, x, y)
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    return pairs.applyInPandas(run, schema)
 
 
 def silhouette(points: DataFrame) -> DataFrame:
-    """Mean silhouette over all points (0 for a point alone in its label)."""
-    by = distances(points).groupBy("i", "label", "other").agg(F.avg("d").alias("m"))
+    """Mean silhouette over all points of (vec_id, embedding, label); 0 for a point alone in its label."""
+
+    def sums(d, x, y):
+        parts = []
+        for label in np.unique(y["label"]):
+            own = d[:, y["label"].to_numpy() == label]
+            parts.append(pd.DataFrame({"i": x["vec_id"], "label": x["label"], "other": label, "s": np.nansum(own, axis=1), "n": (~np.isnan(own)).sum(1)}))
+        return pd.concat(parts)
+
+    by = _block_pairs(points, sums, "i long, label int, other int, s double, n long").groupBy("i", "label", "other").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     per = by.groupBy("i").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("m"))).alias("b"))
     s = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
     return per.agg(F.avg(s).alias("silhouette"))
@@ -68,5 +204,16 @@ def silhouette(points: DataFrame) -> DataFrame:
 
 def knn_mixing(points: DataFrame, k: int = 15) -> DataFrame:
     """Mean share of the same label among each point's ``k`` nearest others (lower is better mixed); ties by id."""
-    near = distances(points).withColumn("p", F.row_number().over(W.partitionBy("i").orderBy(F.round("d", 6), "j"))).filter(F.col("p") <= k)
+
+    def nearest(d, x, y):
+        d = np.round(d, 6)
+        ids, labels = y["vec_id"].to_numpy(), y["label"].to_numpy()
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]  # nan sorts last
+        near = np.take_along_axis(d, order, 1)
+        i = np.repeat(np.arange(len(x)), order.shape[1])
+        out = pd.DataFrame({"i": x["vec_id"].to_numpy()[i], "label": x["label"].to_numpy()[i], "j": ids[order].ravel(), "other": labels[order].ravel(), "d": near.ravel()})
+        return out.dropna()
+
+    cand = _block_pairs(points, nearest, "i long, label int, j long, other int, d double")
+    near = cand.withColumn("p", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("p") <= k)
     return near.groupBy("i").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("share")).agg(F.avg("share").alias("same_label_share"))
