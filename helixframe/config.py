@@ -28,6 +28,8 @@ class EngineConfig:
     advanced_alpha: float = 0.01
     constant_expression_cv_threshold: float = 0.3
     kmer_size: int = 6
+    correct_batches: bool = True
+    selection: str = "statistical"
     max_features: int = 15
 
     def with_values(self, values: dict[str, object]) -> EngineConfig:
