@@ -1,6 +1,7 @@
-"""Removal of repeated byte windows by a depth-limited radix sort of suffixes.
+"""Removal of repeated byte windows by a depth-limited order of suffixes.
 
-Suffixes are ordered only through ``depth`` bytes, most significant digit first, and only as far as they still tie:
+This is not a byte-by-byte radix sort: a pass a byte would move every suffix up to fifty times. Two digits of hashes stand in
+for the fifty bytes. Suffixes are ordered only through ``depth`` bytes, most significant digit first, and only as far as they still tie:
 
 1. The first digit of a suffix is the hash of the least gram in its first ``depth`` bytes. One gram is the digit of a
    whole run of suffixes, so a pass moves about one record for 16 bytes of text; equal grams of a packet move once.
@@ -31,6 +32,8 @@ PACKET_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 #: Positions hashed at a time, so that arrays stay in cache.
 BLOCK = 1 << 15
+#: Anchors whose surroundings are laid out at a time.
+ANCHORS = 1 << 16
 LAST = np.int64(2**63 - 1)
 
 _U = np.uint64
@@ -94,7 +97,7 @@ class Packet:
         self.ids = ids
         order = np.array([LAST if v is None else v for v in ids.to_pylist()], np.int64)
         self.data, self.offsets = text_bytes(rows.column("text"))
-        self.depth = depth
+        self.depth, self.padded = depth, None
         place, gram = anchors(self.data, self.offsets, depth)
         bucket = (gram % _U(buckets)).astype(np.int64)
         sort = np.lexsort((place, gram, bucket))
@@ -127,31 +130,42 @@ class Packet:
         place, row = self.place[at], self.row[at]
         left = np.minimum(side, place - self.offsets[row])
         right = np.minimum(side, self.offsets[row + 1] - place - GRAM)
-        padded = np.concatenate([np.zeros(side, np.uint8), self.data, np.zeros(side, np.uint8)])
-        text = padded[place[:, None] + np.arange(2 * side + GRAM)]
+        if self.padded is None:
+            self.padded = np.concatenate([np.zeros(side, np.uint8), self.data, np.zeros(side, np.uint8)])
+        text = np.lib.stride_tricks.sliding_window_view(self.padded, 2 * side + GRAM)[place]
         k = np.arange(2 * side + GRAM)
         text[(k < (side - left)[:, None]) | (k >= (side + GRAM + right)[:, None])] = 0
         return text, left, right
 
+    def codes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the surroundings of each anchor, ANCHORS at a time: a run of one byte has an anchor a byte."""
+        a, b = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        for lo in range(0, len(at), ANCHORS):
+            text, left, right = self.surroundings(at[lo : lo + ANCHORS])
+            x = mix64(left.astype(np.uint64) * _U(256) + right.astype(np.uint64) + _U(1))
+            y = mix64(x ^ _MUL[3])
+            for column in np.ascontiguousarray(text.T):
+                v = _BYTE[column]
+                x = (x ^ v) * _MUL[0]
+                x ^= x >> _U(29)
+                y = (y + v) * _MUL[2]
+                y ^= y >> _U(31)
+            a[lo : lo + ANCHORS], b[lo : lo + ANCHORS] = x, y
+        return a, b
+
     def distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the anchors ``at``: (one of the least document for each distinct surroundings; which of those each has;
-        their bytes, left and right), in order of (bucket, gram)."""
-        text, left, right = self.surroundings(at)
-        whole = np.concatenate([text, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
-        key = np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel()
-        code = np.zeros(len(at), np.uint64)
-        for column in whole.T:
-            code = (code ^ _BYTE[column]) * _MUL[0]
-            code ^= code >> _U(29)
-        sort = np.lexsort((self.row[at], self.doc[at], code, self.of[at]))
+        their bytes, left and right), in order of (bucket, gram). Surroundings are told apart by 128 bits."""
+        a, b = self.codes(at)
+        own = self.of[at]
+        sort = np.lexsort((self.row[at], self.doc[at], b, a, own))
         same = np.zeros(len(at), bool)
-        a, b = sort[1:], sort[:-1]
-        same[1:] = (self.of[at][a] == self.of[at][b]) & (code[a] == code[b])
-        same[1:][same[1:]] = key[a[same[1:]]] == key[b[same[1:]]]
+        p, q = sort[1:], sort[:-1]
+        same[1:] = (own[p] == own[q]) & (a[p] == a[q]) & (b[p] == b[q])
         chosen = sort[~same]
         group = np.empty(len(at), np.int64)
         group[sort] = np.cumsum(~same) - 1
-        return chosen, group, text[chosen], left[chosen], right[chosen]
+        return chosen, group, *self.surroundings(at[chosen])
 
 
 GRAMS = "bucket long, pid long, grams binary, several binary"
@@ -328,7 +342,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
 
     A byte goes if a ``depth``-byte string over it also starts in a document with a smaller doc_id. Null text counts as
     empty; a null doc_id sorts after all others. Rows of one doc_id do not remove each other's bytes. ``depth`` is at
-    least GRAM and at most 255.
+    least GRAM and at most 255. Repeated rows of one doc_id with one text all come out, alike; an empty table gives none.
     """
     if not GRAM <= depth <= 255:
         raise ValueError(f"depth must be {GRAM} to 255")
@@ -342,6 +356,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, keep_text: bool = False,
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of remove_repeats over all documents."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

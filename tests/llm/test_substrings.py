@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from helixframe.llm.substrings import anchors, remove_repeats
 
@@ -67,3 +68,18 @@ def test_every_window_has_an_anchor():
     for a, b in zip(offsets[:-1], offsets[1:]):
         starts = np.arange(a, b - 49)
         assert (np.searchsorted(place, starts + 30, side="right") > np.searchsorted(place, starts)).all()
+
+
+def test_runs_of_one_byte_take_little_memory(spark):
+    import resource
+
+    n = 1_500_000
+    df = spark.createDataFrame([(1, "-" * n), (2, "x" + "-" * n)], "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    assert got[1].spans == [] and [(s.start, s.end) for s in got[2].spans] == [(1, n + 1)]
+    from helixframe.llm.substrings import Packet
+
+    packet = Packet(pa.table({"pid": [0], "doc_id": [1], "text": ["-" * n]}), 4, 50)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(packet.distinct(np.arange(len(packet.place)))[0]) < 100
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 800_000  # kB
