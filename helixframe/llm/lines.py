@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, release, small_batches, table
 
 MIN_WORDS = 8
+#: Very common runs that are joined by broadcast, at most.
+HOT_RUNS = 10_000
 
 LINES = "did long, th long, i int, words int, h1 long, h2 long"
 
@@ -122,8 +124,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     own = suffixes.groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("i", "words", *names))).alias("lines"))
     runs = materialise(own.mapInArrow(run, RUNS), "runs")
     place = F.struct("did", "th", "i")
-    first = runs.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    later = runs.join(first, ["n", "a", "b"]).filter(place > F.col("first"))
+    first = materialise(runs.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
+    # a very common run, with over 1 / HOT_RUNS of all, meets its first copy by broadcast: there are HOT_RUNS at most
+    common = F.col("copies") > max(1000, runs.count() // HOT_RUNS)
+    marked = runs.join(F.broadcast(first.filter(common).drop("copies")), ["n", "a", "b"], "left")
+    rest = marked.filter("first is null").drop("first").join(first.filter(~common).drop("copies"), ["n", "a", "b"])
+    later = marked.filter("first is not null").unionByName(rest).filter(place > F.col("first"))
     out = later.select("did", "th", F.explode(F.expr("sequence(i, i + n - 1)")).alias("i")).distinct()
     release(lines, suffixes)
     return out
@@ -134,7 +140,8 @@ def delete_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
 
     Of equal runs of at least ``min_words`` words (lines stripped, blank ones aside) the first by (doc_id, line) stays.
     Nothing else of a text changes; a text that loses all its lines becomes empty. Null texts stay null. Rows that
-    repeat doc_id and text count as one document and lose the same lines; a null doc_id comes after all others.
+    repeat doc_id and text count as one document and lose the same lines; a null doc_id comes after all others. An empty
+    table gives no rows.
     Columns named n_lines, n_removed, did, th or gone are replaced.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "did", "th", "gone")]
