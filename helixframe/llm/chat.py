@@ -88,16 +88,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "role", "text").mapInArrow(run, SEGMENTS)
 
 
-def examples(segments: DataFrame, max_chars: int) -> DataFrame:
-    """Examples as strings: conv_id, example, formatted, target_start, target_end; those of more than ``max_chars`` go.
+def examples(parts: DataFrame) -> DataFrame:
+    """Examples as strings, from training_examples: conv_id, conv, example, formatted, target_start, target_end.
 
-    The context of each is gathered by a join on the conversation, so ``max_chars`` bounds what one example collects.
+    Every example is there, whatever its length; Spark holds a row whole, so one beyond 2 GB raises. Conversations are
+    told apart by their partition and number in it.
     """
-    own = segments.filter(F.col("example").isNotNull() & (F.col("target_end") <= max_chars)).select("conv_id", "example", F.col("position").alias("last"), "target_start", "target_end")
-    parts = segments.select("conv_id", "position", "segment")
-    pairs = own.join(parts, own.conv_id.eqNullSafe(parts.conv_id) & (parts.position <= own["last"]), "inner").select(own.conv_id, "example", "target_start", "target_end", "position", "segment")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "segment"))), lambda x: x["segment"]), "")
-    return pairs.groupBy("conv_id", "example", "target_start", "target_end").agg(text.alias("formatted"))
+    own = parts.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).filter(F.col("example").isNotNull())
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "")
+    return own.groupBy("part", "conv", "conv_id", "example", "target_start", "target_end").agg(text.alias("formatted")).select("conv_id", "conv", "example", "formatted", "target_start", "target_end")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -274,6 +273,7 @@ def example_digest(parts: DataFrame) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all conversations and -7, read back from their training examples. An empty table leaves -7 alone."""
     small_batches(spark)
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

@@ -29,8 +29,7 @@ def test_digest_against_brute_force(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
         loss = "".join(b for _, a, b in own if a == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    segments = chat.format_conversations(df.filter("conv_id = 1"))
-    out = sorted((r.example, r.formatted, r.target_start, r.target_end) for r in chat.examples(segments, 10_000).collect())
+    out = sorted((r.example, r.formatted, r.target_start, r.target_end) for r in chat.examples(chat.training_examples(df.filter("conv_id = 1"))).collect())
     assert [chat.unescape(f[s:e]) for _, f, s, e in out] == ["b</s>", "b</s>", ""]
     assert all(f.endswith("<|end|>\n") and e == len(f) - 8 for _, f, s, e in out) and out[2][1].startswith(out[1][1])
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
@@ -53,5 +52,8 @@ def test_query_reads_examples_of_all_assistant_turns(spark, tmp_path, monkeypatc
     want = {r.conv_id: r for r in chat.digest(chat.format_conversations(df)).collect()}
     made = []
     monkeypatch.setattr(chat, "training_examples", lambda t, f=chat.training_examples: made.append(1) or f(t))
-    got = {r.conv_id: r for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect() if r.conv_id != -7}
+    got = {r.conv_id: r for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect()}
+    extra, said = got.pop(-7), "</s>[INST] ok [/INST]"
     assert got == want and made == [1]
+    assert (extra.n_turns, extra.loss_chars, extra.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert extra.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
