@@ -50,3 +50,18 @@ def test_no_labels(spark):
     assert langid.train(df) is None
     assert [(r.lang_pred, r.score) for r in langid.predict(df, None).collect()] == [("und", 0)]
     assert langid.predict(df.limit(0), None).count() == 0
+
+
+def test_rates_of_any_count():
+    assert langid.sampling_rate(1500, 10) == 1.0
+    assert langid.sampling_rate(1500, 10**12) == 1.5e-9  # as a double, so no language vanishes
+
+
+def test_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 12)
+    rows = docs(spark, 240)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in langid.op10_language_id(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    for doc_id, _, lang, _ in rows:
+        assert out[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 3 == 1) and out[doc_id].lang_pred == lang

@@ -59,3 +59,30 @@ def test_empty_table_and_assembled_sequences(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d"), (2, "d")], "doc_id long, text string")
     out = assemble(pack(materialise(tokenise(df, PATH, keep_ids=True), "t"))).collect()
     assert len(out) == 1 and len(out[0].ids) == 8 and sorted(out[0].doc_ids) == [1, 2, 2]
+
+
+def test_hostile_strings_have_the_tokenizers_ids():
+    import random
+
+    import pyarrow as pa
+
+    from helixframe.llm.packing import WordIds
+
+    words = WordIds(PATH)
+    assert words.fits
+    rnd = random.Random(5)
+    texts = ["it's", "ΑΣ. b", "e\u0301. x", "क़.", "İ. x", "''t", "5'll.", "x…. y", "日本語。 a.", "한글. 하", "a\u200b b c.", "#'s 's.", "<|endoftext|> a.", "º.", ""]
+    for letters in ("aZé\u0301Σσ.,'!5²\u0338 \n\t…|st<>％İǅ한ᅡ", "abcé. ,'-%1", "शक़.Å, ΣА а.я"):
+        texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    ids, offsets = words.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+    words.fits = False
+    whole, ends = words.encode(pa.array(texts[:200]))
+    assert (whole == ids[: ends[-1]]).all()
+
+
+def test_other_tokenizers_are_encoded_whole():
+    from helixframe.llm.packing import WordIds
+
+    assert not WordIds(public_tokenizers.path("byte_bpe_50k.json")).fits

@@ -3,6 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from helixframe.llm import pii
 from helixframe.llm.pii import all_spans, find_personal_data, plain_spans, redacted
 
 PATTERNS = {
@@ -82,3 +83,22 @@ def test_partly_disguised_identifiers():
     assert of("call +49 five five five 0199 123 ok") == [("phone", "+49 five five five 0199 123")]
     assert of("１９２ dot 168 dot 0 dot 1") == [("ip", "１９２ dot 168 dot 0 dot 1")]
     assert of("999 dot 168 dot 0 dot 1, one two of the 3 at home. I dot it") == []
+
+
+def test_composed_disguises_and_the_batch_test():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cases = {
+        "bob [аt] mail [dot] org": "email", "10[.]0[.]0[.]1": "ip", "10 dot 0 dot 0 dot 1": "ip", "one two seven dot zero dot zero dot one": "ip",
+        "bob[@]mail[.]com": "email", "bob @ mail . org": "email", "bob at mail.com": "email", "john@example dot com": "email", "１９２.168.0.1": "ip",
+        "one nine two dot one six eight dot one dot one": "ip", "+49 five five five 0199 123": "phone", "bоb (at) mаil (dot) com": "email",
+    }
+    for text, kind in cases.items():
+        for before, after in (("", ""), ("Čau ", " ok"), ("x" * 2000 + " ", "\n" + "y" * 2000)):
+            spans = pii.all_spans(before + text + after)[1]
+            assert (kind, len(before), len(before) + len(text)) in spans, (text, spans)
+        if text.isascii():
+            assert any(pc.match_substring_regex(pa.array([text]), x)[0].as_py() for x in (pii.MAYBE_NUMBER, pii.MAYBE_MAIL, pii.MAYBE_BRACKETED)), text
+    for clean in ("see you @ home . then we go", "one of the two", "he is at home. dot", "a (.) b", "[at] noon"):
+        assert pii.all_spans(clean) == ([], [])
