@@ -234,10 +234,10 @@ def interaction_regression(spark, sf):
 
 _U = f"""lf AS ({" UNION ALL ".join(f"SELECT quality, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM ft WHERE {f} IS NOT NULL" for f in FEATURES)}),
 rg AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM lf),
-gg AS (SELECT feature, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0, avg(x) FILTER (quality = 1) AS m1, avg(x) FILTER (quality = 0) AS m0, sum(rk) FILTER (quality = 1) AS rs FROM rg GROUP BY 1),
+gg AS (SELECT feature, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0, avg(x) FILTER (quality = 1) AS m1, avg(x) FILTER (quality = 0) AS m0, sum(rk) FILTER (quality = 1) AS rs FROM rg GROUP BY 1 HAVING count(*) FILTER (quality = 1) >= 5 AND count(*) FILTER (quality = 0) >= 5),
 ti AS (SELECT feature, CAST(sum(c * c * c - c) AS DOUBLE) AS t FROM (SELECT feature, count(*) AS c FROM lf GROUP BY feature, x) GROUP BY 1),
 zu AS (SELECT feature, n1, n0, m1, m0, greatest(abs(rs - n1 * (n1 + 1) / 2.0 - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(greatest(n1 * n0 / 12.0 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1.0))), 0.0)), 0) AS z FROM gg JOIN ti USING (feature)),
-mw AS (SELECT *, coalesce({normal_p_sql('z')}, 1.0) AS p FROM zu)"""
+mw AS (SELECT *, {normal_p_sql('coalesce(z, 0.0)')} AS p FROM zu)"""
 
 
 @query(SEQ_FEAT + f", {_U}, {bh_sql('p', 'mw')} SELECT feature, n1, n0, {_r('m1 / nullif(m0, 0) AS fold_change', 'p AS mann_whitney_p', 'bh AS p_adjusted')}, bh < 0.05 AS significant FROM hb")

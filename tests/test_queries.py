@@ -2,7 +2,7 @@ import pytest
 
 from oracle import connect, differs
 
-from helixframe.plans import catalogue
+from helixframe.plans import analyses, catalogue  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
