@@ -1,8 +1,9 @@
 """Offset-preserving search for personal data, plain and disguised.
 
-Plain identifiers are found in the text itself. For disguised ones a transducer rewrites the text (look-alike
-letters, digits of other scripts, invisible characters, spelled digits, "at"/"dot") and keeps, for every rewritten
-character, the source characters it came from; identifiers found in the rewritten text are mapped back.
+Plain identifiers are found in the text itself. For disguised ones transducers rewrite the text, one on the other's output:
+first look-alike letters, digits of other scripts and invisible characters, then spelled digits and "at"/"dot". Each keeps,
+for every rewritten character, the characters it came from; identifiers found in the rewritten text are mapped back
+through both. Which texts can hold a disguise at all is tested for a batch at once.
 
 All offsets are code points, ends exclusive. Each detector needs time in proportion to the text.
 """
@@ -15,7 +16,9 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,20 +52,31 @@ def _one_to_one() -> dict[str, str]:
 
 
 CHARS = _one_to_one()
-_FOREIGN = re.compile("[" + "".join(map(re.escape, CHARS)) + "]")
+_FOREIGN = frozenset(CHARS)
 _SPELLED_RUN = re.compile(rf"(?<![^\W_]){_WORD}(?:[ ,.-]{{1,2}}{_WORD}){{{LEAST_SPELLED - 1},}}(?![^\W_])", re.I)
 _WORDS = re.compile(_WORD, re.I)
-_BRACKETED = re.compile(r"[ ]{0,2}(?:\[[ ]?(at|dot)[ ]?\]|\([ ]?(at|dot)[ ]?\)|\{[ ]?(at|dot)[ ]?\}|<[ ]?(at|dot)[ ]?>)[ ]{0,2}", re.I)
+_SIGN = r"[ ]?(at|dot|@|\.)[ ]?"
+_BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\[{_SIGN}\]|\({_SIGN}\)|\{{{_SIGN}\}}|<{_SIGN}>)[ ]{{0,2}}", re.I)
 _BARE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+", re.I)
 _BARE = re.compile(r" (at|dot) ", re.I)
 
 _AT = r"(?: at |@|[ ]{0,2}[\[({<][ ]?at[ ]?[\])}>][ ]{0,2})"
 _DOT = r"(?: dot |\.|[ ]{0,2}[\[({<][ ]?dot[ ]?[\])}>][ ]{0,2})"
+# Fixed value: endings that are taken for a mail's where blanks stand around its signs.
+ENDINGS = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|at|ch|it"
+_SPACED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}} @ [A-Za-z0-9-]{{1,63}}(?: \. [A-Za-z0-9-]{{1,63}})* \. (?:{ENDINGS})(?![A-Za-z0-9-])", re.I)
 _MIXED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
 _TOKEN = rf"(?:{_WORD}(?![^\W_])|[+(]{{0,2}}[0-9][0-9().]*+|dot(?![^\W_]))"
 _NUMBER_RUN = re.compile(rf"(?<![\w.()+]){_TOKEN}(?:[ ,.-]{{1,2}}{_TOKEN})++", re.I)
 _TOKENS = re.compile(_TOKEN, re.I)
 
+# Tests, in Arrow's syntax, that every text with a disguise of the second kind passes.
+_SEP = r"[ ,.-]{1,2}"
+_NAMED = f"(?:{_WORD[3:-1]}|dot)"
+MAYBE_NUMBER = rf"(?i)(?:^|[^a-z]){_NAMED}{_SEP}(?:{_NAMED}(?:$|[^a-z])|[0-9+(])|[0-9().]{_SEP}{_NAMED}(?:$|[^a-z])"
+MAYBE_MAIL = r"(?i)[a-z0-9._%+-](?: at | ?@ ?| {0,2}[\[({<] ?(?:at|@) ?[\])}>] {0,2})[a-z0-9-]+(?: dot | ?\. ?| {0,2}[\[({<] ?(?:dot|\.) ?[\])}>] {0,2})[a-z0-9]"
+MAYBE_BRACKETED = r"(?i)[\[({<] ?(?:at|dot|@|\.) ?[\])}>]"
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -110,17 +124,14 @@ def plain_spans(text: str) -> list[Span]:
 
 
 def rewrites(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, replacement) of every disguise, in order and without overlaps."""
+    """(start, end, replacement) of every spelled sign or digit, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        found += [(m.start(), m.end(), CHARS[m[0]]) for m in _FOREIGN.finditer(text)]
     low = text.lower()
-    if "dot" in low or "at" in low:
-        for m in _BRACKETED.finditer(text):
-            found.append((*m.span(), "@" if "at" in m[0].lower() else "."))
-        if " dot " in low and " at " in low:
-            for m in _BARE_MAIL.finditer(text):
-                found += [(m.start() + b.start(), m.start() + b.end(), "@" if b[1].lower() == "at" else ".") for b in _BARE.finditer(m[0])]
+    for m in _BRACKETED.finditer(text):
+        found.append((*m.span(), "@" if "@" in m[0] or "at" in m[0].lower() else "."))
+    if " dot " in low and " at " in low:
+        for m in _BARE_MAIL.finditer(text):
+            found += [(m.start() + b.start(), m.start() + b.end(), "@" if b[1].lower() == "at" else ".") for b in _BARE.finditer(m[0])]
     for m in _SPELLED_RUN.finditer(text):
         at = m.start()
         for w in _WORDS.finditer(text, m.start(), m.end()):
@@ -135,11 +146,29 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def one_to_one(text: str) -> tuple[str, list[int]] | None:
+    """The text with look-alikes, other scripts' digits and invisible characters replaced, and where each character was;
+    None if there are none of those."""
+    there = set(text) & _FOREIGN
+    if not there:
+        return None
+    out, place = [], []
+    for i, c in enumerate(text):
+        if c in there:
+            c = CHARS[c]
+        if c:
+            out.append(c)
+            place.append(i)
+    return "".join(out), place
+
+
 def _mixed_spans(text: str) -> Iterator[Span]:
     """Mail with at or dot as words, and numbers with any of their digits or dots as words: complete identifiers only."""
     low = text.lower()
     if " at " in low or " dot " in low:
         yield from (("email", *m.span()) for m in _MIXED_MAIL.finditer(text))
+    if " @ " in text and " . " in text:
+        yield from (("email", *m.span()) for m in _SPACED_MAIL.finditer(text))
     for m in _NUMBER_RUN.finditer(text):
         chars: list[tuple[str, int, int]] = []
         words, before, at = 0, None, m.start()
@@ -155,7 +184,21 @@ def _mixed_spans(text: str) -> Iterator[Span]:
             yield from ((k, chars[s][1], chars[e - 1][2]) for k, s, e in plain_spans("".join(c[0] for c in chars)))
 
 
-def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
+def disguised_spans(text: str, plain: list[Span], maybe: bool = True) -> list[Span]:
+    """Disguised identifiers that overlap no plain one of their kind. ``maybe`` false says that the text as it stands has
+    no spelled signs or digits."""
+    mapped = None if text.isascii() else one_to_one(text)
+    if mapped is None:
+        return _spelled_spans(text, plain, ()) if maybe else []
+    inner, place = mapped
+    back = lambda spans: [(k, place[a], place[b - 1] + 1) for k, a, b in spans]
+    found = _without(back(plain_spans(inner)), plain)
+    return found + _without(back(_spelled_spans(inner, (), ())), plain + found)
+
+
+def _spelled_spans(text: str, plain: Iterable[Span], known: Iterable[Span]) -> list[Span]:
+    """What spelled signs and digits hide in ``text``."""
+    plain = [*plain, *known]
     changes = rewrites(text)
     if not changes:
         return _without(_mixed_spans(text), plain)
@@ -197,10 +240,10 @@ def _without(spans: Iterable[Span], known: list[Span]) -> list[Span]:
     return [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in known)]
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, maybe: bool = True) -> tuple[list[Span], list[Span]]:
     """(plain spans, plain and disguised spans), each by start and kind."""
     plain = plain_spans(text)
-    more = disguised_spans(text, plain)
+    more = disguised_spans(text, plain, maybe)
     return plain, sorted(plain + more, key=lambda s: (s[1], ORDER[s[0]])) if more else plain
 
 
@@ -220,7 +263,8 @@ SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """One row per input row: the id, its spans array<struct<kind,start,end,plain>>, and with ``redact`` the cleaned text.
 
-    Null text counts as empty (no spans, cleaned text ''). Ids may be null or repeated; other columns are ignored.
+    Null text counts as empty (no spans, cleaned text ''). Ids may be null or repeated and repeated rows stay; other
+    columns are ignored, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"{id_col} {kind}, spans array<struct<kind:string,start:long,end:long,plain:boolean>>" + ", redacted string" * redact
@@ -228,12 +272,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, clean = [], []
-            for text in batch.column(1).to_pylist():
-                plain, every = all_spans(text or "")
+            texts = pc.fill_null(batch.column(1), "")
+            maybe = [np.asarray(pc.match_substring_regex(texts, x)) for x in (MAYBE_NUMBER, MAYBE_MAIL, MAYBE_BRACKETED)]
+            for text, able in zip(texts.to_pylist(), np.logical_or.reduce(maybe), strict=True):
+                plain, every = all_spans(text, bool(able))
                 first = set(plain)
                 spans.append([{"kind": k, "start": s, "end": e, "plain": (k, s, e) in first} for k, s, e in every])
                 if redact:
-                    clean.append(redacted(text or "", every))
+                    clean.append(redacted(text, every))
             cols = [batch.column(0), pa.array(spans, SPAN_TYPE)] + ([pa.array(clean, pa.string())] if redact else [])
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "spans"] + ["redacted"] * redact)
 
