@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.columns import avg_rank, benjamini_hochberg, corr_p, safe_corr
+from ..functions.concordance import concordance
 
 METHODS = ("pearson", "spearman", "kendall", "regression")
 #: Samples up to which Kendall's p is exact where there are no ties.
 EXACT_KENDALL = 33
+#: Samples up to which resamples take tau-b from one matrix of signs, which is then small and quicker; the value is the same.
+MATRIX_KENDALL = 256
 
 
 def pearson(x: DataFrame) -> DataFrame:
@@ -40,33 +43,31 @@ def regression(x: DataFrame) -> DataFrame:
     return out.select("gene_id", "slope", (F.col("r") * F.col("r")).alias("r2"), "r", "n")
 
 
+def _vectors(x: DataFrame) -> DataFrame:
+    """gene_id, values and ys in order of the samples."""
+    return x.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+
+
 def kendall(x: DataFrame) -> DataFrame:
-    """tau-b and its p, by an n x n sign matrix per gene: exact without ties up to EXACT_KENDALL samples, otherwise by the
-    normal approximation with tie-corrected variance."""
-    vectors = x.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+    """tau-b and its p, by inversions of y in order of the gene (Knight): n log n steps and memory for n values a gene.
+
+    p is exact without ties up to EXACT_KENDALL samples, otherwise by the normal approximation with tie-corrected
+    variance. Pairs with a null or NaN on either side don't count.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for gene, v, y in zip(f["gene_id"], f["values"], f["ys"], strict=True):
-                v, y = np.asarray(v, float), np.asarray(y, float)
-                n = len(v)
-                s = (np.sign(v[:, None] - v) * np.sign(y[:, None] - y)).sum() / 2
-                tx, ty = (np.unique(a, return_counts=True)[1].astype(float) for a in (v, y))
-                pairs = n * (n - 1) / 2
-                nx, ny = pairs - (tx * (tx - 1)).sum() / 2, pairs - (ty * (ty - 1)).sum() / 2
-                tau = s / np.sqrt(nx * ny) if nx > 0 and ny > 0 else 0.0
-                v0 = n * (n - 1) * (2 * n + 5)
-                vt, vu = (sum(t * (t - 1) * (2 * t + 5)) for t in (tx, ty))
-                v1 = (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * n * (n - 1)) if n > 1 else 0.0
-                v2 = (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
-                var = (v0 - vt - vu) / 18 + v1 + v2
-                z = float(s / np.sqrt(var)) if var > 0 else 0.0
-                exact = n <= EXACT_KENDALL and len(tx) == n and len(ty) == n
-                rows.append((gene, float(tau), n, z, special.kendall_exact(s, n) if exact else float(special.normal_two_sided(z))))
-            yield pd.DataFrame(rows, columns=["gene_id", "r", "n", "z", "p_value"])
-
-    return vectors.mapInPandas(run, "gene_id string, r double, n long, z double, p_value double")
+            size = [len(v) for v in f["values"]]
+            own = np.repeat(np.arange(len(f)), size)
+            v, y = (np.concatenate([np.asarray(a, float) for a in f[c]]) if len(f) else np.zeros(0) for c in ("values", "ys"))
+            whole = ~(np.isnan(v) | np.isnan(y))
+            c = concordance(v[whole], y[whole], own[whole], len(f))
+            z, exact = c.z(), (c.n <= EXACT_KENDALL) & c.untied()
+            p = np.asarray(special.normal_two_sided(z))
+            p[exact] = [special.kendall_exact(float(s), int(n)) for s, n in zip(c.s[exact], c.n[exact])]
+            yield pd.DataFrame({"gene_id": f["gene_id"], "r": c.tau_b(), "n": c.n, "z": z, "p_value": p})
+
+    return _vectors(x).mapInPandas(run, "gene_id string, r double, n long, z double, p_value double")
 
 
 def correlations(x: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
@@ -114,7 +115,7 @@ def trees(x: DataFrame, count: int, top: int = 1000, depth: int = 3, seed: int =
     """
     best = x.groupBy("gene_id").agg(F.var_pop("value").alias("s")).filter("s > 0").orderBy(F.desc("s"), "gene_id").limit(top).select("gene_id")
     own = x.join(F.broadcast(best), "gene_id")
-    vectors = own.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+    vectors = _vectors(own)
 
     def fit(v, y, rng):
         out = []
@@ -141,9 +142,17 @@ def trees(x: DataFrame, count: int, top: int = 1000, depth: int = 3, seed: int =
     return vectors.mapInPandas(run, "gene_id string, r double, p_value double")
 
 
+def _drawn_tau(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """tau-b of one gene in each of some resamples, every draw written out."""
+    at = np.concatenate([np.repeat(np.arange(len(y)), k) for k in w.astype(int)])
+    return concordance(v[at], y[at], np.repeat(np.arange(len(w)), w.sum(1).astype(int)), len(w)).tau_b()
+
+
 def _resampled(method: str, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The coefficient of one gene in every resample, from how often each sample is drawn (``w``, resamples x samples)."""
     n = len(y)
+    if method == "kendall" and n > MATRIX_KENDALL:
+        return np.concatenate([_drawn_tau(v, y, w[i : i + 64]) for i in range(0, len(w), 64)])
     if method == "kendall":
         sv, sy = np.sign(v[:, None] - v), np.sign(y[:, None] - y)
         pairs = lambda m: ((w @ m) * w).sum(1)
@@ -167,7 +176,7 @@ def bootstrap(x: DataFrame, iterations: int = 1000, top: int = 20, level: float
     All tasks draw the same resamples; of each resample and method a task gives only its own top genes, and the global
     top is among those, so little is ranked again.
     """
-    vectors = x.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select("gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
+    vectors = _vectors(x)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
