@@ -1,26 +1,21 @@
 """Feature analytics: significance, interactions, group comparison, profiles.
 
 Features are few; rows may be very many. So a feature is never one task's share: ranks are made range by range, moments
-combine on the map side, and mutual information is taken over blocks of MI_BLOCK rows dealt by a hash.
+combine on the map side, and mutual information is taken over cells of the plane with what their borders need.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted, cohens_d, corr_p, f_p, mann_whitney_p, safe_corr, spread_position, spread_rank, t_p, welch_p
-from ..functions.information import ksg
+from ..functions.information import mutual_information
 from ..functions.stages import cut
 
-#: Rows whose mutual information is estimated together (the estimator looks at all pairs of them). A table of at most
-#: so many rows gets the plain estimate, a larger one the mean over its blocks, weighted by their rows.
-MI_BLOCK = 2000
-
 # Mean and standard deviation of the reference profiles' features.
 REFERENCE_PROFILES = {
     "high_expression": {"UTR5_length": (120.0, 30.0), "UTR3_length": (800.0, 150.0), "GC3_content": (65.0, 5.0), "CAI": (0.75, 0.05)},
@@ -34,20 +29,6 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
     return df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(keep, features, "feature", "x").filter("x is not null")
 
 
-def mutual_information(rows: DataFrame, group: str, x: str, y: str, key: str) -> DataFrame:
-    """``group`` and mi, the KSG estimate in nats between ``x`` and ``y``, for each value of ``group``."""
-    size = rows.groupBy(group).agg(F.ceil(F.count("*") / MI_BLOCK).alias("_blocks"))
-    own = rows.join(F.broadcast(size), group).withColumn("_block", F.expr(f"pmod(xxhash64(`{key}`, 'mi'), _blocks)"))
-
-    def estimate(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [part["g"].iloc[0]], "n": [len(part)], "mi": [ksg(part["x"], part["y"]) if len(part) > 4 else 0.0]})
-
-    dealt = own.select(F.col(group).alias("g"), "_block", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(key).alias("key"))
-    # rows come in order of the key, as the estimator's tie-breaking noise follows their order
-    parts = dealt.groupBy("g", "_block").applyInPandas(lambda f: estimate(f.sort_values("key")), f"g {dict(rows.dtypes)[group]}, n long, mi double")
-    return parts.groupBy("g").agg((F.sum(F.col("n") * F.col("mi")) / F.sum("n")).alias("mi")).withColumnRenamed("g", group)
-
-
 def significance(df: DataFrame, features: list[str], target: str, p_values: bool = True, key: str | None = None, method: str = "fdr_bh", least: int = 10) -> DataFrame:
     """Pearson and Spearman of each feature with the target, over features with ``least`` rows or more.
 
