@@ -37,10 +37,17 @@ def coordinates(v: np.ndarray, noise: np.ndarray) -> np.ndarray:
 def ksg(x, y, k: int = 3, seed: int = 42) -> float:
     """Estimate in nats, at least 0, of two arrays in memory, in n log n steps; seeded noise breaks ties."""
     n = len(x)
-    if n <= k:
+    if not n:
         return 0.0
     noise = np.random.default_rng(seed).integers(-NOISE, NOISE + 1, (2, n))
-    a, b = coordinates(np.asarray(x, float), noise[0]), coordinates(np.asarray(y, float), noise[1])
+    return _estimate(coordinates(np.asarray(x, float), noise[0]), coordinates(np.asarray(y, float), noise[1]), k)
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """The estimate of all points of a group in one place; 0 for k points or fewer."""
+    n = len(a)
+    if n <= k:
+        return 0.0
     eps = np.maximum(nearest_others(a, b, k)[0][:, k - 1], 1)  # points at one place count each other
     terms = np.zeros(n)
     for c in (a, b):
@@ -123,6 +130,11 @@ def _partition(points: DataFrame) -> dict:
     return {g: _Cells(a, [c.get(s, []) for s in range(len(a) + 1)]) for g, (a, c) in cells.items()}
 
 
+def _lists(arrays: list[np.ndarray]) -> pd.Series:
+    """A column of arrays, of lists even where there are none."""
+    return pd.Series(arrays, dtype=object)
+
+
 def _kth(points: DataFrame, cells: dict, kind: str, key: str, k: int) -> DataFrame:
     """g, id, a, b, eps: the distance of every point to its k-th nearest other point of the group.
 
@@ -147,18 +159,18 @@ def _kth(points: DataFrame, cells: dict, kind: str, key: str, k: int) -> DataFra
         point, cell = point[other], cell[other]
         order = np.argsort(point, kind="stable")
         asks = np.split(cell[order], np.searchsorted(point[order], np.arange(1, len(f))))
-        return f[["g", "id", "a", "b"]].assign(found=list(d), asks=asks)
+        return f[["g", "id", "a", "b"]].reset_index(drop=True).assign(found=_lists(list(d)), asks=_lists(asks))
 
     local = cut(dealt.groupBy("g", "cell").applyInPandas(own, f"{shape}, found array<long>, asks array<long>"))
     asks = local.filter(F.size("asks") > 0).select("g", "id", "a", "b", F.element_at("found", k).alias("far"), F.explode("asks").alias("cell"))
 
     def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"g": [], "id": [], "found": []})
+            return q[["g", "id"]].head(0).assign(found=_lists([]))
         tree = KdTree(p["a"].to_numpy(), p["b"].to_numpy())
         d = tree.nearest(q["a"].to_numpy(), q["b"].to_numpy(), k, q["far"].to_numpy())
         some = d[:, 0] < q["far"].to_numpy()
-        return q.loc[some, ["g", "id"]].assign(found=list(d[some]))
+        return q.loc[some, ["g", "id"]].reset_index(drop=True).assign(found=_lists(list(d[some])))
 
     more = asks.groupBy("g", "cell").cogroup(dealt.groupBy("g", "cell")).applyInPandas(answer, f"g {kind}, id {key}, found array<long>")
     more = more.groupBy("g", "id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("more"))
@@ -212,12 +224,15 @@ def mutual_information(rows: DataFrame, group: str, x: str, y: str, key: str, k:
     """
     kind, ident = dict(rows.dtypes)[group], dict(rows.dtypes)[key]
     points = cut(_integers(rows, group, x, y, key))
-    sizes = points.groupBy("g").agg(F.count("*").alias("n"))
-    enough = points.join(F.broadcast(sizes.filter(F.col("n") > k)), "g", "left_semi")
-    cells = _partition(enough)
-    if not cells:
-        return sizes.select(F.col("g").alias(group), F.lit(0.0).alias("mi"))
-    eps = cut(_kth(enough, cells, kind, ident, k))
-    terms = _counts(eps, cells, kind).groupBy("g").agg(F.sum(_digamma(F.col("m").cast("double")) * F.col("times")).alias("t"))
+    sizes = cut(points.groupBy("g").agg(F.count("*").alias("n")))
+    # a group that fits one cell is estimated there; the value is the same as by steps
+    whole = lambda f: pd.DataFrame({"g": f["g"].head(1), "mi": [_estimate(f["a"].to_numpy(), f["b"].to_numpy(), k)]})
+    small = points.join(F.broadcast(sizes.filter(F.col("n") <= CELL)), "g", "left_semi").groupBy("g").applyInPandas(whole, f"g {kind}, mi double")
+    wide = sizes.filter(F.col("n") > CELL)
+    if not wide.limit(1).count():
+        return small.withColumnRenamed("g", group)
+    many = points.join(F.broadcast(wide), "g", "left_semi")
+    cells = _partition(many)
+    terms = _counts(cut(_kth(many, cells, kind, ident, k)), cells, kind).groupBy("g").agg(F.sum(_digamma(F.col("m").cast("double")) * F.col("times")).alias("t"))
     mi = F.greatest(F.lit(0.0), _digamma(F.lit(float(k))) + _digamma(F.col("n").cast("double")) - F.col("t") / F.col("n"))
-    return sizes.join(terms, "g", "left").select(F.col("g").alias(group), F.coalesce(mi, F.lit(0.0)).alias("mi"))
+    return small.unionByName(wide.join(terms, "g").select("g", mi.alias("mi"))).withColumnRenamed("g", group)

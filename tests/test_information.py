@@ -68,7 +68,7 @@ def test_equals_all_pairs_on_hard_shapes(spark, monkeypatch):
     }
     df = table(spark, groups).union(spark.createDataFrame([(10**6, "ties", None, 1.0), (10**6 + 1, "ties", 1.0, float("nan"))], "id long, g string, x double, y double"))
     got = check(spark, df)
-    assert len(got) == len(groups) and got["line"] > 3 and got["flat"] < 0.2
+    assert set(got) == set(groups) and got["line"] > 3 and got["flat"] < 0.2
     assert information.mutual_information(df.limit(0), "g", "x", "y", "id").count() == 0
 
 
