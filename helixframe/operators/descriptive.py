@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank
+from ..functions.quantiles import quantiles
+from ..functions.stages import cut
 
 
 def basic_stats(expr: DataFrame) -> DataFrame:
@@ -26,8 +28,9 @@ def consistent_genes(expr: DataFrame, quantile: float = 0.3, threshold: float |
     stats = gene_stats(expr)
     if threshold is not None:
         stats = stats.filter(F.col("least") > threshold)
-    cut = stats.agg(F.percentile("cv", quantile).alias("cut"))
-    return stats.join(F.broadcast(cut), F.col("cv") <= F.col("cut")).select("gene_id", "mean", "std", "cv")
+    stats = cut(stats)
+    limit = quantiles(stats, "cv", [quantile])
+    return stats.join(F.broadcast(limit), F.col("cv") <= F.col("q")[0]).select("gene_id", "mean", "std", "cv")
 
 
 def constant_genes(expr: DataFrame, most: float = 0.2) -> DataFrame:
@@ -61,8 +64,8 @@ def replace_zeros(expr: DataFrame) -> DataFrame:
 
 def high_low(target: DataFrame) -> DataFrame:
     """sample_id, y, tg_group: "High TG" from the median on."""
-    cut = target.agg(F.median("y").alias("_cut"))
-    return target.join(F.broadcast(cut)).select("sample_id", "y", F.when(F.col("y") >= F.col("_cut"), "High TG").otherwise("Low TG").alias("tg_group"))
+    middle = target.agg(F.median("y").alias("_cut"))
+    return target.join(F.broadcast(middle)).select("sample_id", "y", F.when(F.col("y") >= F.col("_cut"), "High TG").otherwise("Low TG").alias("tg_group"))
 
 
 def expressed_per_sample(expr: DataFrame) -> DataFrame:

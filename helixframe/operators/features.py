@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import adjusted, cohens_d, corr_p, f_p, mann_whitney_p, safe_corr, spread_position, spread_rank, t_p, welch_p
 from ..functions.information import mutual_information
+from ..functions.quantiles import quantiles
 from ..functions.stages import cut
 
 # Mean and standard deviation of the reference profiles' features.
@@ -120,8 +121,10 @@ def group_comparison(df: DataFrame, features: list[str], group: str, least: int
     agg = []
     for tag, cond in (("1", is1), ("0", is0)):
         v = F.when(cond, F.col("x"))
-        agg += [F.count(v).alias(f"n{tag}"), F.avg(v).alias(f"mean{tag}"), F.median(v).alias(f"median{tag}"), (F.var_pop(v) if population else F.var_samp(v)).alias(f"v{tag}")]
+        agg += [F.count(v).alias(f"n{tag}"), F.avg(v).alias(f"mean{tag}"), (F.var_pop(v) if population else F.var_samp(v)).alias(f"v{tag}")]
     out = own.groupBy("feature").agg(*agg, F.sum(F.when(is1, F.col("rk"))).alias("rs")).filter((F.col("n1") >= least) & (F.col("n0") >= least))
+    medians = quantiles(long, "x", [0.5], "feature", group).groupBy("feature").agg(*[F.max(F.when(F.col(group) == int(tag), F.col("q")[0])).alias(f"median{tag}") for tag in "10"])
+    out = out.join(F.broadcast(medians), "feature")
     d = cohens_d(*[F.col(c) for c in ("n1", "mean1", "v1", "n0", "mean0", "v0")])
     t = (F.col("mean1") - F.col("mean0")) / F.nullif(F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0")), F.lit(0.0))
     u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0
@@ -195,11 +198,16 @@ def profiles(df: DataFrame, features: list[str], cv: str, mean: str, key: str =
     subsets = (("stability", "k1"), ("expression", "k2"), ("balanced", "k3"))
     flags = cut(own).select(key, *[(F.col(k) <= F.col("_top")).alias(f"in_{n}") for n, k in subsets], *features)
     out = long_features(flags, features, [f"in_{n}" for n, _ in subsets])
-    aggs = [F.avg("x").alias("population_mean"), F.stddev_samp("x").alias("population_std"), F.percentile("x", F.array(*map(F.lit, QUANTILES))).alias("q")]
+    out = cut(out)
+    aggs = [F.avg("x").alias("population_mean"), F.stddev_samp("x").alias("population_std")]
     for n, _ in subsets:
         v = F.when(F.col(f"in_{n}"), F.col("x"))
-        aggs += [F.avg(v).alias(f"{n}_profile_mean"), F.percentile(v, F.array(F.lit(0.1), F.lit(0.9))).alias(f"_{n}")]
-    wide = out.groupBy("feature").agg(*aggs)  # exact percentiles, so a feature's distinct values meet in one buffer
+        aggs.append(F.avg(v).alias(f"{n}_profile_mean"))
+    wide = out.groupBy("feature").agg(*aggs).join(quantiles(out, "x", QUANTILES, "feature"), "feature")
+    each = F.explode(F.array(*[F.when(F.col(f"in_{n}"), F.lit(n)) for n, _ in subsets])).alias("subset")
+    ends = quantiles(out.select("feature", "x", each).filter("subset is not null"), "x", [0.1, 0.9], "feature", "subset", out="r")
+    ends = ends.groupBy("feature").agg(*[F.max(F.when(F.col("subset") == n, F.col("r"))).alias(f"_{n}") for n, _ in subsets])
+    wide = wide.join(ends, "feature", "left")
     cols = [F.col("q")[i].alias(f"population_q{int(q * 100)}") for i, q in enumerate(QUANTILES)]
     for n, _ in subsets:
         lo, hi, m = F.col(f"_{n}")[0], F.col(f"_{n}")[1], F.abs(f"{n}_profile_mean") * 0.1

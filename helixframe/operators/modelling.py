@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fold, held_out
+from ..functions.quantiles import quantiles
+from ..functions.stages import cut
 from .features import f_regression
 
 FOLDS = 5
@@ -29,7 +31,10 @@ def clean_features(df: DataFrame, features: list[str]) -> DataFrame:
     """Features as doubles; infinite and missing values become the feature's median."""
     number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c)
     own = df.select(*[c for c in df.columns if c not in features], *[number(c) for c in features])
-    medians = own.agg(*[F.median(c).alias(f"_{c}") for c in features])
+    own = cut(own)
+    long = own.unpivot([], features, "_f", "_x")
+    # a feature without any value stays null
+    medians = quantiles(long, "_x", [0.5], "_f").agg(*[F.max(F.when(F.col("_f") == c, F.col("q")[0])).alias(f"_{c}") for c in features])
     return own.join(F.broadcast(medians)).select(*[c for c in df.columns if c not in features], *[F.coalesce(c, f"_{c}").alias(c) for c in features])
 
 

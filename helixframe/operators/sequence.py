@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.columns import benjamini_hochberg, fisher_p
+from ..functions.quantiles import quantiles
+from ..functions.stages import cut
 
 
 def utr_features(seqs: DataFrame, patterns: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -83,9 +85,10 @@ def kmer_enrichment(seqs: DataFrame, column: str, group: str, k: int = 6, top: i
 
 def stability_category(df: DataFrame, value: str) -> DataFrame:
     """High, Medium or Low by thirds of ``value``; low values are High."""
-    cut = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    df = cut(df)
+    thirds = quantiles(df, value, [1 / 3, 2 / 3], out="_q")
     label = F.when(F.col(value) <= F.col("_q")[0], "High").when(F.col(value) <= F.col("_q")[1], "Medium").otherwise("Low")
-    return df.join(F.broadcast(cut)).withColumn("stability_category", label).drop("_q")
+    return df.join(F.broadcast(thirds)).withColumn("stability_category", label).drop("_q")
 
 
 def motif_presence(seqs: DataFrame, column: str, motifs: dict[str, str], group: str, p_values: bool = True) -> DataFrame:
