@@ -67,18 +67,20 @@ def spread_position(df: DataFrame, value: str, key: str, out: str, descending: b
 def benjamini_hochberg(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     """Adjusted p: the least p * m / rank at or above each rank, at most 1; null p stays null and is not counted.
 
-    Groups in ``by`` are few. Rows are ranked and the least is carried down range by range, so no task has a whole group.
+    Groups in ``by`` are few. Equal p are one row with a count, so a usual value (p = 1) is nobody's load; those rows are
+    ranked and the least is carried down range by range, so no task has a whole group.
     """
-    ranged = _ranged(cut(df.withColumn("_n", F.when(F.col(p).isNotNull(), 1).otherwise(0))), p, by)
-    asc = W.partitionBy(*by, "_range").orderBy(F.asc_nulls_last(p))
-    ranked = ranged.withColumn("_k", F.row_number().over(asc)).join(F.broadcast(_offsets(ranged, by)), [*by, "_range"])
+    df = cut(df)
+    ranged = _ranged(cut(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))), p, by)
+    up = W.partitionBy(*by, "_range").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_k", F.sum("_n").over(up)).join(F.broadcast(_offsets(ranged, by)), [*by, "_range"])
     scaled = ranked.withColumn("_q", F.col(p) * F.col("_total") / (F.col("_before") + F.col("_k")))
     least = scaled.groupBy(*by, "_range").agg(F.min("_q").alias("_least"))
     later = least.withColumn("_later", F.min("_least").over(W.partitionBy(*by).orderBy("_range").rowsBetween(1, W.unboundedFollowing))).drop("_least")
-    down = W.partitionBy(*by, "_range").orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*by, "_range").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
     best = scaled.withColumn("_own", F.min("_q").over(down)).join(F.broadcast(later), [*by, "_range"])
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_own", "_later"))
-    return best.withColumn(out, adjusted).drop("_n", "_range", "_k", "_c", "_before", "_total", "_q", "_own", "_later")
+    values = best.select(*by, p, F.least(F.lit(1.0), "_own", "_later").alias(out))
+    return df.join(values, [*by, p], "left").select(*df.columns, out)
 
 
 def bonferroni(df: DataFrame, p: str, out: str) -> DataFrame:

@@ -43,6 +43,12 @@ def test_ranks_and_adjustment_range_by_range(spark):
     srt, want = np.argsort(p), np.empty(300)
     want[srt] = np.minimum(1, np.minimum.accumulate((p[srt] * 300 / np.arange(1, 301))[::-1])[::-1])
     assert np.allclose([adjusted[i] for i in range(300)], want)
+    # a usual p is one row on its way, and null stays null
+    usual = spark.createDataFrame([(i, 1.0 if i % 3 else i / 9000) for i in range(300)] + [(300, None)], "id long, p double")
+    got = {r.id: r.q for r in benjamini_hochberg(usual, "p", "q").collect()}
+    assert all(got[i] == 1.0 for i in range(300) if i % 3) and got[300] is None
+    small = [min(1.0, min(300 * j / 9000 / (j // 3 + 1) for j in range(i, 300, 3))) for i in range(0, 300, 3)]
+    assert np.allclose([got[i] for i in range(0, 300, 3)], small)
 
 
 def test_combat_seq_takes_platform_rates_away(spark):
