@@ -1,7 +1,7 @@
-"""Sample-space validation: PCA by Gram matrix, silhouette, neighbour mixing, and what a correction does to them.
+"""Sample-space validation: PCA, silhouette, neighbour mixing, and what a correction does to them.
 
-Samples are the small side of an expression matrix: n x n numbers (n samples, at most MOST_SAMPLES) come to the driver.
-Genes are not: tasks sum products of theirs. All pairs of points is what silhouette and neighbours are; they meet block by
+Samples are the small side of an expression matrix: some numbers a sample and component come to the driver, never one a
+pair of samples. Genes stay in tasks, which sum products of theirs. All pairs of points is what silhouette and neighbours are; they meet block by
 block, and a block pair gives one row a point, not one a pair.
 """
 
@@ -14,33 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import f_p
+from ..functions.decomposition import leading_columns, summed
+from ..functions.stages import cut
 from ..sources.matrix import to_vectors
 from . import batch
 
-MOST_SAMPLES = 5000
 #: Points of a block.
 BLOCK = 2000
 
 
-def _summed(vectors: DataFrame, products, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over genes of ``products`` (genes x samples -> matrix of ``shape``), made in tasks."""
-
-    def run(frames):
-        total = None
-        for f in frames:
-            if len(f):
-                own = products(f)
-                total = own if total is None else total + own
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    rows = vectors.mapInPandas(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(shape)
-    for r in rows:
-        out[r["i"], r["j"]] = r["v"]
-    return out
-
-
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(a, float) for a in column])
 
@@ -54,24 +36,14 @@ def _scaled(v: np.ndarray, scale: bool) -> np.ndarray:
 
 
 def _eigen(vectors: DataFrame, samples: int, components: int, scale: bool) -> tuple[np.ndarray, np.ndarray, float]:
-    """(eigenvectors, eigenvalues, their whole sum) of the samples' Gram matrix of centred (and scaled) genes."""
-    if samples > MOST_SAMPLES:
-        raise ValueError(f"{samples} samples; sample-space analysis holds n x n numbers for at most {MOST_SAMPLES}")
-
-    def gram(f: pd.DataFrame) -> np.ndarray:
-        v = _scaled(_stack(f["values"]), scale)
-        return v.T @ v
-
-    w, u = np.linalg.eigh(_summed(vectors, gram, (samples, samples)))
-    order = np.argsort(-w)[:components]
-    u = u[:, order]
-    u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])  # the largest entry of each is positive
-    return u, np.maximum(w[order], 0), float(np.maximum(w, 0).sum())
+    """(eigenvectors, eigenvalues, their whole sum) of the samples' products over centred (and scaled) genes; these are
+    never made, see ``leading_columns``. ``vectors`` is read several times."""
+    return leading_columns(vectors, lambda f: _scaled(_stack(f["values"]), scale), samples, components)
 
 
 def sample_pca(vectors: DataFrame, samples: int, components: int = 2, scale: bool = False) -> np.ndarray:
     """Principal components of samples from (gene_id, values)."""
-    u, w, _ = _eigen(vectors, samples, components, scale)
+    u, w, _ = _eigen(cut(vectors), samples, components, scale)
     return u * np.sqrt(w)
 
 
@@ -107,7 +79,7 @@ def remove_unwanted(expr: DataFrame, components: int = 10, alpha: float = 0.05)
     """Values rebuilt from the first ``components`` principal components of the samples without those that differ
     between platforms (ANOVA p under ``alpha``); a gene's mean stays."""
     names = samples_of(expr)
-    vectors = to_vectors(expr)
+    vectors = cut(to_vectors(expr))
     u, w, _ = _eigen(vectors, len(names), min(components, len(names)), False)
     spark = expr.sparkSession
     scores = spark.createDataFrame([(f"pc{k}", s, p, float(u[i, k])) for k in range(u.shape[1]) for i, (s, p) in enumerate(names)], "gene_id string, sample_id string, platform string, value double")
@@ -132,7 +104,7 @@ def stage_pca(stages: dict[str, DataFrame], components: int = 2) -> DataFrame:
     rows = []
     for stage, expr in stages.items():
         names = samples_of(expr)
-        u, w, total = _eigen(to_vectors(expr), len(names), components, False)
+        u, w, total = _eigen(cut(to_vectors(expr)), len(names), components, False)
         rows += [(stage, s, p, *map(float, u[i] * np.sqrt(w)), *[float(x / (total or 1)) for x in w]) for i, (s, p) in enumerate(names)]
     cols = [f"pc{k + 1} double" for k in range(components)] + [f"explained{k + 1} double" for k in range(components)]
     return next(iter(stages.values())).sparkSession.createDataFrame(rows, "stage string, sample_id string, platform string, " + ", ".join(cols))
@@ -144,7 +116,7 @@ def validate_correction(before: DataFrame, after: DataFrame, components: int = 1
     differ (Kolmogorov-Smirnov p under ``alpha``)."""
     names = samples_of(before)
     n = len(names)
-    both = to_vectors(before).withColumnRenamed("values", "old").join(to_vectors(after).withColumnRenamed("values", "new"), "gene_id")
+    both = cut(to_vectors(before).withColumnRenamed("values", "old").join(to_vectors(after).withColumnRenamed("values", "new"), "gene_id"))
     u, w, _ = _eigen(both.select("gene_id", F.col("old").alias("values")), n, min(components, n), True)
     inverse = u / np.sqrt(np.maximum(w, 1e-12))
 
@@ -155,7 +127,7 @@ def validate_correction(before: DataFrame, after: DataFrame, components: int = 1
         m = old.mean(axis=1, keepdims=True)
         return ((new - m) / sd).T @ ((old - m) / sd @ inverse)
 
-    scores = {"before": u * np.sqrt(w), "after": _summed(both, project, (n, u.shape[1]))}
+    scores = {"before": u * np.sqrt(w), "after": summed(both, project, (n, u.shape[1]))}
     out = None
     for stage, expr in (("before", before), ("after", after)):
         points = _points(before, names, scores[stage])
