@@ -1,8 +1,8 @@
 """Sample-space validation: PCA, silhouette, neighbour mixing, and what a correction does to them.
 
 Samples are the small side of an expression matrix: some numbers a sample and component come to the driver, never one a
-pair of samples. Genes stay in tasks, which sum products of theirs. All pairs of points is what silhouette and neighbours are; they meet block by
-block, and a block pair gives one row a point, not one a pair.
+pair of samples. Genes stay in tasks, which sum products of theirs. Silhouettes and neighbours are exact and leave out
+what bounds rule out, see ``metric``.
 """
 
 from __future__ import annotations
@@ -10,17 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import f_p
 from ..functions.decomposition import leading_columns, summed
 from ..functions.stages import cut
 from ..sources.matrix import to_vectors
-from . import batch
-
-#: Points of a block.
-BLOCK = 2000
+from . import batch, metric
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -137,55 +133,11 @@ def validate_correction(before: DataFrame, after: DataFrame, components: int = 1
     return out.select("stage", "silhouette", "same_label_share", "ks_share")
 
 
-def _block_pairs(points: DataFrame, reduce, schema: str) -> DataFrame:
-    """``reduce`` (distances, ids and labels of both sides) over all pairs of blocks of about BLOCK points."""
-    count = points.count()
-    blocks = max(1, -(-count // BLOCK))
-    keyed = points.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("own"))
-    all_ = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.withColumn("a", F.col("own")).withColumn("b", all_)
-    right = keyed.withColumn("b", F.col("own")).withColumn("a", all_)
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        p, q = _stack(x["embedding"]), _stack(y["embedding"])
-        d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0))
-        d[x["vec_id"].to_numpy()[:, None] == y["vec_id"].to_numpy()] = np.nan  # a point is not its own neighbour
-        return reduce(d, x, y)
-
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
-    return pairs.applyInPandas(run, schema)
-
-
 def silhouette(points: DataFrame) -> DataFrame:
     """Mean silhouette over all points of (vec_id, embedding, label); 0 for a point alone in its label."""
-
-    def sums(d, x, y):
-        parts = []
-        for label in np.unique(y["label"]):
-            own = d[:, y["label"].to_numpy() == label]
-            parts.append(pd.DataFrame({"i": x["vec_id"], "label": x["label"], "other": label, "s": np.nansum(own, axis=1), "n": (~np.isnan(own)).sum(1)}))
-        return pd.concat(parts)
-
-    by = _block_pairs(points, sums, "i long, label int, other int, s double, n long").groupBy("i", "label", "other").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
-    per = by.groupBy("i").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("m"))).alias("b"))
-    s = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    return per.agg(F.avg(s).alias("silhouette"))
+    return metric.silhouettes(points).agg((F.sum(F.col("s") * F.col("copies")) / F.nullif(F.sum("copies"), F.lit(0))).alias("silhouette"))
 
 
 def knn_mixing(points: DataFrame, k: int = 15) -> DataFrame:
     """Mean share of the same label among each point's ``k`` nearest others (lower is better mixed); ties by id."""
-
-    def nearest(d, x, y):
-        d = np.round(d, 6)
-        ids, labels = y["vec_id"].to_numpy(), y["label"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]  # nan sorts last
-        near = np.take_along_axis(d, order, 1)
-        i = np.repeat(np.arange(len(x)), order.shape[1])
-        out = pd.DataFrame({"i": x["vec_id"].to_numpy()[i], "label": x["label"].to_numpy()[i], "j": ids[order].ravel(), "other": labels[order].ravel(), "d": near.ravel()})
-        return out.dropna()
-
-    cand = _block_pairs(points, nearest, "i long, label int, j long, other int, d double")
-    near = cand.withColumn("p", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("p") <= k)
-    return near.groupBy("i").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("share")).agg(F.avg("share").alias("same_label_share"))
+    return metric.label_shares(points, k).agg(F.avg("share").alias("same_label_share"))
