@@ -18,7 +18,7 @@ from ..functions.stages import cut
 
 #: Points of a block, and points that ask a block together.
 BLOCK = 2000
-#: Pivots are the square root of the number of vectors, at most so many: they are sent to all tasks.
+#: A pivot for a quarter of a block of vectors, at most so many: they are sent to all tasks.
 MOST_PIVOTS = 1024
 #: Neighbours are compared by distances rounded to so many places, then by id.
 PLACES = 6
@@ -68,7 +68,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     members = thinned.groupBy("embedding").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "label"))), 1, k).alias("m"))
     vectors = cut(members.select(F.col("m")[0]["vec_id"].alias("rep"), "embedding", F.col("m.vec_id").alias("ids"), F.col("m.label").alias("labels")))
     n = vectors.count()
-    count = int(min(MOST_PIVOTS, max(1, round(n**0.5))))
+    count = int(min(MOST_PIVOTS, max(1, n // max(1, BLOCK // 4))))
     chosen = vectors.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(count).collect()
     if not chosen:
         return vectors.sparkSession.createDataFrame([], f"rep long, {_NEAR}")
