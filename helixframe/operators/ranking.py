@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank
 from ..functions.information import ksg
+from ..functions.linkage import leaf_order
+from ..functions.stages import cut
 from .association import spearman
 
 
-#: Candidates of a panel: their vectors and pairwise informations come to the driver.
-MOST_CANDIDATES = 200
-
-
 def top_n(df: DataFrame, group: str, score: str, n: int, key: str = "gene_id") -> DataFrame:
     """The ``n`` best rows of each group, ties by key; Spark limits each group before its shuffle."""
     k = F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), key))
@@ -118,54 +116,88 @@ KINDS = ("minimal_redundancy", "max_correlation", "max_score")
 
 
 def pair_information(vectors: DataFrame, genes: DataFrame) -> DataFrame:
-    """a, b, mi for all pairs of ``genes`` (about a hundred: a row per pair, 1 by definition for a gene with itself)."""
+    """a, b, mi for all pairs of ``genes`` (a report over about a hundred; panels need no such table)."""
     own = vectors.join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi")
     a, b = own.select(F.col("gene_id").alias("a"), F.col("values").alias("va")), own.select(F.col("gene_id").alias("b"), F.col("values").alias("vb"))
 
     def mi(frames):
         for f in frames:
-            yield f.assign(mi=[ksg(p, q) for p, q in zip(f["va"], f["vb"], strict=True)])[["a", "b", "mi"]]
+            yield f.assign(mi=[_information(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(f["va"], f["vb"], strict=True)])[["a", "b", "mi"]]
 
     pairs = a.join(b, F.col("a") < F.col("b")).repartition(F.xxhash64("a", "b"))
     return pairs.mapInPandas(mi, "a string, b string, mi double")
 
 
+def _information(p: np.ndarray, q: np.ndarray) -> float:
+    """Mutual information over the samples that both have."""
+    whole = ~(np.isnan(p) | np.isnan(q))
+    return ksg(p[whole], q[whole])
+
+
+def _least_redundant(own: DataFrame, size: int) -> list[str]:
+    """The greedy choice of ``size`` genes from (gene_id, score, values): the score less the mean information with those
+    chosen; the best score, then id, wins ties.
+
+    A step is one narrow pass. Information is never negative, so the score less what the information with some of the
+    chosen takes away bounds a gene's worth: tasks go through their genes from the best score down and leave a gene as
+    soon as its bound is no better than the best they have. A task gives its best gene, and the best of these is chosen.
+    """
+    chosen: list[str] = []
+    values: list[np.ndarray] = []
+    while len(chosen) < size:
+
+        def best(frames, chosen=tuple(chosen), values=tuple(values)):
+            found = None
+            for f in frames:
+                for g, score, v in f.sort_values(["score", "gene_id"], ascending=[False, True])[["gene_id", "score", "values"]].itertuples(index=False):
+                    worth = score
+                    if g in chosen or found and worth < found[0]:
+                        continue
+                    v = np.asarray(v, float)
+                    for c in values:
+                        worth -= _information(c, v) / len(values)
+                        if found and worth < found[0]:
+                            break
+                    key = (worth, score)
+                    if found is None or key > found[:2] or key == found[:2] and g < found[2]:
+                        found = (worth, score, g, v)
+            if found:
+                yield pd.DataFrame({"worth": [found[0]], "score": [found[1]], "gene_id": [found[2]], "values": [found[3]]})
+
+        top = own.mapInPandas(best, "worth double, score double, gene_id string, values array<double>").orderBy(F.desc("worth"), F.desc("score"), "gene_id").first()
+        if top is None:
+            break
+        chosen.append(top["gene_id"])
+        values.append(np.array(top["values"], float))
+    return chosen
+
+
 def panels(vectors: DataFrame, candidates: DataFrame, y: list[float], sizes: tuple[int, ...] = (3, 5, 10), kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Greedy marker panels over ``candidates`` (gene_id, score, correlation; at most MOST_CANDIDATES, or this raises).
+    """Greedy marker panels over ``candidates`` (gene_id, score, correlation), however many.
 
     max_score takes the best scores, max_correlation the largest |correlation|, minimal_redundancy (and any other name)
     the score less the mean information with those chosen; the first in order of score, then id, wins ties. Candidates
-    without values are left out, and samples without all of a panel's values. Informations come from Spark, a row per
-    pair; the selection itself is a few hundred steps on the driver.
+    without values are left out, and samples without all of a panel's values. Only the chosen genes' values, at most the
+    largest size a kind, come to the driver.
     """
     spark = vectors.sparkSession
-    rows = candidates.select("gene_id", "score", "correlation").limit(MOST_CANDIDATES + 1).collect()
-    if len(rows) > MOST_CANDIDATES:
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
-    names = spark.createDataFrame([(r["gene_id"],) for r in rows], "gene_id string")
-    values = {r["gene_id"]: np.array(r["values"], float) for r in vectors.join(F.broadcast(names), "gene_id", "left_semi").collect()}
-    info = {frozenset((r["a"], r["b"])): r["mi"] for r in pair_information(vectors, names).collect()}
-    score = {r["gene_id"]: r["score"] for r in rows if r["gene_id"] in values}
-    level = {r["gene_id"]: abs(r["correlation"] or 0.0) for r in rows}
-    order = sorted(score, key=lambda g: (-score[g], g))
+    own = cut(vectors.select("gene_id", "values").join(candidates.select("gene_id", "score", F.coalesce(F.abs("correlation"), F.lit(0.0)).alias("level")), "gene_id"))
     target, out = np.array(y, float), []
     for kind in kinds:
-        chosen: list[str] = []
-        while len(chosen) < min(max(sizes), len(order)):
-            left = [g for g in order if g not in chosen]
-            if kind == "max_score":
-                worth = [score[g] for g in left]
-            elif kind == "max_correlation":
-                worth = [level[g] for g in left]
-            else:
-                worth = [score[g] - (np.mean([info[frozenset((g, c))] for c in chosen]) if chosen else 0.0) for g in left]
-            chosen.append(left[int(np.argmax(worth))])
-            if len(chosen) in sizes:
-                a = np.column_stack([values[g] for g in chosen])
-                whole = ~np.isnan(a).any(axis=1) & ~np.isnan(target)
-                r2, rmse = loocv(a[whole], target[whole])
-                shared = [info[frozenset(p)] for p in combinations(chosen, 2)]
-                out.append((kind, len(chosen), r2, rmse, float(np.mean(shared)) if shared else 0.0, list(chosen)))
+        if kind in ("max_score", "max_correlation"):
+            first = [F.desc("level")] if kind == "max_correlation" else []
+            chosen = [r["gene_id"] for r in own.orderBy(*first, F.desc("score"), "gene_id").limit(max(sizes)).select("gene_id").collect()]
+        else:
+            chosen = _least_redundant(own, max(sizes))
+        names = spark.createDataFrame([(g,) for g in chosen], "gene_id string")
+        values = {r["gene_id"]: np.array(r["values"], float) for r in own.join(F.broadcast(names), "gene_id", "left_semi").select("gene_id", "values").collect()}
+        info = {p: _information(values[p[0]], values[p[1]]) for p in combinations(chosen, 2)}
+        for size in sorted(k for k in sizes if k <= len(chosen)):
+            a = np.column_stack([values[g] for g in chosen[:size]])
+            whole = ~np.isnan(a).any(axis=1) & ~np.isnan(target)
+            r2, rmse = loocv(a[whole], target[whole])
+            shared = [info[p] for p in combinations(chosen[:size], 2)]
+            out.append((kind, size, r2, rmse, float(np.mean(shared)) if shared else 0.0, chosen[:size]))
     return spark.createDataFrame(out, "panel_type string, size int, r2_loocv double, rmse_loocv double, mean_information double, genes array<string>")
 
 
@@ -237,3 +269,16 @@ def co_edges(scores: DataFrame, top: int = 20, least: float = 0.1) -> DataFrame:
     best = scores.orderBy(F.desc(F.round(F.abs("coefficient"), 9)), "gene_id").limit(top)
     a, b = best.select(F.col("gene_id").alias("a"), F.col("coefficient").alias("ra")), best.select(F.col("gene_id").alias("b"), F.col("coefficient").alias("rb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("ra") * F.col("rb")).alias("weight")).filter(F.abs("weight") >= least)
+
+
+def co_matrix(scores: DataFrame, top: int = 20) -> DataFrame:
+    """gene_i, gene_j, value, place_i, place_j: products of the ``top`` genes' coefficients (1 for a gene with itself) and
+    where both stand in the leaves of the average-linkage tree over 1 - |value|. A row a gene of the report comes to the
+    driver; genes without a coefficient take no part."""
+    rows = scores.filter(F.col("coefficient").isNotNull() & ~F.isnan("coefficient")).orderBy(F.desc(F.round(F.abs("coefficient"), 9)), "gene_id").limit(top).select("gene_id", "coefficient").collect()
+    r = np.array([x["coefficient"] for x in rows], float)
+    value = np.outer(r, r)
+    np.fill_diagonal(value, 1.0)
+    place = {i: k for k, i in enumerate(leaf_order(np.maximum(1 - np.abs(value), 0)))}
+    cells = [(rows[i]["gene_id"], rows[j]["gene_id"], float(value[i, j]), place[i], place[j]) for i in range(len(rows)) for j in range(len(rows))]
+    return scores.sparkSession.createDataFrame(cells, "gene_i string, gene_j string, value double, place_i int, place_j int")

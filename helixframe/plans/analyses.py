@@ -15,6 +15,7 @@ from ..operators import counts as C
 from ..operators import descriptive as D
 from ..operators import features as X
 from ..operators import modelling as L
+from ..operators import nbglm as NB
 from ..operators import ranking as R
 from ..operators import sequence as Q
 from ..operators import validation as V
@@ -96,6 +97,34 @@ def dense_features(spark, sf):
 # --- corrections and validation ----------------------------------------------------------------------------------------
 
 
+def _with_year(spark, sf):
+    """The matrix with the sample's year as a covariate."""
+    return cut(T.expression(spark, sf).withColumn("year", F.substring_index("sample_id", "|", -1).cast("double")))
+
+
+@query()
+def pairwise_information(spark, sf):
+    e = cut(T.expression(spark, sf))
+    best = A.spearman(T.genes_and_target(e), dense=True).orderBy(F.desc(F.abs("r")), "gene_id").limit(100)
+    return rounded(R.pair_information(to_vectors(e), best))
+
+
+@query()
+def cocorrelation_heatmap(spark, sf):
+    s = A.spearman(T.genes_and_target(T.expression(spark, sf)), dense=True).select("gene_id", F.col("r").alias("coefficient"))
+    return rounded(R.co_matrix(s))
+
+
+@query()
+def nb_regression(spark, sf):
+    return rounded(NB.regress(_with_year(spark, sf), ["year"]))
+
+
+@query()
+def combat_seq_design_correction(spark, sf):
+    return rounded(NB.correct(_with_year(spark, sf), ["year"]))
+
+
 @query()
 def combat_seq_correction(spark, sf):
     return rounded(C.combat_seq(T.expression(spark, sf)))

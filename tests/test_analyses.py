@@ -149,9 +149,6 @@ def test_information_panels_and_comparison(spark):
     rows = {(r.panel_type, r["size"]): r for r in ranking.panels(matrix.to_vectors(expr), cand, list(y), (2, 3)).collect()}
     assert rows["max_score", 3].genes == rows["max_correlation", 3].genes == ["g00", "g01", "g02"]
     assert rows["minimal_redundancy", 2].genes[0] == "g00"
-    many = spark.range(ranking.MOST_CANDIDATES + 1).select(F.col("id").cast("string").alias("gene_id"), F.lit(1.0).alias("score"), F.lit(1.0).alias("correlation"))
-    with pytest.raises(ValueError):
-        ranking.panels(matrix.to_vectors(expr), many, list(y))
     compared = ranking.compare_methods(association.correlations(x, ("pearson", "spearman")), x, 3).collect()
     assert {r.method for r in compared} == {"pearson", "spearman"} and all(0 <= r.overall_score <= 1 for r in compared)
     rng = np.random.default_rng(1)
