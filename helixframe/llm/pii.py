@@ -14,6 +14,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -77,6 +78,21 @@ MAYBE_NUMBER = rf"(?i)(?:^|[^a-z]){_NAMED}{_SEP}(?:{_NAMED}(?:$|[^a-z])|[0-9+(])
 MAYBE_MAIL = r"(?i)[a-z0-9._%+-](?: at | ?@ ?| {0,2}[\[({<] ?(?:at|@) ?[\])}>] {0,2})[a-z0-9-]+(?: dot | ?\. ?| {0,2}[\[({<] ?(?:dot|\.) ?[\])}>] {0,2})[a-z0-9]"
 MAYBE_BRACKETED = r"(?i)[\[({<] ?(?:at|dot|@|\.) ?[\])}>]"
 
+# Words before "at <site>" in ordinary prose, endings of such words, and words before a common noun.
+PROSE = frozenset((
+    "account accounts am and answer answers anything app apps are arrive arrived article articles as author available back be because been best blog book books browse but buy by call "
+    "came check code codes come company course courses data deals docs doctor document documents down each engineer everyone everything file files find found free friend friends from "
+    "games get go goes got guide had hang has have he help her here him home host i if im images in info information is it its job jobs join lecturer letter life link links list live "
+    "lives look looks made many maps me meet meets met money more much music news not now nurse of off offer office officer on one online only open or order orders out over page pages "
+    "papers people photo photos pictures post posts prices prize products professor profile project read reads release report research researcher reviews sale school see seen sell sells "
+    "server service shop shops sign since sit site slides so sold some something songs source staff start starts stay stays stop store stories story student students studied studies "
+    "study support talk talks teacher team tests text than that them then there these they things this those though tickets times to today tools tutorial until up us users video videos "
+    "visit was watch way we website went were what when where which while who with work works worse wrote year years you yours"
+).split())
+PROSE_ENDINGS = ("ing", "ed", "able", "ible", "ly", "ness", "tion", "ions", "ment", "ments", "ists", "ers")
+ARTICLES = frozenset("a an the my your his her our their its this that these those some any every each no another new former senior".split())
+_BEFORE = re.compile(r"([A-Za-z]+) +$")
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -123,6 +139,19 @@ def plain_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
 
 
+def _is_prose(text: str, start: int, end: int) -> bool:
+    """Whether "<word> at <site>" from ``start`` is a sentence rather than a mail address: the at is a bare word, and the
+    word before it is an ordinary one that could stand there, or a noun with its article."""
+    head, at, _ = re.split(r"( at )", text[start:end], maxsplit=1, flags=re.I) if re.search(" at ", text[start:end], re.I) else ("", "", "")
+    word = head.lower()
+    if not at or not word.isalpha():
+        return False
+    if word in PROSE or len(word) > 4 and word.endswith(PROSE_ENDINGS):
+        return True
+    before = _BEFORE.search(text, max(0, start - 40), start)
+    return bool(before) and before[1].lower() in ARTICLES
+
+
 def rewrites(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of every spelled sign or digit, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -131,6 +160,8 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         found.append((*m.span(), "@" if "@" in m[0] or "at" in m[0].lower() else "."))
     if " dot " in low and " at " in low:
         for m in _BARE_MAIL.finditer(text):
+            if _is_prose(text, *m.span()):
+                continue
             found += [(m.start() + b.start(), m.start() + b.end(), "@" if b[1].lower() == "at" else ".") for b in _BARE.finditer(m[0])]
     for m in _SPELLED_RUN.finditer(text):
         at = m.start()
@@ -166,7 +197,7 @@ def _mixed_spans(text: str) -> Iterator[Span]:
     """Mail with at or dot as words, and numbers with any of their digits or dots as words: complete identifiers only."""
     low = text.lower()
     if " at " in low or " dot " in low:
-        yield from (("email", *m.span()) for m in _MIXED_MAIL.finditer(text))
+        yield from (("email", *m.span()) for m in _MIXED_MAIL.finditer(text) if not _is_prose(text, *m.span()))
     if " @ " in text and " . " in text:
         yield from (("email", *m.span()) for m in _SPACED_MAIL.finditer(text))
     for m in _NUMBER_RUN.finditer(text):
@@ -213,8 +244,6 @@ def _spelled_spans(text: str, plain: Iterable[Span], known: Iterable[Span]) -> l
         at = end
     parts.append(text[at:])
     places = [a[0] for a in anchors]
-    from bisect import bisect_right
-
     def source(i: int) -> tuple[int, int]:
         """The source characters of rewritten character i."""
         k = bisect_right(places, i) - 1
@@ -235,9 +264,20 @@ def _spelled_spans(text: str, plain: Iterable[Span], known: Iterable[Span]) -> l
     return out
 
 
-def _without(spans: Iterable[Span], known: list[Span]) -> list[Span]:
+def _without(spans: Iterable[Span], known: Iterable[Span]) -> list[Span]:
     """Those that overlap no known span of their kind."""
-    return [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in known)]
+    ends: dict[str, list[int]] = {}  # per kind, the largest end up to each known span, by start
+    starts: dict[str, list[int]] = {}
+    for k, a, b in sorted(known, key=lambda s: s[1]):
+        starts.setdefault(k, []).append(a)
+        own = ends.setdefault(k, [])
+        own.append(max(b, own[-1]) if own else b)
+    out = []
+    for x in spans:
+        i = bisect_left(starts.get(x[0], []), x[2])
+        if not i or ends[x[0]][i - 1] <= x[1]:
+            out.append(x)
+    return out
 
 
 def all_spans(text: str, maybe: bool = True) -> tuple[list[Span], list[Span]]:

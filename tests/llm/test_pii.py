@@ -102,3 +102,85 @@ def test_composed_disguises_and_the_batch_test():
             assert any(pc.match_substring_regex(pa.array([text]), x)[0].as_py() for x in (pii.MAYBE_NUMBER, pii.MAYBE_MAIL, pii.MAYBE_BRACKETED)), text
     for clean in ("see you @ home . then we go", "one of the two", "he is at home. dot", "a (.) b", "[at] noon"):
         assert pii.all_spans(clean) == ([], [])
+
+
+CLEAN = """look at google.com please
+we met at example.com yesterday
+Join us at stackoverflow.com or at github.com/x
+he studies at uni.edu
+See more at wikipedia.org today
+Find us at shop.example.com
+I work at openai.com
+She works at ibm.com
+They are hosted at github.com
+an engineer at google.com said
+the team at mozilla.org wrote it
+our friends at archive.org helped
+available at python.org for free
+published at arxiv.org last week
+Visit us at nature.com
+my professor at mit.edu left
+is it at npm.com?
+It is at pypi.org
+Everything at amazon.com is cheap
+read it at bbc.co.uk
+Read about it at nytimes.com
+I bought it at ebay.com
+he was at slack.com then
+you can order at pizza.de
+Sign up at spotify.com
+Log in at paypal.com
+Looking at reddit.com all day
+posted at medium.com
+a researcher at cern.ch
+the server at ftp.gnu.org is down
+Documentation at docs.rs is good
+Slides at slideshare.net help
+videos at youtube.com are long
+the code lives at gitlab.com
+Shopping at ikea.com again
+People at twitter.com complain
+check it out at kaggle.com
+stay at booking.com houses
+Students at stanford.edu protest
+the article at wired.com is old
+We are at fosdem.org now
+Get help at gnome.org
+her blog at wordpress.com
+your profile at linkedin.com
+this page at w3.org
+Those files at kernel.org
+they meet at meetup.com
+sold at etsy.com
+What happened at yahoo.com
+nothing changed at aol.com
+some nurse at nhs.uk
+developers at apache.org agree
+look at google dot com please""".split("\n")
+
+
+def test_prose_is_not_a_mail_address():
+    assert len(CLEAN) > 50
+    for line in CLEAN:
+        for text in (line, line.lower(), "Well. " + line + " Indeed."):
+            assert [x for x in pii.all_spans(text)[1] if x[0] == "email"] == [], text
+    for text in ("write to j.doe at example.com", "anna2 at mail.de", "mail bob (at) work.com", "contact maria at uni dot edu"):
+        assert [k for k, *_ in pii.all_spans(text)[1]] == ["email"], text
+
+
+def test_many_identifiers_take_linear_time():
+    import time
+
+    text = "".join(f"u{i}@mail{i}.org c{i} [at] d{i} [dot] com 10.0.{i % 256}.1 +1 222 333 {i % 9000 + 1000}, one two seven dot zero dot zero dot one; " for i in range(25_000))
+    assert len(text) > 2_500_000
+    began = time.process_time()
+    plain, every = all_spans(text)
+    assert len(plain) == 75_000 and len(every) == 125_000
+    assert time.process_time() - began < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.integers(1, 5))), st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.integers(1, 5))))
+def test_without_equals_all_pairs(spans, known):
+    spans, known = ([(k, s, s + n) for k, s, n in x] for x in (spans, known))
+    assert pii._without(spans, known) == [x for x in spans if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in known)]
