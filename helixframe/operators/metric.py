@@ -83,10 +83,10 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
 
     shape = "rep long, embedding array<double>, ids array<long>, labels array<int>"
     dealt = cut(vectors.mapInPandas(assign, f"{shape}, cell long, r double"))
-    cells = dealt.groupBy("cell").agg(F.max("r").alias("far"), F.ceil(F.count("*") / BLOCK).alias("parts"))
-    bounds = {r["cell"]: (r["far"], r["parts"]) for r in cells.collect()}  # a row a pivot at most
-    far = np.array([bounds.get(c, (-np.inf, 0))[0] for c in range(len(pivots))])
-    parts = np.array([bounds.get(c, (0, 0))[1] for c in range(len(pivots))], np.int64)
+    cells = dealt.groupBy("cell").agg(F.max("r").alias("far"), F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    far, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for r in cells.collect():  # a row a pivot at most
+        far[r["cell"]], sizes[r["cell"]] = r["far"], r["n"]
     own = cut(dealt.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts"))
     slack = 2 * 10.0**-PLACES
 
@@ -97,15 +97,19 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
         limit = np.array([b[0][-1] if len(b[0]) == k else np.inf for b in best])
         # a cell is out of reach by its radius, or by the plane between its pivot and the point's own
         to = _distances(x, pivots)
+        for i in np.flatnonzero(limit == np.inf):  # a small block: so near are k vectors in any case
+            most = np.where(sizes > 0, to[i] + far, np.inf)
+            order = np.argsort(most)
+            enough = np.flatnonzero(np.cumsum(sizes[order]) >= k)
+            limit[i] = most[order[enough[0]]] if len(enough) else np.inf
         least = np.maximum(to - far, (to - f["r"].to_numpy()[:, None]) / 2)
-        reach = (least <= limit[:, None] + slack) & (parts > 0)
+        reach = (least <= limit[:, None] + slack) & (sizes > 0)
         return pd.DataFrame({"rep": f["rep"].to_numpy(), "embedding": _lists(list(f["embedding"])), "cell": f["cell"].to_numpy(), "part": f["part"].to_numpy(), "found": _lists([b[0] for b in best]), "ids": _lists([b[1] for b in best]), "labels": _lists([b[2] for b in best]), "seen": len(f), "asks": _lists([np.flatnonzero(r) for r in reach])})
 
     first = cut(own.groupBy("cell", "part").applyInPandas(inside, f"rep long, embedding array<double>, cell long, part long, {_NEAR}, asks array<long>"))
-    limit = F.when(F.size("found") == k, F.element_at("found", -1)).otherwise(F.lit(float("inf")))
-    asks = first.select("rep", "embedding", "cell", "part", limit.alias("limit"), F.explode("asks").alias("to")).join(F.broadcast(cells.select(F.col("cell").alias("to"), "parts")), "to")
-    asks = asks.select("rep", "embedding", "limit", "cell", "part", "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("to_part")).filter("not (cell = to and part = to_part)")
-    asks = cut(asks.select("rep", "embedding", "limit", "to", "to_part"))
+    asks = first.select("rep", "embedding", "cell", "part", F.explode("asks").alias("to")).join(F.broadcast(cells.select(F.col("cell").alias("to"), "parts")), "to")
+    asks = asks.select("rep", "embedding", "cell", "part", "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("to_part")).filter("not (cell = to and part = to_part)")
+    asks = cut(asks.select("rep", "embedding", "to", "to_part"))
     # many points can ask one block: they come in parts, and the block's points go to each
     turns = asks.groupBy("to", "to_part").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
     asking = asks.join(turns, ["to", "to_part"]).withColumn("turn", F.pmod(F.xxhash64("rep"), F.col("turns")))
