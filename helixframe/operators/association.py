@@ -213,9 +213,12 @@ def with_bootstrap(rows: DataFrame, boot: DataFrame | None) -> DataFrame:
 
 
 def gene_regression(x: DataFrame, genes: DataFrame, most: int = 200) -> DataFrame:
-    """gene_id and coefficient of the least-squares model of y on all of ``genes`` (at most ``most``), largest |coefficient|
-    first. Coefficients come from the pseudo-inverse, so more genes than samples give the shortest solution."""
-    own = x.join(F.broadcast(genes.select("gene_id").distinct().orderBy("gene_id").limit(most)), "gene_id")
+    """gene_id and coefficient of the least-squares model of y on all of ``genes``, largest |coefficient| first; over ``most``
+    genes raise ValueError, as one model is one task. Coefficients come from the pseudo-inverse, so more genes than samples give the shortest solution."""
+    named = genes.select("gene_id").distinct()
+    if (asked := named.limit(most + 1).count()) > most:
+        raise ValueError(f"a model on more than {most} genes ({asked} or more asked)")
+    own = x.join(F.broadcast(named), "gene_id")
     vectors = own.groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "value", "y"))).alias("v")).select(F.lit(1).alias("one"), "gene_id", F.col("v.value").alias("values"), F.col("v.y").alias("ys"))
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:  # at most ``most`` rows

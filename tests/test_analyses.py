@@ -115,6 +115,8 @@ def test_bootstrap_against_resampled_numpy(spark):
             assert out[f"g{g:02d}", m].ci_lower == pytest.approx(np.quantile(have, 0.025), abs=1e-9)
     assert out["g00", "pearson"].rank_stability_perc > 99
     one = association.gene_regression(x, x.select("gene_id").distinct()).collect()
+    with pytest.raises(ValueError, match="more than 3 genes"):
+        association.gene_regression(x, x.select("gene_id").distinct(), most=3)
     want = np.linalg.lstsq(np.column_stack([np.ones(24), v.T]), y, rcond=None)[0][1:]
     assert {r.gene_id: round(r.coefficient, 6) for r in one} == {f"g{i:02d}": round(float(b), 6) for i, b in enumerate(want)}
 
