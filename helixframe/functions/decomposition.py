@@ -98,9 +98,12 @@ def leading_columns(rows: DataFrame, prepare: Prepare, width: int, wanted: int,
     ``width`` columns of which ``prepare`` gives the rows of a batch.
 
     ``rows`` is read once a step, so it should be cut before. The largest entry of each vector is positive. Rows that the
-    space does not reach are never guessed: steps end when the wanted values stand still or the space is whole.
+    space does not reach are never guessed: steps end when the wanted values stand still or the space is whole. A matrix
+    without columns has no vectors.
     """
     wanted = min(wanted, width)
+    if not wanted:
+        return np.zeros((width, 0)), np.zeros(0), 0.0
     size = min(width, max(wanted + SPARE, BLOCK_NUMBERS // max(width, 1)))
     block = np.eye(width) if size == width else np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
     base, image, total, last = np.zeros((width, 0)), np.zeros((width, 0)), 0.0, None

@@ -160,7 +160,8 @@ def correction_validation(spark, sf):
 @query()
 def pca_stages(spark, sf):
     e = cut(T.expression(spark, sf))
-    return rounded(V.stage_pca({"raw": e, "corrected": B.combat(e)}))
+    everywhere = e.groupBy("gene_id").agg(F.bool_and(F.col("value") > 0).alias("all_")).filter("all_")
+    return rounded(V.stage_pca({"raw": e, "filtered": e.join(everywhere, "gene_id", "left_semi"), "corrected": B.combat(e)}))
 
 
 # --- association, panels, markers --------------------------------------------------------------------------------------

@@ -96,6 +96,21 @@ def test_sample_space_against_numpy(spark):
     assert row.n_platforms == 2 and validation.needs_correction(validation.detect_batch_effect(expr)) == (row.pct_affected > 20 or abs(row.silhouette) > 0.1)
 
 
+def test_components_at_each_stage(spark):
+    expr, v = expression(spark)
+    stages = {"raw": expr, "filtered": expr.filter("gene_id < 'g10'"), "none": expr.filter("value < 0"), "corrected": batch.combat(expr)}
+    rows = {}
+    for r in validation.stage_pca(stages).collect():
+        rows.setdefault(r.stage, []).append(r)
+    assert {s: len(r) for s, r in rows.items()} == {"raw": 24, "filtered": 24, "corrected": 24}
+    for stage, own in (("raw", v), ("filtered", v[:10])):
+        c = own - own.mean(1, keepdims=True)
+        _, s, u = np.linalg.svd(c, full_matrices=False)
+        got = np.array([[r.pc1, r.pc2] for r in sorted(rows[stage], key=lambda r: r.sample_id)])
+        assert np.allclose(np.abs(got), np.abs(u[:2].T * s[:2]), atol=1e-6)
+        assert rows[stage][0].explained1 == pytest.approx(s[0] ** 2 / (s**2).sum())
+
+
 def test_bootstrap_against_resampled_numpy(spark):
     expr, v = expression(spark, 6)
     x, y = with_target(spark, expr, v)
