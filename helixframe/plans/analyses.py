@@ -232,6 +232,11 @@ def rna_structure_metrics(spark, sf):
     return rounded(Q.rna_structures(T.sequences(spark, sf), "utr5"))
 
 
+@query()
+def energy_by_region(spark, sf):
+    return rounded(Q.energy_by_region(T.sequences(spark, sf), {"UTR5": "utr5", "UTR3": "utr3"}))
+
+
 @query()
 def region_motif_enrichment(spark, sf):
     return rounded(Q.region_motifs(cut(T.sequences(spark, sf)), "utr5", UTR5_MOTIFS, "quality"))
