@@ -40,7 +40,7 @@ MULTI, MULTI_BASE, MULTI_HELIX = 340, 0, 40
 INF = 1 << 28
 LEAST_LOOP = 3
 #: Cells of one table of a block: sequences x places x span.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 500_000
 #: The code of each letter, 4 for all others, and the pair of two codes, -1 for none.
 CODES = np.full(256, 4, dtype=np.int8)
 for _i, _c in enumerate("ACGU"):
@@ -75,7 +75,7 @@ def _closed(codes: np.ndarray, span: int) -> np.ndarray:
     for d in range(1, span + 1):
         m = n - d
         kind = PAIR_OF[codes[:, :m], codes[:, d:]]
-        weak = kind >= 2
+        weak = (kind >= 2).astype(np.int32)
         best = np.full((count, m), INF, dtype=np.int32)
         inner = d - 2  # the distance of the next pair inside
         if d > LEAST_LOOP:

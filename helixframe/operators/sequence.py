@@ -130,20 +130,26 @@ def region_motifs(seqs: DataFrame, column: str, motifs: dict[str, str], group: s
     return out.withColumn("fold_enrichment", fold).withColumn("significant", F.col("p_adjusted") < 0.05).orderBy("p_adjusted", F.desc("fold_enrichment"), "motif")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by a hash of ``keys``: folding takes far longer than moving a sequence, however few files there are."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def rna_structures(seqs: DataFrame, column: str, most: int | None = None, least_length: int = 10, span: int = 200) -> DataFrame:
     """id, structure, mfe, normalized_mfe, length, hairpins, loops, gc_content of the sequences of ``least_length`` on; the
     first ``most`` by id, all by default. ``mfe`` is over structures whose pairs are at most ``span`` apart."""
     own = seqs.filter(F.length(column) >= least_length).select("id", F.col(column).alias("seq"))
     own = own.orderBy("id").limit(most) if most else own
-    folded = own.withColumn("structure", S.folded("seq")).withColumn("mfe", minimum_free_energy(span)("seq"))
+    folded = _dealt(own, "id").withColumn("structure", S.folded("seq")).withColumn("mfe", minimum_free_energy(span)("seq"))
     return folded.select("id", "structure", "mfe", (F.col("mfe") / F.length("seq")).alias("normalized_mfe"), *S.rna_metrics("structure", "seq"))
 
 
 def energy_by_region(seqs: DataFrame, regions: dict[str, str], least_length: int = 10, span: int = 200) -> DataFrame:
     """region, n, and mean, std, min and max of the least free energy a nucleotide, over all sequences of ``least_length``
-    on; ``regions`` names a column each. Partial sums meet by region, no sequence is moved."""
-    rows = seqs.select(F.explode(F.array(*[F.struct(F.lit(r).alias("region"), F.col(c).alias("seq")) for r, c in regions.items()])).alias("r")).select("r.*")
-    own = rows.filter(F.length("seq") >= least_length).withColumn("e", minimum_free_energy(span)("seq") / F.length("seq"))
+    on; ``regions`` names a column each. Only partial sums meet by region."""
+    rows = seqs.select("id", F.explode(F.array(*[F.struct(F.lit(r).alias("region"), F.col(c).alias("seq")) for r, c in regions.items()])).alias("r")).select("id", "r.*")
+    own = _dealt(rows.filter(F.length("seq") >= least_length), "id", "region").withColumn("e", minimum_free_energy(span)("seq") / F.length("seq"))
     return own.groupBy("region").agg(F.count("e").alias("n"), F.avg("e").alias("mean"), F.stddev_samp("e").alias("std"), F.min("e").alias("min"), F.max("e").alias("max"))
 
 
