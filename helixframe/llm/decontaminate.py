@@ -157,7 +157,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, word, similarity, passage) for each document and item found in it: the best place.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; others are ignored. Null texts hold nothing. Items of
-    under five words mark no document. Repeated items or documents give one row a pair; a null doc_id is one document.
+    under five words mark no document. Repeated items or documents give one row a pair; a null doc_id is one document,
+    and each text of a repeated or null doc_id is searched. Of places alike in similarity the one counts that most windows
+    agree on, then the first; ``word`` is the first word of the item's passage, 0 for an item whose beginning is missing.
     """
     # Constraints through the rows of adders would grow exponentially in the optimizer; none of them helps here.
     docs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
@@ -168,7 +170,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not blocks:
         return docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, word int, similarity double, passage string")
     few = sum(r["words"] for r in sizes) <= BROADCAST_WINDOWS  # an item has fewer windows than words
-    parsed = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    parsed = docs.select("doc_id", F.xxhash64("text").alias("_t"), words(F.col("text")).alias("ws"))
     right = item_windows(own, blocks)
     right = right.select("item_id", "n", "off", F.col("fp").alias("item_fp"), _keys(right, "fp").alias("key"))
     pad = f"({PAD} + n div {PAD_SHARE})"
@@ -176,22 +178,23 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for b in blocks:
         left = document_windows(parsed, b)
-        kept = ["doc_id", "ws"] if few else ["doc_id"]  # where window rows move, the words join again afterwards
+        kept = ["doc_id", "_t", "ws"] if few else ["doc_id", "_t"]  # where window rows move, the words join again afterwards
         left = left.select(*kept, "block", "at", "fp", _keys(left, "fp").alias("key"))
         hits = left.join(F.broadcast(right) if few else right, "key").filter(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}"))
         hits = hits.select(*kept, "item_id", "n", (F.col("at") - F.col("off")).alias("word"))
         if few:
-            hits = hits.select("doc_id", "item_id", "word", region)
+            hits = hits.select("doc_id", "_t", "item_id", "word", F.lit(1).alias("agree"), region)
         else:
-            hits = hits.distinct().alias("h").join(parsed.alias("p"), F.expr("h.doc_id <=> p.doc_id")).select("h.doc_id", "item_id", "word", region)
+            hits = hits.groupBy(*hits.columns).agg(F.count("*").alias("agree")).alias("h")
+            hits = hits.join(parsed.alias("p"), F.expr("h.doc_id <=> p.doc_id AND h._t = p._t")).select("h.doc_id", "h._t", "item_id", "word", "agree", region)
         found = hits if found is None else found.unionByName(hits)
-    places = found.groupBy("doc_id", "item_id", "word").agg(F.max("region").alias("region")).filter(F.size("region") >= SHINGLE)
+    places = found.groupBy("doc_id", "_t", "item_id", "word").agg(F.sum("agree").alias("agree"), F.max("region").alias("region")).filter(F.size("region") >= SHINGLE)
     own = own.drop("block")
     places = places.join(F.broadcast(own) if few else own, "item_id")
     weighed = places.withColumn("want", F.expr(shingles("iw"))).withColumn("have", F.expr(shingles("region")))
     weight = lambda x: f"aggregate({x}, 0, (a, s) -> a + length(s))"
     scored = weighed.withColumn("similarity", F.expr(f"{weight('array_intersect(want, have)')} / {weight('want')}")).filter(F.col("similarity") >= SIMILARITY)
-    best = F.max_by(F.struct("word", "similarity", F.array_join("region", " ").alias("passage")), F.struct("similarity", -F.col("word"))).alias("b")
+    best = F.max_by(F.struct(F.greatest("word", F.lit(0)).alias("word"), "similarity", F.array_join("region", " ").alias("passage")), F.struct("similarity", "agree", -F.col("word"))).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 

@@ -75,6 +75,26 @@ def test_copies_with_spread_edits_are_found(spark):
     assert all(sum(map(len, shingles(wanted[i]) & shingles(docs[d][1]))) >= 0.8 * sum(map(len, shingles(wanted[i]))) for d, i in got)
 
 
+@pytest.mark.parametrize("bound", (200_000, 0))
+def test_place_and_texts_of_one_id(spark, monkeypatch, bound):
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", bound)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((9, 14, 30, 56, 100, 200))]
+    docs, places = [], {}
+    for i, text in items:
+        for before in (0, 1, 3, 4, 17):
+            places[(len(docs), i)] = before
+            docs.append((len(docs), " ".join([word() for _ in range(before)] + [text] + [word() for _ in range(before % 5)])))
+    # other texts of an id that is null or there already, the passage at the same place in each
+    other = lambda i: " ".join([word() for _ in range(5)] + [items[i][1]])
+    clean = lambda: " ".join(word() for _ in range(60))
+    docs += [(900, clean()), (900, other(3)), (900, clean()), (None, other(4)), (None, other(2)), (None, clean())]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.word for x in dc.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == places | {(900, 3): 5, (None, 4): 5, (None, 2): 5}
+
+
 def test_weight_that_breaks_all_runs(spark):
     r = random.Random(8)
     rows = [([r.randrange(1, 9) for _ in range(r.randrange(1, 15))],) for _ in range(60)]
