@@ -57,6 +57,15 @@ def transcript_features(seqs: DataFrame, keep: tuple[str, ...] = (), patterns: d
     return gc3_cai(utr, tuple(c for c in utr.columns if c not in ("id", "cds")))
 
 
+def with_coding_features(base: DataFrame, utr: DataFrame, coding: DataFrame) -> DataFrame:
+    """UTR features with the coding ones of the same id (left); where ``utr`` has no row at all, ``base`` (id, ...) with
+    its coding features (inner) and null UTR columns, so the columns stay the same but for those of ``base``."""
+    if not utr.isEmpty():
+        return utr.join(coding, "id", "left")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in utr.schema if f.name not in base.columns}
+    return base.join(coding, "id").withColumns(empty)
+
+
 def kmer_counts(seqs: DataFrame, column: str, k: int, top: int | None = None, skip_n: bool = False) -> DataFrame:
     """kmer and n, overlapping ones counted; with ``skip_n`` those with an N do not count. Ties in ``top`` go by name."""
     out = seqs.select(F.explode(S.kmers(column, k)).alias("kmer"))

@@ -22,6 +22,7 @@ from ..operators import validation as V
 from ..sources import matrix as M
 from ..sources import tables as T
 from ..sources.matrix import to_vectors
+from ..streaming.moments import windowed_correlation
 from . import plotdata as P
 from .catalogue import CORR, FEATURES, GENE_STATS, METHODS_SQL, OTHERS, PROFILE_SQL, SEQ_FEAT, SPEARMAN, _features, _profiles, _range_sql
 from .registry import bh_sql, normal_p_sql, query, rounded
@@ -438,3 +439,15 @@ def adjusted_by_method(spark, sf):
     x = T.genes_and_target(T.expression(spark, sf))
     one = lambda df, m: df.select("gene_id", F.lit(m).alias("method"), (1 - F.abs("r")).alias("p"))
     return rounded(benjamini_hochberg(one(A.spearman(x, dense=True), "spearman").unionByName(one(A.pearson(x), "pearson")), "p", "adjusted", "method"))
+
+
+# --- events ------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
+SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n, round(covar_samp(x, y), 6) + 0.0 AS covariance,
+  CASE WHEN stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN round(covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)), 6) + 0.0 END AS r FROM w GROUP BY 1, 2""")
+def event_correlation(spark, sf):
+    """Does an event's value go with the hour: a day and type; the streaming operator on the table."""
+    own = windowed_correlation(T.read(spark, sf, "events").filter("value IS NOT NULL"), F.col("value"), F.hour("ts"))
+    return rounded(own.select(F.col("start").cast("date").alias("day"), "event_type", "n", "covariance", "r"))
