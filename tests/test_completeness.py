@@ -1,18 +1,20 @@
 """Operators without SQL against plain Python, the stream's co-moments, and the package on workers."""
 
+import itertools
 import os
 import random
 import statistics
 import subprocess
 import sys
 import textwrap
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions.columns import fold, held_out
-from helixframe.operators import features, sequence
+from helixframe.operators import batch, features, sequence
 from helixframe.streaming.moments import windowed_correlation
 
 
@@ -83,3 +85,34 @@ def test_workers_have_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "least Row" in done.stdout, done.stderr[-2000:]
+
+
+def test_two_sample_p_counts_all_arrangements(spark):
+    r = random.Random(3)
+    n1, n2 = 5, 6
+    rows = [(f"g{g}", f"s{i}", "A" if i < n1 else "B", r.gauss(0, 1) + (g % 4) * (i < n1)) for g in range(12) for i in range(n1 + n2)]
+    got = {x.gene_id: x for x in batch.ks_tests(spark.createDataFrame(rows, "gene_id string, sample_id string, platform string, value double")).collect()}
+    distance = lambda own: max(abs(sum(i <= k for i in own) / n1 - (k + 1 - sum(i <= k for i in own)) / n2) for k in range(n1 + n2))
+    every = [distance(c) for c in itertools.combinations(range(n1 + n2), n1)]
+    for g in {x[0] for x in rows}:
+        ordered = sorted((v, p) for gene, _, p, v in rows if gene == g)
+        d = distance([k for k, (_, p) in enumerate(ordered) if p == "A"])
+        assert got[g].d == pytest.approx(d) and got[g].p_value == pytest.approx(sum(x >= d - 1e-9 for x in every) / len(every), abs=1e-9)
+
+
+def test_region_motifs_with_those_found(spark):
+    r = random.Random(4)
+    seq = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    rows = [(i, seq(20) + ("GATTACAGAT" if i % 2 and i % 10 else "") + seq(20), i % 2) for i in range(200)] + [(900, "", 1), (901, None, 0)]
+    df = spark.createDataFrame(rows, "id long, utr5 string, quality int")
+    got = {x.motif: x for x in sequence.region_motifs(df, "utr5", {"fixed": "GATTACA", "none": "QQQ"}, "quality").collect()}
+    own = [(s, q) for _, s, q in rows if s]
+    for name, pattern in (("fixed", "GATTACA"), *((m, m.rsplit("_", 1)[1]) for m in got if m.startswith("de_novo"))):
+        assert (got[name].seq1, got[name].seq0) == tuple(sum(pattern in s for s, q in own if q == k) for k in (1, 0))
+    assert got["fixed"].significant and not got["none"].significant and got["none"].seq1 == 0
+    for k in (4, 5, 6):  # the five most enriched of each size
+        counts = [Counter(s[j : j + k] for s, q in own if q == g for j in range(len(s) - k + 1)) for g in (1, 0)]
+        f1, f0 = ({m: c / sum(q == g for _, q in own) for m, c in counts[1 - g].items()} for g in (1, 0))
+        ratio = {m: f / max(f0.get(m, 0), 0.001) for m, f in f1.items() if f > 2 * f0.get(m, 0)}
+        best = sorted(ratio, key=lambda m: (-round(ratio[m], 9), m))[:5]
+        assert {m for m in got if m.startswith(f"de_novo_{k}mer")} == {f"de_novo_{k}mer_{m}" for m in best}
