@@ -199,10 +199,10 @@ def fit_models(df: DataFrame, features: list[str], target: str, key: str = "id",
     """Ridge (alpha 1), boosted trees (``trees``, rate .1, depth 3) and their mean: R squared over ``folds`` hashed folds
     of the training rows (none for one fold), R squared and RMSE on the held-out fifth. metrics has a row per model, the best first."""
     own = df.select(key, F.col(target).cast("double").alias(target), *[F.col(f).cast("double").alias(f) for f in features]).filter(F.col(target).isNotNull())
-    own = own.withColumn("_part", F.when(held_out(key), -1).otherwise(fold(key, folds))).persist()
+    rows = own.withColumn("_part", F.when(held_out(key), -1).otherwise(fold(key, folds)))
+    # trees take several jobs each: a task has ROWS_A_TASK rows, so small tables do not pay for many tasks
+    own = rows.coalesce(1 + rows.count() // ROWS_A_TASK).persist()
     try:
-        # trees take several jobs each: a task has ROWS_A_TASK rows, so small tables do not pay for many tasks
-        own = own.coalesce(1 + own.count() // ROWS_A_TASK).persist()
         train, test = own.filter("_part >= 0"), own.filter("_part < 0")
         cv: dict[str, list[float]] = {m: [] for m in MODELS}
 
