@@ -19,29 +19,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, description, platform: a row per nation and year (bounded by both)."""
+def _keyed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nk, y (nation and year), sample_id, description, platform: a row per nation and year (bounded by both)."""
     o = read(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))
     n = read(spark, sf_dir, "nation")
-    pairs = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", "y").distinct().join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = o.join(c, o.o_custkey == c.c_custkey).select("nk", "y").distinct().join(F.broadcast(n), F.col("nk") == F.col("n_nationkey"))
     name = F.element_at(F.array(*map(F.lit, ("HiSeq", "NextSeq", "NovaSeq"))), F.col("n_regionkey") % 3 + 1)
-    named = pairs.select(F.concat_ws("|", "n_name", F.col("y").cast("string")).alias("sample_id"), F.concat(F.lit("Illumina "), name, F.lit(" sequencing of "), "n_name").alias("description"))
+    named = pairs.select("nk", "y", F.concat_ws("|", "n_name", F.col("y").cast("string")).alias("sample_id"), F.concat(F.lit("Illumina "), name, F.lit(" sequencing of "), "n_name").alias("description"))
     return named.withColumn("platform", platform("description"))
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, description, platform: a row per nation and year (bounded by both)."""
+    return _keyed_samples(spark, sf_dir).select("sample_id", "description", "platform")
+
+
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene_id, sample_id, platform, value; dense."""
+    """gene_id, sample_id, platform, value; dense. Sums and the join with the grid are by nation and year; a sample's name
+    is made once a sample."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))
     p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("gene_id"))
-    joined = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    cells = joined.groupBy("gene_id", F.concat_ws("|", "n_name", F.col("y").cast("string")).alias("sample_id")).agg(F.sum("l_quantity").alias("v"))
+    joined = li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    cells = joined.groupBy("gene_id", "nk", "y").agg(F.sum("l_quantity").alias("v"))
     genes = p.select("gene_id").distinct()
-    grid = genes.crossJoin(F.broadcast(samples(spark, sf_dir).select("sample_id", "platform")))  # the matrix itself is genes x samples
-    return grid.join(cells, ["gene_id", "sample_id"], "left").select("gene_id", "sample_id", "platform", F.coalesce("v", F.lit(0.0)).alias("value"))
+    grid = genes.crossJoin(F.broadcast(_keyed_samples(spark, sf_dir).select("nk", "y", "sample_id", "platform")))  # the matrix itself is genes x samples
+    return grid.join(cells, ["gene_id", "nk", "y"], "left").select("gene_id", "sample_id", "platform", F.coalesce("v", F.lit(0.0)).alias("value"))
 
 
 def target(expr: DataFrame) -> DataFrame:
