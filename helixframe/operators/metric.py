@@ -3,21 +3,23 @@
 Neighbours: points belong to the nearest of some pivots; a cell is asked only by points for which the triangle
 inequality cannot rule it out, given the distance of the k-th neighbour in their own block. Silhouettes: labels whose
 mean distance is bounded away from the least one by their moments are left out. Equal vectors are one vector with a
-count, so copies never meet each other. Blocks and asks of a block are dealt in parts of a bounded size.
+count, so copies never meet each other. Where the bounds rule out little, blocks meet in a square of tasks whose side is
+the number of groups of GROUP blocks: a point is moved so many times, not once a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stages import cut
 
-#: Points of a block, and points that ask a block together.
+#: Points of a block, and the blocks of a group; two groups meet in one task.
 BLOCK = 2000
+GROUP = 25
 #: A pivot for a quarter of a block of vectors, at most so many: they are sent to all tasks.
 MOST_PIVOTS = 1024
 #: Neighbours are compared by distances rounded to so many places, then by id.
@@ -30,11 +32,38 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """All distances; those within rounding of 0 are worked out anew from differences."""
+    d = _squares(p, q)
+    return np.sqrt(d, out=d)
+
+
+def _squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     pp, qq = (p * p).sum(1)[:, None], (q * q).sum(1)
-    d = pp + qq - 2 * p @ q.T
-    i, j = np.nonzero(d < 1e-6 * (pp + qq))
-    d[i, j] = ((p[i] - q[j]) ** 2).sum(1)
-    return np.sqrt(np.maximum(d, 0))
+    d = (-2 * p) @ q.T
+    d += pp
+    d += qq
+    if d.size and d.min() < 1e-6 * (pp.max() + qq.max()):
+        i, j = np.nonzero(d < 1e-6 * (pp + qq))
+        d[i, j] = ((p[i] - q[j]) ** 2).sum(1)
+        np.maximum(d, 0, out=d)
+    return d
+
+
+def _groups(df: DataFrame, n: int) -> int:
+    """Groups of at most GROUP blocks of ``n`` points; enough that all cores have pairs of them."""
+    return int(max(np.ceil(n / (GROUP * BLOCK)), np.ceil((2 * df.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
+
+
+def _every(groups: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+
+
+def _units(*keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each distinct combination of ``keys``."""
+    if not len(keys[0]):
+        return []
+    order = np.lexsort(keys)
+    new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return np.split(order, np.flatnonzero(new) + 1)
 
 
 def _lists(rows: list) -> pd.Series:
@@ -89,41 +118,117 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
         far[r["cell"]], sizes[r["cell"]] = r["far"], r["n"]
     own = cut(dealt.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts"))
     slack = 2 * 10.0**-PLACES
+    # blocks are dealt to groups in turn; reached[c, g]: cell c has a block in group g
+    groups = _groups(points, n)
+    parts = -(-sizes // BLOCK)
+    begin = np.cumsum(parts) - parts
+    reached = np.array([[(g - b) % groups < m for g in range(groups)] for b, m in zip(begin, parts)])
+
+    def bounds(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the pivots, and the least that a member of each cell can have: by its radius, or by the plane
+        between its pivot and the point's own."""
+        to = _distances(x, pivots)
+        least = np.maximum(to - far, (to - r[:, None]) / 2)
+        least[:, sizes == 0] = np.inf
+        return to, least
 
     def inside(f: pd.DataFrame) -> pd.DataFrame:
         x = _stack(f["embedding"])
         d = np.round(_distances(x, x), PLACES)
         best = _least(d, list(f["ids"]), list(f["labels"]), k)
         limit = np.array([b[0][-1] if len(b[0]) == k else np.inf for b in best])
-        # a cell is out of reach by its radius, or by the plane between its pivot and the point's own
-        to = _distances(x, pivots)
+        to, least = bounds(x, f["r"].to_numpy())
         for i in np.flatnonzero(limit == np.inf):  # a small block: so near are k vectors in any case
             most = np.where(sizes > 0, to[i] + far, np.inf)
             order = np.argsort(most)
             enough = np.flatnonzero(np.cumsum(sizes[order]) >= k)
             limit[i] = most[order[enough[0]]] if len(enough) else np.inf
-        least = np.maximum(to - far, (to - f["r"].to_numpy()[:, None]) / 2)
-        reach = (least <= limit[:, None] + slack) & (sizes > 0)
-        return pd.DataFrame({"rep": f["rep"].to_numpy(), "embedding": _lists(list(f["embedding"])), "cell": f["cell"].to_numpy(), "part": f["part"].to_numpy(), "found": _lists([b[0] for b in best]), "ids": _lists([b[1] for b in best]), "labels": _lists([b[2] for b in best]), "seen": len(f), "asks": _lists([np.flatnonzero(r) for r in reach])})
-
-    first = cut(own.groupBy("cell", "part").applyInPandas(inside, f"rep long, embedding array<double>, cell long, part long, {_NEAR}, asks array<long>"))
-    asks = first.select("rep", "embedding", "cell", "part", F.explode("asks").alias("to")).join(F.broadcast(cells.select(F.col("cell").alias("to"), "parts")), "to")
-    asks = asks.select("rep", "embedding", "cell", "part", "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("to_part")).filter("not (cell = to and part = to_part)")
-    asks = cut(asks.select("rep", "embedding", "to", "to_part"))
-    # many points can ask one block: they come in parts, and the block's points go to each
-    turns = asks.groupBy("to", "to_part").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
-    asking = asks.join(turns, ["to", "to_part"]).withColumn("turn", F.pmod(F.xxhash64("rep"), F.col("turns")))
-    asked = own.join(turns.withColumnRenamed("to", "cell").withColumnRenamed("to_part", "part"), ["cell", "part"])
-    asked = asked.select("ids", "labels", "embedding", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+        asks = (least <= limit[:, None] + slack) @ reached
+        group = int((begin[f["cell"].iloc[0]] + f["part"].iloc[0]) % groups)
+        return f.assign(group=group, limit=limit, found=_lists([b[0] for b in best]), near=_lists([b[1] for b in best]), theirs=_lists([b[2] for b in best]), seen=len(f), asks=_lists([np.flatnonzero(r) for r in asks]))
 
-    def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"rep": np.zeros(0, np.int64), "found": _lists([]), "ids": _lists([]), "labels": _lists([]), "seen": np.zeros(0, np.int64)})
-        best = _least(np.round(_distances(_stack(q["embedding"]), _stack(p["embedding"])), PLACES), list(p["ids"]), list(p["labels"]), k)
-        return pd.DataFrame({"rep": q["rep"].to_numpy(), "found": _lists([b[0] for b in best]), "ids": _lists([b[1] for b in best]), "labels": _lists([b[2] for b in best]), "seen": len(p)})
+    first = cut(own.groupBy("cell", "part").applyInPandas(inside, f"{shape}, cell long, r double, part long, group long, limit double, found array<double>, near array<long>, theirs array<int>, seen long, asks array<long>"))
+    asking = first.select("rep", "embedding", "cell", "part", "r", "limit", "found", "near", "theirs", "group", F.explode("asks").alias("to"))
+    # other names on this side: a cogroup of one table with itself mixes up columns that both sides share
+    asked = first.select(*[F.col(c).alias(f"p_{c}") for c in ("ids", "labels", "embedding", "cell", "part")], F.col("group").alias("p_to"), _every(groups).alias("p_group"))
 
-    more = asking.groupBy("to", "to_part", "turn").cogroup(asked.groupBy("cell", "part", "turn")).applyInPandas(answer, f"rep long, {_NEAR}")
-    return first.select("rep", "found", "ids", "labels", "seen").unionByName(more)
+    def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(p):
+            theirs = _stack(p["p_embedding"])
+            blocks = [_Block(p, theirs, at) for at in _units(p["p_part"].to_numpy(), p["p_cell"].to_numpy())]
+            for at in _units(q["part"].to_numpy(), q["cell"].to_numpy()):
+                f = q.iloc[at]
+                x = _stack(f["embedding"])
+                _, least = bounds(x, f["r"].to_numpy())
+                best = _Best(f, k)
+                # near cells first, so that limits fall early
+                for b in sorted(blocks, key=lambda b: least[:, b.cell].min()):
+                    if (b.cell, b.part) != (f["cell"].iloc[0], f["part"].iloc[0]):
+                        best.ask(x, np.flatnonzero(least[:, b.cell] <= best.limit + slack), b)
+                out.append(best.rows(f["rep"].to_numpy()))
+        return pd.concat(out) if out else pd.DataFrame({"rep": np.zeros(0, np.int64), "found": _lists([]), "ids": _lists([]), "labels": _lists([]), "seen": np.zeros(0, np.int64)})
+
+    more = asking.groupBy("group", "to").cogroup(asked.groupBy("p_group", "p_to")).applyInPandas(answer, f"rep long, {_NEAR}")
+    return first.select("rep", "found", F.col("near").alias("ids"), F.col("theirs").alias("labels"), "seen").unionByName(more)
+
+
+class _Block:
+    """Vectors of one block with their members."""
+
+    def __init__(self, f: pd.DataFrame, x: np.ndarray, at: np.ndarray):
+        self.cell, self.part, self.x = int(f["p_cell"].iloc[at[0]]), int(f["p_part"].iloc[at[0]]), x[at]
+        ids, labels = f["p_ids"].to_numpy()[at], f["p_labels"].to_numpy()[at]
+        self.count = np.array([len(i) for i in ids])
+        self.start = np.cumsum(self.count) - self.count
+        self.ids, self.labels = np.concatenate(ids).astype(np.int64), np.concatenate(labels).astype(np.int32)
+
+
+class _Best:
+    """The k nearest members so far of some points, by distance, then id; ``new`` are those of blocks that were asked."""
+
+    def __init__(self, f: pd.DataFrame, k: int):
+        self.k, self.limit, self.seen = k, f["limit"].to_numpy(float, copy=True), np.zeros(len(f), np.int64)
+        self.row = np.repeat(np.arange(len(f)), [len(d) for d in f["found"]])
+        self.d, self.id = np.concatenate(list(f["found"])).astype(float), np.concatenate(list(f["near"])).astype(np.int64)
+        self.label, self.new = np.concatenate(list(f["theirs"])).astype(np.int32), np.zeros(len(self.row), bool)
+
+    def ask(self, x: np.ndarray, rows: np.ndarray, block: _Block) -> None:
+        if not len(rows):
+            return
+        self.seen[rows] += len(block.x)
+        square = _squares(x[rows], block.x)
+        most = (self.limit[rows] + 10.0**-PLACES) ** 2
+        short = np.flatnonzero(np.bincount(self.row, minlength=len(x))[rows] < self.k)
+        if len(short) and square.shape[1] > self.k:  # without k members yet: k of this block are as near
+            kth = np.sqrt(np.partition(square[short], self.k - 1, axis=1)[:, self.k - 1])
+            most[short] = np.minimum(most[short], (kth + 10.0**-PLACES) ** 2)
+        i, j = np.nonzero(square <= most[:, None])
+        if not len(i):
+            return
+        n = block.count[j]
+        at = np.repeat(block.start[j] + n - np.cumsum(n), n) + np.arange(n.sum())
+        touched = np.zeros(len(x), bool)
+        touched[rows[i]] = True
+        own = touched[self.row]
+        row, new = np.append(self.row[own], np.repeat(rows[i], n)), np.append(self.new[own], np.ones(len(at), bool))
+        d = np.append(self.d[own], np.repeat(np.round(np.sqrt(square[i, j]), PLACES), n))
+        ident, label = np.append(self.id[own], block.ids[at]), np.append(self.label[own], block.labels[at])
+        order = np.lexsort((ident, d, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order], "left")
+        last = order[place == self.k - 1]
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], d[last])
+        order = order[place < self.k]
+        rest = ~own
+        self.row, self.d = np.append(self.row[rest], row[order]), np.append(self.d[rest], d[order])
+        self.id, self.label, self.new = np.append(self.id[rest], ident[order]), np.append(self.label[rest], label[order]), np.append(self.new[rest], new[order])
+
+    def rows(self, rep: np.ndarray) -> pd.DataFrame:
+        own = np.flatnonzero(self.new)
+        own = own[np.argsort(self.row[own], kind="stable")]
+        ends = np.searchsorted(self.row[own], np.arange(1, len(rep)))
+        each = lambda v: _lists(np.split(v[own], ends))
+        return pd.DataFrame({"rep": rep, "found": each(self.d), "ids": each(self.id), "labels": each(self.label), "seen": self.seen})
 
 
 def neighbours(points: DataFrame, k: int) -> DataFrame:

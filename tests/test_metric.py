@@ -72,3 +72,14 @@ def test_empty(spark):
     df = frame(spark, [], [])
     assert metric.label_shares(df, 3).count() == 0 and metric.silhouettes(df).count() == 0
     assert validation.silhouette(df).first().silhouette is None
+
+
+@pytest.mark.parametrize("of", [lambda df: metric.label_shares(df, 5), metric.silhouettes], ids=["neighbours", "silhouettes"])
+def test_a_kept_table_has_a_row_a_point_where_bounds_rule_out_nothing(spark, monkeypatch, of):
+    monkeypatch.setattr(metric, "BLOCK", 20)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16))
+    sizes, cut = [], metric.cut
+    monkeypatch.setattr(metric, "cut", lambda df: sizes.append((kept := cut(df)).count()) or kept)
+    assert of(frame(spark, x, rng.integers(0, 6, 600))).count() == 600
+    assert sizes and max(sizes) <= 600
