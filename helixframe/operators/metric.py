@@ -271,33 +271,35 @@ def silhouettes(points: DataFrame) -> DataFrame:
         return own.select("label", "embedding", "copies", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("seen"))
     means, spreads = np.stack([moments[c][1] for c in names]), np.array([moments[c][2] for c in names])
 
-    def ask(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            low = _distances(_stack(f["embedding"]), means)
-            high = np.sqrt(low**2 + spreads)
-            mine = f["label"].to_numpy()[:, None] == names
-            least = np.where(mine, np.inf, high).min(axis=1)
-            want = mine | (low <= least[:, None] * (1 + 1e-9) + 1e-9)
-            row, col = np.nonzero(want)
-            yield pd.DataFrame({"rep": f["rep"].to_numpy()[row], "label": f["label"].to_numpy()[row], "embedding": _lists(list(f["embedding"].to_numpy()[row])), "other": names[col]})
-
-    asks = cut(own.mapInPandas(ask, "rep long, label int, embedding array<double>, other int"))
-    turns = asks.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
-    parts = own.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).withColumnRenamed("label", "other")
-    sizes = F.broadcast(turns.join(parts, "other"))  # a row a label
-    count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = asks.join(sizes, "other").withColumn("turn", F.pmod(F.xxhash64("rep"), F.col("turns"))).select("rep", "label", "embedding", "other", "turn", count("parts").alias("part"))
-    right = own.withColumnRenamed("label", "other").join(sizes, "other").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).select("embedding", "copies", "other", "part", count("turns").alias("turn"))
+    def wanted(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+        low = _distances(x, means)
+        high = np.sqrt(low**2 + spreads)
+        mine = label[:, None] == names
+        least = np.where(mine, np.inf, high).min(axis=1)
+        return mine | (low <= least[:, None] * (1 + 1e-9) + 1e-9)
+
+    groups = _groups(points, own.count())
+    dealt = own.withColumn("group", F.pmod(F.xxhash64("label", "rep"), F.lit(groups)))
+    left = dealt.select("rep", "label", "embedding", "group", _every(groups).alias("to"))
+    right = dealt.select(F.col("label").alias("other"), F.col("embedding").alias("p_embedding"), F.col("copies").alias("p_copies"), F.col("group").alias("p_to"), _every(groups).alias("p_group"))
 
     def add(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"rep": np.zeros(0, np.int64), "label": np.zeros(0, np.int32), "other": np.zeros(0, np.int32), "sum": np.zeros(0), "seen": np.zeros(0, np.int64)})
-        d = _distances(_stack(q["embedding"]), _stack(p["embedding"])) @ p["copies"].to_numpy(float)
-        return pd.DataFrame({"rep": q["rep"].to_numpy(), "label": q["label"].to_numpy(), "other": q["other"].to_numpy(), "sum": d, "seen": len(p)})
-
-    sums = left.groupBy("other", "turn", "part").cogroup(right.groupBy("other", "turn", "part")).applyInPandas(add, "rep long, label int, other int, sum double, seen long")
+        out = []
+        if len(q) and len(p):
+            theirs, copies = _stack(p["p_embedding"]), p["p_copies"].to_numpy(float)
+            blocks = [(p["other"].iloc[at[0]], [(theirs[i], copies[i]) for i in np.array_split(at, -(-len(at) // BLOCK))]) for at in _units(p["other"].to_numpy())]
+            for start in range(0, len(q), BLOCK):
+                f = q.iloc[start : start + BLOCK]
+                x, label = _stack(f["embedding"]), f["label"].to_numpy()
+                want = wanted(x, label)
+                for other, parts in blocks:
+                    rows = np.flatnonzero(want[:, np.searchsorted(names, other)])
+                    if len(rows):
+                        total = sum(_distances(x[rows], y) @ c for y, c in parts)
+                        out.append(pd.DataFrame({"rep": f["rep"].to_numpy()[rows], "label": label[rows], "other": other, "sum": total, "seen": sum(len(c) for _, c in parts)}))
+        return pd.concat(out) if out else pd.DataFrame({"rep": np.zeros(0, np.int64), "label": np.zeros(0, np.int32), "other": np.zeros(0, np.int32), "sum": np.zeros(0), "seen": np.zeros(0, np.int64)})
+
+    sums = left.groupBy("group", "to").cogroup(right.groupBy("p_group", "p_to")).applyInPandas(add, "rep long, label int, other int, sum double, seen long")
     totals = F.broadcast(points.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n")))
     each = sums.groupBy("rep", "label", "other").agg(F.sum("sum").alias("sum"), F.sum("seen").alias("seen")).join(totals, "other")
     same = F.col("label") == F.col("other")
