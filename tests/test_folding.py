@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,20 @@ def test_energy_by_region(spark):
         per = [e / len(s) for e, s in zip(fo.least_energies(own), own)]
         assert got[region].n == len(own) and got[region].min == pytest.approx(min(per)) and got[region].mean == pytest.approx(sum(per) / len(per))
     assert Q.energy_by_region(d.filter(F.lit(False)), {"5'UTR": "utr5"}).count() == 0
+
+
+def test_short_numbers_give_the_energies_of_long_ones():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        codes = rng.choice(5, size=(3, int(rng.integers(2, 90))), p=[0.2, 0.3, 0.3, 0.15, 0.05]).astype(np.int8)
+        own, long = fo._closed(codes, 60), fo._closed(codes, 60, short=False)
+        assert own.dtype == np.int16
+        pairs = long < fo.INF // 2
+        assert (own[pairs] == long[pairs]).all() and (own[~pairs] >= fo.SHORT_INF).all()
+
+
+def test_helices_too_low_for_short_numbers():
+    deep = "G" * 95 + "AAAA" + "C" * 95  # 94 stacks of -330 and a hairpin loop of four
+    with pytest.raises(fo._TooLow):
+        fo._closed(fo.CODES[np.frombuffer(deep.encode(), np.uint8)][None], 200)
+    assert fo.least_energies([deep]) == [-304.6]
