@@ -228,7 +228,11 @@ def fit_models(df: DataFrame, features: list[str], target: str, key: str = "id",
 
 
 def _at_medians(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.agg(*[F.median(f).alias(f) for f in features], *[F.min(f).alias(f"_lo_{f}") for f in features], *[F.max(f).alias(f"_hi_{f}") for f in features])
+    """One row: each feature's exact median, least and largest value."""
+    own = cut(df.select(*[F.col(f).cast("double").alias(f) for f in features]))
+    medians = quantiles(own.unpivot([], features, "_f", "_x"), "_x", [0.5], "_f").agg(*[F.max(F.when(F.col("_f") == f, F.col("q")[0])).alias(f) for f in features])
+    ends = own.agg(*[F.min(f).alias(f"_lo_{f}") for f in features], *[F.max(f).alias(f"_hi_{f}") for f in features])
+    return cut(medians.crossJoin(F.broadcast(ends)))  # the grids read it several times
 
 
 def _grid(name: str, steps: int) -> F.Column:

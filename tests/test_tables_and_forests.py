@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from helixframe.operators import association, features, ranking
+from helixframe.operators import association, features, modelling, ranking
 from helixframe.plans import analyses, plotdata
 
 
@@ -64,3 +64,18 @@ def test_one_fit_serves_the_model_queries(spark, monkeypatch):
     assert np.allclose(predicted["ensemble"], (predicted["ridge"] + predicted["gbr"]) / 2, atol=2e-6)
     assert np.allclose(predicted["error"], predicted["ensemble"] - predicted["GC3_content"], atol=2e-6)
     assert analyses.model_importance(spark, sf).count() == len(analyses.OTHERS) and len(calls) == 1
+
+
+def test_grids_start_from_selected_medians(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("a median's buffer holds all values in one task")
+
+    monkeypatch.setattr(modelling.F, "median", whole)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=501), [None if i % 7 == 0 else float(i % 50) for i in range(501)]
+    df = spark.createDataFrame([(float(x), y, None) for x, y in zip(a, b)], "a double, b double, c double")
+    row = modelling._at_medians(df, ["a", "b", "c"]).collect()
+    left = [y for y in b if y is not None]
+    assert len(row) == 1 and row[0].a == np.median(a) and row[0].b == np.median(left) and row[0].c is None
+    assert (row[0]._lo_a, row[0]._hi_a, row[0]._lo_b, row[0]._hi_b) == (a.min(), a.max(), min(left), max(left))
+    assert modelling._at_medians(df.limit(0), ["a"]).first().a is None
