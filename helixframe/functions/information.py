@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +22,15 @@ from .stages import cut
 UNIT = 1 << 44
 #: Largest noise, in coordinates: about 2e-10 of a deviation.
 NOISE = 1 << 12
-#: Points that a cell has about, and the most strips (and cells in a strip) of one group.
+#: Points that a cell has about, and how many cells' points a range of an axis has.
 CELL = 20_000
-MOST_STRIPS = 128
-#: Groups times cells whose borders are sent to all tasks; more groups get fewer cells each.
+RANGE = 5
+#: Cells of all groups, whose borders are sent to all tasks; more groups get fewer cells each.
 MOST_CELLS = 1 << 18
+#: Points of one group on which borders are laid, at most; a 64th of it is the most cells of a group.
+MOST_SAMPLE = 1 << 18
+#: Roles of a row in a range: counted there, counted there and elsewhere, asks only.
+ALONE, SHARED, ASKS = 0, 1, 2
 
 
 def coordinates(v: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -73,166 +76,268 @@ def _integers(rows: DataFrame, group: str, x: str, y: str, key: str) -> DataFram
     return own.join(F.broadcast(s), "g").select("g", "id", whole("x", "mx", "sx", "x").alias("a"), whole("y", "my", "sy", "y").alias("b"))
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores by a hash of ``key``: searching takes far longer than moving a row, however few bytes there are."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def _by_group(g: pd.Series) -> Iterator[tuple[object, np.ndarray]]:
+    """(group, places of its rows in the column)."""
+    codes, names = pd.factorize(g)
+    order = np.argsort(codes, kind="stable")
+    yield from zip(names, np.split(order, np.searchsorted(codes[order], np.arange(1, len(names)))), strict=True)
+
+
+def _tree(a: np.ndarray, b: np.ndarray, leaves: int, k: int) -> tuple[list[int], list[int], list[int]]:
+    """axis (-1: a leaf), cut and upper child of the nodes of a tree with ``leaves`` leaves, in preorder.
+
+    A node is cut, along either axis, where the fewest squares of the points' k-th distances lie over the cut: not
+    through equal values, which only their noise tells apart, nor across a side that is narrower than the distances.
+    """
+    d = np.minimum(nearest_others(a, b, k)[0][:, k - 1], FAR // 4)
+    axis, cuts, upper = [], [], []
+    todo = [(np.arange(len(a)), leaves, -1)]
+    while todo:
+        own, want, parent = todo.pop()
+        if parent >= 0:
+            upper[parent] = len(axis)
+        best = None
+        for ax, c in enumerate((a, b) if want > 1 and len(own) > 1 else ()):
+            v = np.sort(c[own])
+            at = np.unique(v[np.unique((len(v) * np.linspace(0.25, 0.75, 17)).astype(int))])
+            at = at[at > v[0]]
+            over = np.searchsorted(np.sort(c[own] - d[own]), at, "left") - np.searchsorted(np.sort(c[own] + d[own]), at, "left")
+            below = np.searchsorted(v, at, "left")
+            cost = over + 0.05 * np.abs(below - len(v) / 2)
+            if len(at) and (best is None or cost.min() < best[0]):
+                i = int(cost.argmin())
+                best = (cost[i], ax, int(at[i]), below[i] / len(v))
+        axis.append(-1 if best is None else best[1])
+        cuts.append(0 if best is None else best[2])
+        upper.append(-1)
+        if best is not None:
+            low = (a, b)[best[1]][own] < best[2]
+            first = min(want - 1, max(1, round(want * best[3])))
+            todo += [(own[~low], want - first, len(axis) - 1), (own[low], first, -1)]
+    return axis, cuts, upper
+
+
+def _grid(v: np.ndarray, parts: int) -> list[int]:
+    """Borders of about ``parts`` equal ranges; where equal values fill several, also borders beside their noise."""
+    at = np.unique(np.quantile(v, np.arange(1, parts) / parts, method="nearest").astype(np.int64)) if parts > 1 else np.zeros(0, np.int64)
+    close = np.flatnonzero(np.diff(at) <= 2 * NOISE)
+    return np.unique(np.concatenate([at, at[close] - 2 * NOISE - 1, at[close + 1] + 2 * NOISE + 1])).tolist()
+
+
 class _Cells:
-    """Strips of a group along a, each cut into cells along b. ``along``: the strips' lower borders but the first;
-    ``across``: the same of each strip's cells."""
-
-    def __init__(self, along: list[int], across: list[list[int]]):
-        self.along = np.array(along, np.int64)
-        self.across = [np.array(c, np.int64) for c in across]
-        self.first = np.append(0, np.cumsum([len(c) + 1 for c in self.across]))
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        strip = np.searchsorted(self.along, a, "right")
-        out = np.zeros(len(a), np.int64)
-        for s in np.unique(strip):
-            own = strip == s
-            out[own] = self.first[s] + np.searchsorted(self.across[s], b[own], "right")
-        return out
-
-    def touched(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, cell): the cells that the square of half side d around each point meets."""
-        lo, hi = np.searchsorted(self.along, a - d, "right"), np.searchsorted(self.along, a + d, "right")
-        point = np.repeat(np.arange(len(a)), hi - lo + 1)
-        strip = np.arange(len(point)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[point]
+    """The cells of all groups, numbered through: trees of cuts along a or b, and each axis' ranges of values."""
+
+    def __init__(self, trees: list):
+        self.root, self.ranges, at = {}, {}, 0
+        for t in trees:
+            self.root[t["g"]] = at
+            self.ranges[t["g"]] = tuple(np.array(t[c], np.int64) for c in ("along", "across"))
+            at += len(t["axis"])
+        whole = lambda c: np.concatenate([np.array(t[c], np.int64) for t in trees])
+        self.axis, self.cut, self.upper = whole("axis"), whole("cuts"), whole("upper")
+        self.upper += np.repeat(list(self.root.values()), [len(t["axis"]) for t in trees])
+
+    def of(self, g: pd.Series, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        node = g.map(self.root).to_numpy(np.int64)
+        while (inner := np.flatnonzero(self.axis[node] >= 0)).size:
+            at = node[inner]
+            v = np.where(self.axis[at] == 0, a[inner], b[inner])
+            node[inner] = np.where(v < self.cut[at], at + 1, self.upper[at])
+        return node
+
+    def touched(self, g: object, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell): the cells that the square of half side d around each point of a group meets."""
+        point, node = np.arange(len(a)), np.full(len(a), self.root[g])
         p, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in np.unique(strip):
-            own = point[strip == s]
-            under, over = np.searchsorted(self.across[s], b[own] - d[own], "right"), np.searchsorted(self.across[s], b[own] + d[own], "right")
-            m = over - under + 1
-            p.append(np.repeat(own, m))
-            c.append(self.first[s] + np.repeat(under, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
+        while len(point):
+            leaf = self.axis[node] < 0
+            p.append(point[leaf])
+            c.append(node[leaf])
+            point, node = point[~leaf], node[~leaf]
+            v, cut_ = np.where(self.axis[node] == 0, a[point], b[point]), self.cut[node]
+            low, high = v - d[point] < cut_, v + d[point] >= cut_
+            point, node = np.concatenate([point[low], point[high]]), np.concatenate([node[low] + 1, self.upper[node[high]]])
         return np.concatenate(p), np.concatenate(c)
 
 
-def _borders(df: DataFrame, by: list[str], value: str, parts: str) -> DataFrame:
-    """by, cuts: at most MOST_STRIPS - 1 borders of about equal parts; they need not be exact."""
-    grid = F.percentile_approx(value, F.array(*[F.lit(i / MOST_STRIPS) for i in range(1, MOST_STRIPS)]), F.lit(2000))
-    own = df.groupBy(*by).agg(grid.alias("all"), F.max(parts).alias("parts"))
-    picked = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("all", (i * MOST_STRIPS / F.col("parts")).cast("int") - 1))
-    return own.select(*by, F.array_sort(F.array_distinct(F.when(F.col("parts") > 1, picked).otherwise(F.array().cast("array<bigint>")))).alias("cuts"))
-
-
-def _partition(points: DataFrame) -> dict:
-    """The cells of every group: borders only, at most MOST_CELLS over all groups, so they fit the driver and the tasks."""
-    counts = points.groupBy("g").agg(F.count("*").alias("n"))
-    groups = max(1, counts.count())
-    most = max(1, min(MOST_STRIPS, int((MOST_CELLS / groups) ** 0.5)))
-    sized = counts.select("g", F.least(F.greatest(F.ceil(F.sqrt(F.col("n") / CELL)), F.lit(1)), F.lit(most)).cast("int").alias("parts"))
-    dealt = points.join(F.broadcast(sized), "g")
-    along = _borders(dealt, ["g"], "a", "parts")
-    strips = dealt.join(F.broadcast(along), "g").withColumn("strip", F.size(F.filter("cuts", lambda c: c <= F.col("a"))))
-    rows = _borders(strips, ["g", "strip"], "b", "parts").join(F.broadcast(along.withColumnRenamed("cuts", "along")), "g").collect()
-    cells: dict = {}
-    for r in rows:
-        along_, across = cells.setdefault(r["g"], (list(r["along"]), {}))
-        across[r["strip"]] = list(r["cuts"])
-    return {g: _Cells(a, [c.get(s, []) for s in range(len(a) + 1)]) for g, (a, c) in cells.items()}
-
-
-def _lists(arrays: list[np.ndarray]) -> pd.Series:
+def _partition(points: DataFrame, sizes: DataFrame, kind: str, k: int) -> _Cells:
+    """The cells of every group, of about CELL points, and ranges of about RANGE * CELL.
+
+    Borders only say which task has which points, every point counts wherever they are: so they are laid on some points
+    of each group, at most MOST_SAMPLE, and only borders come to the driver, at most MOST_CELLS over all groups.
+    """
+    most = max(1, min(MOST_SAMPLE // 64, MOST_CELLS // max(1, sizes.count())))
+    parts = sizes.withColumn("leaves", F.least(F.ceil(F.col("n") / CELL), F.lit(most)).cast("int"))
+    parts = parts.withColumn("share", F.least(F.greatest(F.col("leaves") * 256, F.lit(1 << 13)), F.lit(MOST_SAMPLE)) / F.col("n"))
+    some = points.join(F.broadcast(parts), "g").filter(F.pmod(F.xxhash64(F.lit("border"), F.col("id").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+    def lay(f: pd.DataFrame) -> pd.DataFrame:
+        a, b, leaves = f["a"].to_numpy(), f["b"].to_numpy(), int(f["leaves"].iloc[0])
+        tree, ranges = _tree(a, b, leaves, k), -(-leaves // RANGE)
+        return pd.DataFrame({"g": f["g"].head(1), **{n: _lists([v]) for n, v in zip(("axis", "cuts", "upper", "along", "across"), (*tree, _grid(a, ranges), _grid(b, ranges)), strict=True)}})
+
+    laid = some.select("g", "a", "b", "leaves").groupBy("g").applyInPandas(lay, f"g {kind}, axis array<long>, cuts array<long>, upper array<long>, along array<long>, across array<long>")
+    trees = {t["g"]: t for t in laid.collect()}
+    none = {"axis": [-1], "cuts": [0], "upper": [-1], "along": [], "across": []}  # no row was taken: one cell
+    return _Cells([trees.get(r["g"], none | {"g": r["g"]}) for r in sizes.select("g").collect()])
+
+
+def _lists(arrays: list) -> pd.Series:
     """A column of arrays, of lists even where there are none."""
-    return pd.Series(arrays, dtype=object)
+    return pd.Series(arrays, index=range(len(arrays)), dtype=object)
 
 
-def _kth(points: DataFrame, cells: dict, kind: str, key: str, k: int) -> DataFrame:
+def _kth(points: DataFrame, cells: _Cells, kind: str, key: str, k: int) -> DataFrame:
     """g, id, a, b, eps: the distance of every point to its k-th nearest other point of the group.
 
     Each cell finds the k nearest of its own points; where the square so far found leaves the cell, the point asks the
-    cells that it meets, and the least k of all answers count.
+    cells that it meets, and the least k of all answers count. Only points that ask are moved for it.
     """
     shape = f"g {kind}, id {key}, a long, b long"
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for g, part in f.groupby("g", sort=False):
-                yield part.assign(cell=cells[g].of(part["a"].to_numpy(), part["b"].to_numpy()))
+            yield f.assign(cell=cells.of(f["g"], f["a"].to_numpy(), f["b"].to_numpy()))
 
-    dealt = cut(points.mapInPandas(deal, f"{shape}, cell long"))
+    dealt = cut(_dealt(points.mapInPandas(deal, f"{shape}, cell long"), "cell"))
 
     def own(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f["a"].to_numpy(), f["b"].to_numpy()
         d, _ = nearest_others(a, b, k)
         far = np.minimum(d[:, k - 1], FAR // 4)
-        point, cell = cells[f["g"].iloc[0]].touched(a, b, far)
+        point, cell = cells.touched(f["g"].iloc[0], a, b, far)
         other = cell != f["cell"].iloc[0]
         point, cell = point[other], cell[other]
         order = np.argsort(point, kind="stable")
-        asks = np.split(cell[order], np.searchsorted(point[order], np.arange(1, len(f))))
-        return f[["g", "id", "a", "b"]].reset_index(drop=True).assign(found=_lists(list(d)), asks=_lists(asks))
+        asking, first = np.unique(point[order], return_index=True)
+        found, asks = np.full(len(f), None, object), np.full(len(f), None, object)
+        for i, c in zip(asking, np.split(cell[order], first[1:]), strict=False):
+            found[i], asks[i] = d[i], c
+        return f[["g", "id", "a", "b"]].reset_index(drop=True).assign(eps=d[:, k - 1], found=found, asks=asks)
 
-    local = cut(dealt.groupBy("g", "cell").applyInPandas(own, f"{shape}, found array<long>, asks array<long>"))
-    asks = local.filter(F.size("asks") > 0).select("g", "id", "a", "b", F.element_at("found", k).alias("far"), F.explode("asks").alias("cell"))
+    local = cut(_dealt(dealt, "cell").groupBy("cell").applyInPandas(own, f"{shape}, eps long, found array<long>, asks array<long>"))
+    border = local.filter("asks is not null")
+    asks = border.select("g", "id", "a", "b", "eps", F.explode("asks").alias("cell"))
 
     def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return q[["g", "id"]].head(0).assign(found=_lists([]))
         tree = KdTree(p["a"].to_numpy(), p["b"].to_numpy())
-        d = tree.nearest(q["a"].to_numpy(), q["b"].to_numpy(), k, q["far"].to_numpy())
-        some = d[:, 0] < q["far"].to_numpy()
+        d = tree.nearest(q["a"].to_numpy(), q["b"].to_numpy(), k, q["eps"].to_numpy())
+        some = d[:, 0] < q["eps"].to_numpy()
         return q.loc[some, ["g", "id"]].reset_index(drop=True).assign(found=_lists(list(d[some])))
 
-    more = asks.groupBy("g", "cell").cogroup(dealt.groupBy("g", "cell")).applyInPandas(answer, f"g {kind}, id {key}, found array<long>")
-    more = more.groupBy("g", "id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k).alias("more"))
-    both = F.sort_array(F.concat("found", F.coalesce("more", F.array().cast("array<bigint>"))))
-    return local.join(more, ["g", "id"], "left").select("g", "id", "a", "b", F.element_at(both, k).alias("eps"))
+    more = asks.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInPandas(answer, f"g {kind}, id {key}, found array<long>")
+    every = border.select("g", "id", "a", "b", "found").unionByName(more, allowMissingColumns=True)
+    least = F.element_at(F.sort_array(F.flatten(F.collect_list("found"))), k)
+    met = every.groupBy("g", "id").agg(F.max("a").alias("a"), F.max("b").alias("b"), least.alias("eps"))
+    return local.filter("asks is null").select("g", "id", "a", "b", "eps").unionByName(met)
+
 
+def _range_sizes(points: DataFrame, cells: _Cells, kind: str) -> dict:
+    """(g, axis): least and largest value of each range, how many points it has, and how many are in those before it."""
 
-def _counts(eps: DataFrame, cells: dict, kind: str) -> DataFrame:
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g, rows in _by_group(f["g"]):
+                for axis, name in enumerate(("a", "b")):
+                    v = f[name].to_numpy()[rows]
+                    v = pd.Series(v).groupby(np.searchsorted(cells.ranges[g][axis], v, "right")).agg(["min", "max", "size"])
+                    yield pd.DataFrame({"g": g, "axis": axis, "range": v.index, "low": v["min"], "high": v["max"], "c": v["size"]})
+
+    rows = points.select("g", "a", "b").mapInPandas(measure, f"g {kind}, axis int, range long, low long, high long, c long")
+    out = {}
+    for g, cuts in cells.ranges.items():
+        for axis in (0, 1):
+            m = len(cuts[axis]) + 1
+            out[g, axis] = [np.full(m, FAR), np.full(m, -FAR), np.zeros(m, np.int64), np.zeros(m, np.int64)]
+    for r in rows.groupBy("g", "axis", "range").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c")).collect():  # a row a range
+        for column, v in zip(out[r["g"], r["axis"]], (r["low"], r["high"], r["c"]), strict=False):
+            column[r["range"]] = v
+    for columns in out.values():
+        columns[3] = np.cumsum(columns[2]) - columns[2]
+    return out
+
+
+def _counts(eps: DataFrame, cells: _Cells, kind: str) -> DataFrame:
     """g, m, times: how many points have m points (itself counts) nearer than eps on an axis, both axes together.
 
-    A count is the difference of two ranks. Axes are cut into ranges of values; a bound is ranked in its range, and the
-    points in the ranges before are added. Rows at one place of an axis are one row with a count, so ties don't meet.
+    Axes are cut into ranges of values. A point is counted in its own range; of the ranges beyond, sizes are known, and
+    only where a bound lies among the values of another range the point asks that one.
     """
-    cuts = {}
-    for g, c in cells.items():
-        rest = np.concatenate(c.across) if len(c.across) > 1 else np.zeros(0, np.int64)
-        picked = np.unique(np.quantile(rest, np.linspace(0, 1, len(c.along) + 1), method="nearest")) if len(rest) else rest
-        cuts[g] = (c.along, picked.astype(np.int64))
+    sizes = _range_sizes(eps, cells, kind)
+    first = dict(zip(sizes, np.cumsum([0] + [len(s[0]) for s in sizes.values()]).tolist(), strict=False))
 
     def bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for g, part in f.groupby("g", sort=False):
+            out = []
+            for g, rows in _by_group(f["g"]):
+                e = np.maximum(f["eps"].to_numpy()[rows], 1)  # points at one place count each other
+                row = f["_row"].to_numpy()[rows]
                 for axis, name in enumerate(("a", "b")):
-                    v, e = part[name].to_numpy(), part["eps"].to_numpy()
-                    e = np.maximum(e, 1)  # points at one place count each other
+                    v, cuts, at = f[name].to_numpy()[rows], cells.ranges[g][axis], first[g, axis]
+                    low, high, c, before = sizes[g, axis]
+                    home, base, asking = np.searchsorted(cuts, v, "right"), np.zeros(len(v), np.int64), np.zeros(len(v), bool)
+                    ends = []
                     # points under the upper bound less those up to the lower one
-                    for side, at in ((0, v), (1, v + e), (-1, v - e + 1)):
-                        yield pd.DataFrame({"g": g, "axis": axis, "range": np.searchsorted(cuts[g][axis], at, "right"), "at": at, "side": side, "id": part["_row"]})
-
-    numbered = eps.withColumn("_row", F.monotonically_increasing_id())
-    marks = cut(numbered.select("g", "_row", "a", "b", "eps").mapInPandas(bounds, f"g {kind}, axis int, range long, at long, side int, id long"))
-    places = marks.filter("side = 0").groupBy("g", "axis", "range", "at").agg(F.count("*").alias("c"))
-    asked = marks.filter("side <> 0").groupBy("g", "axis", "range", "at").agg(F.count("*").alias("n_"))
-    both = places.select("*", F.lit(0).alias("q")).unionByName(asked.select("g", "axis", "range", "at", F.lit(0).cast("long").alias("c"), F.lit(1).alias("q")))
-    sizes = places.groupBy("g", "axis", "range").agg(F.sum("c").alias("c"))
-    before = sizes.select("g", "axis", "range", F.coalesce(F.sum("c").over(W.partitionBy("g", "axis").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), "c")
-    # ranges without points have bounds too
-    last = before.groupBy("g", "axis").agg(F.sort_array(F.collect_list(F.struct("range", "before", "c"))).alias("all"))
-    under = F.coalesce(F.sum("c").over(W.partitionBy("g", "axis", "range").orderBy("at", F.desc("q")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    earlier = F.aggregate(F.filter("all", lambda r: r["range"] < F.col("range")), F.lit(0).cast("long"), lambda s, r: s + r["c"])
-    ranks = both.withColumn("under", under).filter("q = 1").join(F.broadcast(last), ["g", "axis"]).select("g", "axis", "range", "at", (F.col("under") + earlier).alias("rank"))
-    each = marks.filter("side <> 0").join(ranks, ["g", "axis", "range", "at"]).groupBy("g", "axis", "id").agg(F.sum(F.col("rank") * F.col("side")).alias("m"))
-    return each.groupBy("g", "m").agg(F.count("*").alias("times"))
+                    for sign, bound in ((1, v + e), (-1, v - e + 1)):
+                        there = np.searchsorted(cuts, bound, "right")
+                        away = there != home
+                        ends.append(np.where(away, sign * FAR, bound))
+                        within = away & (bound > low[there]) & (bound <= high[there])
+                        # ranges between, and the bound's own where it lies above all values there
+                        known = before[there] + np.where(~within & (bound > high[there]), c[there], 0)
+                        base += np.where(away, sign * (known - before[home] - (c[home] if sign > 0 else 0)), 0)
+                        asking |= within
+                        if within.any():
+                            b, none = bound[within], np.full(within.sum(), -FAR)
+                            out.append((g, axis, at + there[within], b, b if sign > 0 else none, none if sign > 0 else b, np.zeros(len(b), np.int64), row[within], np.full(len(b), ASKS)))
+                    out.append((g, axis, at + home, v, *ends, base, row, np.where(asking, SHARED, ALONE)))
+            if out:
+                names = ("place", "at", "up", "down", "base", "row", "role")
+                sizes_ = [len(o[2]) for o in out]
+                group = pd.Series([o[0] for o in out]).repeat(sizes_).reset_index(drop=True)
+                yield pd.DataFrame({"g": group, "axis": np.repeat([o[1] for o in out], sizes_), **{n: np.concatenate([o[i] for o in out]) for i, n in enumerate(names, 2)}})
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        role = f["role"].to_numpy()
+        v = np.sort(f["at"].to_numpy()[role != ASKS])
+        m = np.searchsorted(v, f["up"].to_numpy(), "left") - np.searchsorted(v, f["down"].to_numpy(), "left") + f["base"].to_numpy()
+        whole, times = np.unique(m[role == ALONE], return_counts=True)
+        rest = f["row"].to_numpy()[role != ALONE]
+        return pd.DataFrame({"axis": f["axis"].iloc[0], "row": np.append(np.full(len(whole), -1), rest), "m": np.append(whole, m[role != ALONE]), "times": np.append(times, np.ones(len(rest), np.int64))}).assign(g=f["g"].iloc[0])
+
+    numbered = eps.withColumn("_row", F.monotonically_increasing_id()).select("g", "_row", "a", "b", "eps")
+    marks = numbered.mapInPandas(bounds, f"g {kind}, axis int, place long, at long, up long, down long, base long, row long, role int")
+    counted = cut(_dealt(marks, "place").groupBy("place").applyInPandas(count, f"g {kind}, axis int, row long, m long, times long"))
+    shared = counted.filter("row >= 0").groupBy("g", "axis", "row").agg(F.sum("m").alias("m")).select("g", "m", F.lit(1).cast("long").alias("times"))
+    return counted.filter("row < 0").select("g", "m", "times").unionByName(shared).groupBy("g", "m").agg(F.sum("times").alias("times"))
 
 
 def mutual_information(rows: DataFrame, group: str, x: str, y: str, key: str, k: int = 3) -> DataFrame:
     """``group`` and mi, the estimate in nats between ``x`` and ``y`` over all rows of each value of ``group``.
 
     ``key`` is unique within a group. Rows with a null or NaN in x or y don't count; a group with at most k others has 0.
-    Cells hold about CELL points, or more where a group has over CELL * MOST_STRIPS^2.
+    Cells hold about CELL points, or more where a group has over CELL * MOST_SAMPLE / 64.
     """
     kind, ident = dict(rows.dtypes)[group], dict(rows.dtypes)[key]
     points = cut(_integers(rows, group, x, y, key))
     sizes = cut(points.groupBy("g").agg(F.count("*").alias("n")))
     # a group that fits one cell is estimated there; the value is the same as by steps
     whole = lambda f: pd.DataFrame({"g": f["g"].head(1), "mi": [_estimate(f["a"].to_numpy(), f["b"].to_numpy(), k)]})
-    small = points.join(F.broadcast(sizes.filter(F.col("n") <= CELL)), "g", "left_semi").groupBy("g").applyInPandas(whole, f"g {kind}, mi double")
+    small = points.join(F.broadcast(sizes.filter(F.col("n") <= CELL)), "g", "left_semi")
+    small = _dealt(small, "g").groupBy("g").applyInPandas(whole, f"g {kind}, mi double")
     wide = sizes.filter(F.col("n") > CELL)
     if not wide.limit(1).count():
         return small.withColumnRenamed("g", group)
     many = points.join(F.broadcast(wide), "g", "left_semi")
-    cells = _partition(many)
+    cells = _partition(many, wide, kind, k)
     terms = _counts(cut(_kth(many, cells, kind, ident, k)), cells, kind).groupBy("g").agg(F.sum(_digamma(F.col("m").cast("double")) * F.col("times")).alias("t"))
     mi = F.greatest(F.lit(0.0), _digamma(F.lit(float(k))) + _digamma(F.col("n").cast("double")) - F.col("t") / F.col("n"))
     return small.unionByName(wide.join(terms, "g").select("g", mi.alias("mi"))).withColumnRenamed("g", group)

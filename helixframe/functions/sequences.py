@@ -25,7 +25,7 @@ UTR3_MOTIFS = {"Polyadenylation Signal": POLY_A, "AU-rich Element": ARE, "miRNA
 
 def gc_percent(seq: str) -> Column:
     """G, C and S among the letters GCSATUW; null if there are none."""
-    strong, all_ = F.length(F.regexp_replace(seq, "[^GCS]", "")), F.length(F.regexp_replace(seq, "[^GCSATUW]", ""))
+    strong, all_ = F.length(F.regexp_replace(seq, "[^GCS]+", "")), F.length(F.regexp_replace(seq, "[^GCSATUW]+", ""))
     return strong * 100.0 / F.nullif(all_, F.lit(0))
 
 

@@ -70,7 +70,8 @@ def regional_significance(df: DataFrame, features: list[str], targets: list[str]
 def interactions(df: DataFrame, features: list[str], key: str, information: bool = True) -> DataFrame:
     """Spearman of every pair of features over rows that have all of them, and the pair's mutual information, by which
     pairs are then sorted."""
-    whole = cut(df.dropna(subset=features).select(key, *features))
+    # nulls are dropped afterwards: a filter would go below the features and make each twice
+    whole = cut(df.select(key, *features)).dropna(subset=features)
     ranked = spread_rank(long_features(whole, features, [key]), "x", "r", "feature")
     wide = ranked.groupBy(key).pivot("feature", features).agg(F.first("r"))
     pairs = list(combinations(features, 2))

@@ -72,6 +72,39 @@ def test_equals_all_pairs_on_hard_shapes(spark, monkeypatch):
     assert information.mutual_information(df.limit(0), "g", "x", "y", "id").count() == 0
 
 
+def test_equal_values_do_not_make_points_ask_everywhere(spark, monkeypatch):
+    """Strips through equal values, which only their noise tells apart, had every point ask all strips."""
+    monkeypatch.setattr(information, "CELL", 60)
+    rng = np.random.default_rng(3)
+    n = 6000
+    y, few = rng.normal(size=n), rng.integers(0, 3, n)
+    groups = {"one value": (np.full(n, 60.0), y), "few values": (y, few), "mostly zero": (np.where(rng.random(n) < 0.7, 0.0, rng.random(n) + 1), y)}
+    df = table(spark, groups)
+    points = information._integers(df, "g", "x", "y", "id").cache()
+    cells = information._partition(points, points.groupBy("g").count().withColumnRenamed("count", "n"), "string", 3)
+    for g, f in points.toPandas().groupby("g"):
+        a, b = f["a"].to_numpy(), f["b"].to_numpy()
+        cell = cells.of(f["g"], a, b)
+        assert np.bincount(cell).max() < 4 * 60
+        d = nearest_others(a, b, 3)[0][:, 2]
+        point, _ = cells.touched(g, a, b, d)
+        assert len(point) < 1.6 * n, g
+        # every other point within the square lies in a cell that is asked
+        own = np.flatnonzero(rng.random(n) < 0.02)
+        point, asked = cells.touched(g, a[own], b[own], d[own])
+        for i, o in enumerate(own):
+            near = (np.abs(a - a[o]) <= d[o]) & (np.abs(b - b[o]) <= d[o])
+            assert set(cell[near]) <= set(asked[point == i])
+    check(spark, df.filter("id < 2500"))
+
+
+def test_letters_of_a_text_are_taken_once(spark):
+    from helixframe.sources import tables
+
+    plan = tables.sequences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(upper(text") == 1
+
+
 def test_in_memory_is_the_same_estimate():
     rng = np.random.default_rng(2)
     x = rng.normal(size=900)
